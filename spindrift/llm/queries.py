@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import linededup
 from .common import table
 
 
@@ -13,18 +14,42 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nndescent import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .htmltext import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramjoin import shingle_components
+
+    return shingle_components(table(spark, sf_dir, "documents"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
@@ -37,11 +62,19 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_digest
+
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op4_shards, op7_secrets, op8_language, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_nn_descent, op2_html_text, op3_ngram_join, op4_shards, op5_substrings, op6_decontamination, op7_secrets, op8_language, op9_line_dedup, op10_packing,
+)}
+ORACLES: dict[str, str] = {"op9_line_dedup": linededup.oracle()}

@@ -75,13 +75,14 @@ class Words:
     """Words of documents i..j of a column.
 
     ``hash``: 64-bit hash by word; ``first``: index of each document's first
-    word (len docs + 1); ``start``/``end``: byte positions from ``base``.
+    word (len docs + 1); ``start``/``end``: byte positions from ``base``;
+    ``offsets``: where documents begin there.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, lower: bool):
         self.base = int(offsets[i])
         b = data[self.base : int(offsets[j])]
-        off = offsets[i : j + 1] - self.base
+        off = self.offsets = offsets[i : j + 1] - self.base
         n = len(b)
         space = np.empty(n + 1, dtype=bool)
         space[n] = True
