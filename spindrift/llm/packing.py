@@ -10,8 +10,11 @@ the transition is a sliding-window minimum, kept by a monotone queue.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -26,32 +29,71 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Separators on which str.split() cuts and which the tokenizer's \\s does not know alike.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎​]")
 
+#: ASCII without "<", and Latin letters that are their own normal form.
+_PLAIN = re.compile("[!-;=-~\xc0-\u012f\u0131-\u017e]+").fullmatch
+
 
 class WordCache:
     """Token ids of whole texts, by white-space chunk.
 
-    The tokenizer never looks across white space, so the ids of a text are the
-    ids of its chunks.  The cache is emptied when it is full: memory is bounded.
+    The tokenizer never looks across white space, nor across the pieces its
+    pattern makes of a chunk, so the ids of a text are the ids of its pieces.
+    Chunks and pieces are looked up in two tables, which are emptied when full:
+    memory is bounded.  Only pieces not seen before are encoded.
     """
 
-    def __init__(self, tokenizer, limit: int = 400_000):
-        self.tokenizer, self.limit, self.known = tokenizer, limit, {}
+    def __init__(self, tokenizer, pattern: str | None, limit: int = 1_000_000):
+        import regex
+
+        self.tokenizer, self.limit = tokenizer, limit
+        self.pieces_of = regex.compile(pattern).findall if pattern else None
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def learn(self, texts: list[str]) -> None:
+        """Put all chunks of the texts into the table."""
+        if len(self.chunks) > self.limit:
+            self.chunks.clear()
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
+        new: set[str] = set()
+        for text in texts:
+            new.update(text.split())
+        new.difference_update(self.chunks.keys() & new)
+        # Plain letters have one normal form and one lower case; "<" may open a special token.
+        plain = [c for c in new if self.pieces_of and _PLAIN(c)]
+        parts = [self.pieces_of(c.lower()) for c in plain]
+        missing = list({p for ps in parts for p in ps}.difference(self.pieces))
+        known = self.pieces
+        known.update(zip(missing, self._encode(missing)))
+        self.chunks.update((c, b"".join([known[p] for p in ps])) for c, ps in zip(plain, parts))
+        if odd := list(new.difference(plain)):
+            self.chunks.update(zip(odd, self._encode(odd)))
 
     def ids(self, text: str) -> np.ndarray:
         if _ODD_SPACE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        chunks = text.split()
-        known = self.known
-        try:
-            return np.frombuffer(b"".join([known[c] for c in chunks]), dtype="<u4")
-        except KeyError:
-            pass
-        if len(known) > self.limit:
-            known.clear()
-        new = list({c for c in chunks if c not in known})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([known[c] for c in chunks]), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.split())), dtype="<u4")
+
+
+def _cache(path: str) -> WordCache:
+    """The process's cache of a tokenizer file: Python workers serve many tasks."""
+    if path not in _caches:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        splits = [p["pattern"].get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert")]
+        lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+        _caches[path] = WordCache(Tokenizer.from_file(path), splits[0] if len(splits) == 1 and lowers else None)
+    return _caches[path]
+
+
+_caches: dict[str, WordCache] = {}
 
 
 def choose_cuts(bounds: list[int], penalties: list[float], width: int) -> list[int]:
@@ -111,13 +153,11 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        vocabulary = tokenizer.get_vocab()
+        cache = _cache(tokenizer_path)
+        vocabulary = cache.tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 2, dtype=bool)
         ends[[i for t, i in vocabulary.items() if re.fullmatch(r"[^\w\s]*[.!?][^\w\s]*</w>", t)]] = True
-        cache = WordCache(tokenizer)
         sequence = TaskContext.get().partitionId() << 36
         held: list[list] = []  # [doc_id, ids not yet emitted, ids before them, tokens of the document]
         count = 0
@@ -157,8 +197,10 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(cache.ids(text or ""), np.uint32(end_id)).astype("<u4")
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            cache.learn(texts)
+            for doc_id, text in zip(b.column(0).to_pylist(), texts):
+                ids = np.append(cache.ids(text), np.uint32(end_id)).astype("<u4")
                 held.append([doc_id, ids, 0, len(ids)])
                 count += len(ids)
                 if count >= block_tokens:
