@@ -1,6 +1,8 @@
-"""Name -> (query, oracle SQL) of the spatial engine."""
+"""Name -> query, and name -> oracle SQL, of the spatial engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .catalog import ranges  # noqa: F401  (registers on import)
+from .catalog.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
