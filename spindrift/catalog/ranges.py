@@ -91,10 +91,10 @@ def polygon_cull(spark, sf_dir):
 
 
 @query(f"""with {_EDGES}, k as (select id, x, y, ax, ay, bx - ax as vx, by_ - ay as vy, greatest(0.0, least(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) as t from p, e)
-select id, round(sqrt(min(((x - ax) - t * vx) * ((x - ax) - t * vx) + ((y - ay) - t * vy) * ((y - ay) - t * vy))), 6) as dist from k where id % 10 = 0 group by id""", "events")
+select id, round(sqrt(min(((x - ax) - t * vx) * ((x - ax) - t * vx) + ((y - ay) - t * vy) * ((y - ay) - t * vy))), 6) as dist from k group by id""", "events")
 def dist_to_boundary(spark, sf_dir):
     shape = shapes.PolygonShape(_RING)
-    return points.events(spark, sf_dir).df.where("id % 10 = 0").select("id", F.round(shape.boundary_distance("x", "y"), 6).alias("dist"))
+    return points.events(spark, sf_dir).df.select("id", F.round(shape.boundary_distance("x", "y"), 6).alias("dist"))
 
 
 @query(f"with {CIRCLES} select qid, id from q, p where (x - qx) * (x - qx) + (y - qy) * (y - qy) <= r * r", "events")

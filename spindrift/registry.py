@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import ranges  # noqa: F401  (registers on import)
+from .catalog import changes, nearest, ranges  # noqa: F401  (they register on import)
 from .catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

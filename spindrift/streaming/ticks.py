@@ -24,28 +24,42 @@ def policy_stream(ticks: DataFrame, thresholds: Thresholds = Thresholds(), expec
     """
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            rate, per, still, *policy = state.get
-            p = PolicyState(policy[0], policy[1] or None, int(policy[2]), int(policy[3]))
-        else:
-            rate = per = None
-            still, p = 0, PolicyState("tree")
-        out = []
-        rows = pd.concat(list(frames)).sort_values("tick")
-        for t in rows.itertuples():
-            now, asked = (t.relocations / t.moves, t.queries / t.moves) if t.moves else (0.0, 0.0)
-            rate = now if rate is None else rate + thresholds.detector_alpha * (now - rate)
-            per = asked if per is None else per + thresholds.detector_alpha * (asked - per)
-            still = 0 if t.moves else still + 1
-            want = desired_backend(t.items, rate, per, expected_hits, still, thresholds)
-            switched = p.tick(want, t.items > thresholds.brute_max * thresholds.decisive_factor and p.backend == "brute", thresholds)
-            out.append((key[0], t.tick, t.items, rate, per, still, p.backend, switched))
-        state.update((rate, per, still, p.backend, p.wanted or "", p.held, p.since))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in OUTPUT.split(", ")])
+        out, now = _fold(key, pd.concat(list(frames)), state.get if state.exists else None, thresholds, expected_hits)
+        state.update(now)
+        yield out
 
     return ticks.groupBy("item").applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def policy_table(ticks: DataFrame, thresholds: Thresholds = Thresholds(), expected_hits: float = 1.0) -> DataFrame:
+    """The same over a table: the ticks of one workload are folded in order, in one task an item."""
+
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _fold(key, rows, None, thresholds, expected_hits)[0]
+
+    return ticks.groupBy("item").applyInPandas(fold, OUTPUT)
+
+
+def _fold(key: tuple, rows: pd.DataFrame, before: tuple | None, th: Thresholds, expected_hits: float) -> tuple[pd.DataFrame, tuple]:
+    """Advance a workload's state over its ticks: the output rows and the new state."""
+    if before is None:
+        rate = per = None
+        still, p = 0, PolicyState("tree")
+    else:
+        rate, per, still, *policy = before
+        p = PolicyState(policy[0], policy[1] or None, int(policy[2]), int(policy[3]))
+    out = []
+    for t in rows.sort_values("tick").itertuples():
+        now, asked = (t.relocations / t.moves, t.queries / t.moves) if t.moves else (0.0, 0.0)
+        rate = now if rate is None else rate + th.detector_alpha * (now - rate)
+        per = asked if per is None else per + th.detector_alpha * (asked - per)
+        still = 0 if t.moves else still + 1
+        want = desired_backend(t.items, rate, per, expected_hits, still, th)
+        switched = p.tick(want, t.items > th.brute_max * th.decisive_factor and p.backend == "brute", th)
+        out.append((key[0], t.tick, t.items, rate, per, still, p.backend, switched))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in OUTPUT.split(", ")]), (rate, per, still, p.backend, p.wanted or "", p.held, p.since)
+
+
 def crossing_counts(positions: DataFrame, points: PointFrame, levels: int, every: str = "1 hour", late: str = "10 minutes", time: str = "ts") -> DataFrame:
     """(window, cell, n): visits of cells by event-time window; rows later than `late` are dropped."""
     keyed = positions.withColumn("cell", points.using(positions).cell_key(levels)).withWatermark(time, late)
