@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +106,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heavy = _heavy_prefixes(known, groups, sample_docs)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, words in words_of(b.column(1), lower=False):
@@ -112,30 +114,46 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 at, cuts, owner = _by_group(prefix, ok, words.first[:-1], groups)
                 if not len(at):
                     continue
+                chunk += 1
                 labels = label[at]
                 some = [p for p in range(groups) if cuts[p + 1] > cuts[p]]
                 who = [np.unique(owner[cuts[p] : cuts[p + 1]], return_counts=True) for p in some]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(some, pa.int32()), packed([ids[i:j][d] for d, _ in who], np.int64), packed([c for _, c in who], np.uint32), packed([labels[cuts[p] : cuts[p + 1]] for p in some], np.uint64),
-                ], ["part", "ids", "counts", "labels"])
+                    pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), packed([ids[i:j][d] for d, _ in who], np.int64), packed([c for _, c in who], np.uint32), packed([labels[cuts[p] : cuts[p + 1]] for p in some], np.uint64),
+                ], ["chunk", "part", "ids", "counts", "labels"])
 
     def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in t["ids"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in t["counts"].to_pylist()]).astype(np.int64)
+        ids = [np.frombuffer(x, np.int64) for x in t["ids"].to_pylist()]
+        counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in t["counts"].to_pylist()]
         labels = np.concatenate([np.frombuffer(x, np.uint64) for x in t["labels"].to_pylist()])
-        flags = _subtree_flags(labels, np.repeat(ids, counts))
-        ends = np.cumsum(counts)
-        upto = np.concatenate([[0], np.cumsum(flags)])
-        some = np.flatnonzero(upto[ends] > upto[ends - counts])
+        flags = _subtree_flags(labels, np.repeat(np.concatenate(ids), np.concatenate(counts)))
+        out, end = [], 0
+        for own, many in zip(ids, counts):
+            marks = {}
+            for d, m in zip(own.tolist(), many.tolist()):
+                if flags[end : end + m].any():
+                    marks[d] = np.packbits(flags[end : end + m]).tobytes()
+                end += m
+            out.append(marks)
+        some = [i for i, marks in enumerate(out) if marks]
         return pa.table({
-            "doc_id": pa.array(ids[some], pa.int64()), "part": pa.array([key[0].as_py()] * len(some), pa.int32()),
-            "bits": pa.array([np.packbits(flags[ends[d] - counts[d] : ends[d]]).tobytes() for d in some], pa.binary()),
+            "chunk": t["chunk"].take(pa.array(some, pa.int64())), "part": pa.array([key[0].as_py()] * len(some), pa.int32()),
+            "ids": packed([list(out[i]) for i in some], np.int64), "bits": pa.array([list(out[i].values()) for i in some], pa.list_(pa.binary())),
         })
 
-    dealt = known.mapInArrow(deal, "part int, ids binary, counts binary, labels binary")
-    flagged = dealt.groupBy("part").applyInArrow(solve, "doc_id long, part int, bits binary")
-    # Repeated rows of an id give the same bits.
-    flagged = flagged.groupBy("doc_id").agg(F.collect_set(F.struct("part", "bits")).alias("flags"))
+    def meet(t: pa.Table) -> pa.Table:
+        """The marks of a chunk's documents from all groups, one row a document."""
+        found: dict[int, list[dict]] = {}
+        for part, ids, bits in zip(t["part"].to_pylist(), t["ids"].to_pylist(), t["bits"].to_pylist()):
+            for d, x in zip(np.frombuffer(ids, np.int64).tolist(), bits):
+                found.setdefault(d, []).append({"part": part, "bits": x})
+        return pa.table({"doc_id": pa.array(list(found), pa.int64()), "flags": pa.array(list(found.values()), pa.list_(pa.struct([("part", pa.int32()), ("bits", pa.binary())])))})
+
+    dealt = known.mapInArrow(deal, "chunk long, part int, ids binary, counts binary, labels binary")
+    flagged = dealt.groupBy("part").applyInArrow(solve, "chunk long, part int, ids binary, bits array<binary>")
+    flagged = flagged.groupBy("chunk").applyInArrow(meet, "doc_id long, flags array<struct<part:int,bits:binary>>")
+    # Rows that repeat an id have the same text and so the same marks.
+    flagged = flagged.dropDuplicates(["doc_id"])
 
     def erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -71,6 +71,16 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def byte_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """Hashes of the spans start..end of b; with `lower`, A-Z count as a-z."""
+    n = len(b)
+    up, down = _table(n)
+    total = np.empty(n + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum((_LOWER if lower else _BYTE)[b] * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """Words of documents i..j of a column.
 
@@ -94,11 +104,7 @@ class Words:
         before[1:] = space[:-1]
         self.start = np.flatnonzero(~space & (before | head))
         self.end = np.flatnonzero((space | head) & ~before)
-        up, down = _table(n)
-        total = np.empty(n + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum((_LOWER if lower else _BYTE)[b] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = byte_hashes(b, self.start, self.end, lower)
         self.first = np.searchsorted(self.start, off)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
