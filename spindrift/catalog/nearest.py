@@ -195,3 +195,35 @@ def morale_routers(spark, sf_dir):
     top = near.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "id"))).where("k <= 12")
     fear = top.groupBy("qid").agg(F.sum(1 / (1 + F.col("d2"))).alias("f"))
     return circles(spark).select("qid").join(fear, "qid", "left").select("qid", F.round(F.coalesce("f", F.lit(0.0)), 9).alias("fear"))
+
+
+@query(f"with {CIRCLES}, d as (select qid, id, {_D2} as d2, row_number() over (partition by qid order by {_D2}, id) as k from q, p where cls = 'purchase' and {_D2} <= (r + 2.5) * (r + 2.5)) select qid, id from d where k = 1", "events")
+def predator_vision(spark, sf_dir):
+    """The nearest prey whose body of radius 2.5 the viewer's disc meets."""
+    p = points.events(spark, sf_dir)
+    near = cull.cull_many(p.using(p.df.where("cls = 'purchase'")), cull.balls(circles(spark).withColumn("r", F.col("r") + 2.5)), cell=16.0, strategy="cells").withColumn("d2", knn.distance2(["x", "y"], ["qx", "qy"]))
+    return near.groupBy("qid").agg(F.min_by("id", F.struct("d2", "id")).alias("id"))
+
+
+@query("""select 1::bigint as fid, id from p where (x - 60.0) * (x - 60.0) + (y - 300.0) * (y - 300.0) <= 1600.0
+union all select 2::bigint, id from p where x - 100 <= 0 and (x - 100.0) * (x - 100.0) + (y - 500.0) * (y - 500.0) <= 900.0
+union all select 2::bigint, id from p where x - 100 > 0 and 30 * (x - 100) + 70 * abs(y - 500) <= 2100""", "events")
+def figure_attack(spark, sf_dir):
+    """Points in figures with arc edges: a disc and a drop."""
+    from ..functions.figures import points_in_figures
+    from ..operators import rasters
+
+    figures = {1: rasters.placed(rasters.disc(4.0), 10.0, 0.0, 60.0, 300.0), 2: rasters.placed(rasters.drop(3.0, 7.0), 10.0, 0.0, 100.0, 500.0)}
+    return points_in_figures(points.events(spark, sf_dir).df, figures)
+
+
+@query(f"with {CIRCLES}, c as (select qid, qx as ax, qy as ay, qx + 20 as bx, qy + 40 as by_, r from q), k as (select c.*, p.id, p.x, p.y, greatest(0.0, least(1.0, ((p.x - ax) * 20 + (p.y - ay) * 40) / 2000.0::double)) as t from c, p) select qid, id from k where ((x - ax) - t * 20) * ((x - ax) - t * 20) + ((y - ay) - t * 40) * ((y - ay) - t * 40) <= r * r", "events")
+def cull_many_capsule(spark, sf_dir):
+    q = circles(spark).select("qid", F.col("qx").alias("ax"), F.col("qy").alias("ay"), (F.col("qx") + 20).alias("bx"), (F.col("qy") + 40).alias("by"), "r")
+    return cull.cull_many(points.events(spark, sf_dir), cull.capsules(q), cell=40.0, strategy="cells").select("qid", "id")
+
+
+@query(f"with {CIRCLES} select qid, id from q, p where x >= qx and x < qx + r and y >= qy and y < qy + 2 * r", "events")
+def cull_many_box(spark, sf_dir):
+    q = circles(spark).select("qid", F.col("qx").alias("x0"), F.col("qy").alias("y0"), (F.col("qx") + F.col("r")).alias("x1"), (F.col("qy") + 2 * F.col("r")).alias("y1"))
+    return cull.cull_many(points.events(spark, sf_dir), cull.boxes(q), cell=16.0, strategy="cells").select("qid", "id")

@@ -285,3 +285,17 @@ def key_range_cull(spark, sf_dir):
     p = points.events(spark, sf_dir)
     box = shapes.Rect((30.0, 210.0), (65.0, 220.0))
     return cells.with_cell(p, 6).where(cells.key_filter(p, (30.0, 210.0), (95.0, 430.0), 6, most=8)).where(box.contains("x", "y")).select("id")
+
+
+@query(f"""{_CELL}, t as (select {_key(6)} as cell, count(*) as n, min(x) as lo_x, max(x) as hi_x, min(y) as lo_y, max(y) as hi_y from p join c using (id) group by 1)
+select * from t""", "events")
+def tight_leaf_table(spark, sf_dir):
+    return cells.tight_leaves(points.events(spark, sf_dir), 6)
+
+
+@query()
+def packed_shards(spark, sf_dir):
+    """Cells dealt to shards largest first."""
+    p = points.events(spark, sf_dir)
+    table = cells.leaf_table(p, 5)
+    return spark.createDataFrame(cells.longest_first(table, "n", 8), "cell long, shard int")

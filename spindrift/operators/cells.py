@@ -124,3 +124,28 @@ def key_filter(points: PointFrame, lo: tuple[float, ...], hi: tuple[float, ...],
     a = tuple(index(v, w, s) for v, w, s in zip(lo, points.world, sizes))
     z = tuple(index(v, w, s) for v, w, s in zip(hi, points.world, sizes))
     return keys.in_ranges("cell", keys.box_ranges(a, z, levels, most))
+
+
+def tight_leaves(points: PointFrame, levels: int) -> DataFrame:
+    """(cell, n, lo_*, hi_*) with the tight boxes of the points in each cell."""
+    return points.df.select(points.cell_key(levels).alias("cell"), *points.coords).groupBy("cell").agg(F.count("*").alias("n"), *(a for c in points.coords for a in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))))
+
+
+def longest_first(cells: DataFrame, n: str, shards: int, key: str = "cell") -> list[tuple[int, int]]:
+    """(key, shard) by greedy packing, largest cell first onto the lightest shard.
+
+    The greedy is sequential; it runs on the driver over cells, whose number is
+    that of the grid, not of the points; a table of more than 100 000 is refused.
+    """
+    import heapq
+
+    rows = cells.select(key, n).limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("too many cells to pack on the driver; use a coarser grid or curve_shards")
+    heap = [(0, s) for s in range(shards)]
+    out = []
+    for k, size in sorted(((r[0], r[1]) for r in rows), key=lambda r: (-r[1], r[0])):
+        load, s = heapq.heappop(heap)
+        out.append((k, s))
+        heapq.heappush(heap, (load + size, s))
+    return out

@@ -231,3 +231,43 @@ def test_polygon_boundary_counts(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 4.0, 2.0), (3, 4.1, 2.0), (4, 2.0, 4.0), (5, 2.0, 2.0)], "id long, x double, y double")
     assert ids(df.where(shape.contains("x", "y"))) == [1, 2, 4, 5]
     assert ids(df.where(shape.within_dilation(0.2, "x", "y"))) == [1, 2, 3, 4, 5]
+
+
+def test_figures():
+    from spindrift.functions import figures
+
+    big, small = rasters.disc(5.0), rasters.placed(rasters.square(2.0), 1.0, 0.0, -1.0, -1.0)
+    assert figures.completely_contains(big, small) and not figures.completely_contains(small, big)
+    far = rasters.placed(rasters.square(2.0), 1.0, 0.0, 30.0, 0.0)
+    assert not figures.figures_meet(big, far) and figures.figures_meet(big, small)
+    edge = rasters.placed(rasters.square(2.0), 1.0, 0.0, 4.0, -1.0)
+    assert figures.outlines_cross(big, edge) and not figures.completely_contains(big, edge)
+
+
+@pytest.mark.parametrize("name", sorted(rasters.FIGURES))
+def test_dilation_is_the_distance(name):
+    from spindrift.functions import figures
+
+    ring = rasters.placed(rasters.FIGURES[name], 2.0, 20.0, 1.0, 2.0)
+    grown = figures.inflated_convex(ring, 1.5)
+    rng = np.random.default_rng(4)
+    x, y = rng.uniform(-20, 25, 1500), rng.uniform(-20, 25, 1500)
+    p = rasters.flattened(ring, 0.2)
+    a, b = p, np.roll(p, -1, axis=0)
+    d = np.full(len(x), np.inf)
+    for (ax, ay), (bx, by) in zip(a, b):
+        t = np.clip(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / max((bx - ax) ** 2 + (by - ay) ** 2, 1e-30), 0, 1)
+        d = np.minimum(d, np.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+    truth = rasters.inside(ring, x, y) | (d <= 1.5)
+    clear = np.abs(d - 1.5) > 1e-3
+    assert (rasters.inside(grown, x, y) == truth)[clear].all()
+
+
+def test_greedy_shards(lattice):
+    p, _ = lattice
+    table = cells.leaf_table(p, 3)
+    size = {r.cell: r.n for r in table.collect()}
+    loads = [0] * 4
+    for cell, shard in cells.longest_first(table, "n", 4):
+        loads[shard] += size[cell]
+    assert sum(loads) == 600 and max(loads) - min(loads) <= max(size.values())
