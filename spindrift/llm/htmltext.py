@@ -30,6 +30,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _DROPPED = frozenset("head title nav footer aside form button select option optgroup fieldset legend input dialog menu menuitem script style noscript template textarea iframe svg math object canvas xmp noembed audio video map".split())
 _FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side aside nav navbar navigation menu menubar breadcrumb breadcrumbs footer foot masthead header topbar toolbar cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments reply replies respond disqus widget search pagination pager skip copyright disclaimer legal hidden outbrain taboola".split())
 _CONTENT = frozenset("article main".split())
+_HEADINGS = frozenset("h1 h2 h3".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("th", ("tr", "table")), "th": ("td", ("tr", "table")), "option": ("option", ("select",))}
@@ -177,7 +178,9 @@ def content_nodes(blocks: list[tuple[tuple[str, ...], str, int]], share: float =
     declared = [p for p in mass if p[-1] in _CONTENT and mass[p] >= 0.3 * total]
     root = max(declared, key=lambda p: (mass[p], -len(p))) if declared else max((p for p in mass if mass[p] >= hold * total and p[-1] not in _INLINE and p[-1] not in ("p", "h1", "h2", "h3", "li", "pre")), key=len, default=())
     chosen = set(content)
-    return [i for i, (path, text, link) in enumerate(blocks) if path[: len(root)] == root and (path in chosen or declared and link * 2 <= len(text))]
+    # A block that is mostly links is navigation, unless it is a heading.
+    prose = lambda path, text, link: link * 2 <= len(text) or not _HEADINGS.isdisjoint(path)
+    return [i for i, (path, text, link) in enumerate(blocks) if path[: len(root)] == root and (path in chosen or declared) and prose(path, text, link)]
 
 
 def main_text(page: str | None) -> str:
