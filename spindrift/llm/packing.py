@@ -24,64 +24,150 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
+from .textops import buffers, byte_hashes, slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Separators on which str.split() cuts and which the tokenizer's \\s does not know alike.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎​]")
+#: Fixed value: the split pattern that ``Pieces`` knows how to apply to bytes.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 
-#: ASCII without "<", and Latin letters that are their own normal form.
-_PLAIN = re.compile("[!-;=-~\xc0-\u012f\u0131-\u017e]+").fullmatch
 
+def _byte_classes() -> np.ndarray:
+    out = np.full(256, _ODD, dtype=np.uint8)
+    out[33:127] = _OTHER
+    out[48:58] = _DIGIT
+    out[65:91] = out[97:123] = _LETTER
+    out[[9, 10, 13, 32]] = _SPACE
+    # UTF-8 of U+00C0 to U+017F: lead bytes C3 to C5 and their continuations.
+    out[0x80:0xC0] = out[0xC3:0xC6] = _LETTER
+    return out
 
-class WordCache:
-    """Token ids of whole texts, by white-space chunk.
 
-    The tokenizer never looks across white space, nor across the pieces its
-    pattern makes of a chunk, so the ids of a text are the ids of its pieces.
-    Chunks and pieces are looked up in two tables, which are emptied when full:
-    memory is bounded.  Only pieces not seen before are encoded.
+_CLASS = _byte_classes()
+#: Two-byte characters of that range that are no plain letters, or fold in their own way.
+_STRANGE = {0xC397, 0xC3B7, 0xC4B0, 0xC4B1, 0xC589, 0xC5BF}
+
+
+class Pieces:
+    """Token ids of whole texts, by the pieces that the tokenizer's pattern makes of them.
+
+    The tokenizer never looks across pieces, so a text's ids are those of its
+    pieces.  Pieces are cut and hashed on the bytes of many texts at once; a table
+    by hash holds the ids of pieces met before, and only new ones are encoded.
+    The table is emptied when full: memory is bounded.  Texts with anything
+    beyond plain Latin letters, ASCII and simple white space are encoded whole.
     """
 
-    def __init__(self, tokenizer, pattern: str | None, limit: int = 1_000_000):
-        import regex
-
-        self.tokenizer, self.limit = tokenizer, limit
-        self.pieces_of = regex.compile(pattern).findall if pattern else None
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, new: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-
-    def learn(self, texts: list[str]) -> None:
-        """Put all chunks of the texts into the table."""
-        if len(self.chunks) > self.limit:
-            self.chunks.clear()
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        new: set[str] = set()
-        for text in texts:
-            new.update(text.split())
-        new.difference_update(self.chunks.keys() & new)
-        # Plain letters have one normal form and one lower case; "<" may open a special token.
-        plain = [c for c in new if self.pieces_of and _PLAIN(c)]
-        parts = [self.pieces_of(c.lower()) for c in plain]
-        missing = list({p for ps in parts for p in ps}.difference(self.pieces))
-        known = self.pieces
-        known.update(zip(missing, self._encode(missing)))
-        self.chunks.update((c, b"".join([known[p] for p in ps])) for c, ps in zip(plain, parts))
-        if odd := list(new.difference(plain)):
-            self.chunks.update(zip(odd, self._encode(odd)))
-
-    def ids(self, text: str) -> np.ndarray:
-        if _ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.split())), dtype="<u4")
-
-
-def _cache(path: str) -> WordCache:
-    """The process's cache of a tokenizer file: Python workers serve many tasks."""
-    if path not in _caches:
+    def __init__(self, tokenizer, plain: bool, limit: int = 1_500_000):
+        self.tokenizer, self.plain, self.limit = tokenizer, plain, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.start, self.many = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, col: pa.Array) -> list[np.ndarray]:
+        """Ids of every text of a column; a null is an empty text."""
+        data, offsets = buffers(col)
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(col)
+        for i, j in slices(offsets):
+            part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            odd = self._odd(part, off)
+            if not odd.all():
+                with np.errstate(over="ignore"):
+                    for d, x in enumerate(self._slice(np.where(np.repeat(odd, np.diff(off)), np.uint8(32), part), off)):
+                        out[i + d] = x
+            if odd.any():
+                at = np.flatnonzero(odd)
+                for d, x in zip(at, self._encode([part[off[d] : off[d + 1]].tobytes().decode() for d in at])):
+                    out[i + d] = x
+        return out
+
+    def _odd(self, b: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """By text, whether the byte rules do not apply."""
+        if not self.plain:
+            return np.ones(len(off) - 1, dtype=bool)
+        bad = _CLASS[b] == _ODD
+        pair = np.flatnonzero((b[:-1] >= 0xC3) & (b[:-1] <= 0xC5)) if len(b) else np.zeros(0, np.int64)
+        two = (b[pair].astype(np.int64) << 8) | b[pair + 1]
+        bad[pair[np.isin(two, list(_STRANGE))]] = True
+        special = np.flatnonzero((b[:-1] == 60) & (b[1:] == 124)) if len(b) else pair  # "<|" may open a special token
+        bad[special] = True
+        upto = np.concatenate([[0], np.cumsum(bad)])
+        return upto[off[1:]] > upto[off[:-1]]
+
+    def _cuts(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the pieces."""
+        n = len(b)
+        c = _CLASS[b]
+        head = np.zeros(n + 1, dtype=bool)
+        head[off] = True
+        new = np.ones(n, dtype=bool)
+        new[1:] = (c[1:] != c[:-1]) | (c[1:] == _DIGIT)
+        new |= head[:n]
+        # Contractions: a quote that begins a piece takes one or two of the letters after it.
+        quote = np.flatnonzero((b == 39) & new)
+        low = np.where((b >= 65) & (b <= 90), b + 32, b)
+        for shift, words in ((1, (b"s", b"t", b"m", b"d")), (2, (b"re", b"ve", b"ll"))):
+            ok = quote[quote + shift < n]
+            for w in words:
+                hit = ok
+                for k, ch in enumerate(w):
+                    hit = hit[(low[hit + 1 + k] == ch) & ~head[hit + 1 + k]]
+                new[hit + 1] = False
+                after = hit + 1 + shift
+                after = after[after < n]
+                new[after] = True
+        start = np.flatnonzero(new & (c != _SPACE))
+        ends = np.flatnonzero(new)
+        end = np.append(ends, n)[np.searchsorted(ends, start, side="right")]
+        return start, end
+
+    def _slice(self, b: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        start, end = self._cuts(b, off)
+        keys = byte_hashes(b, start, end, lower=True)
+        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == unique if len(self.keys) else np.zeros(len(unique), dtype=bool)
+        if not known.all():
+            if len(self.keys) > self.limit:
+                self._clear()
+                known = np.zeros(len(unique), dtype=bool)
+            new = np.flatnonzero(~known)
+            raw = b.tobytes()
+            encodings = self.tokenizer.encode_batch_fast([raw[s:e].decode() for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())], add_special_tokens=False)
+            flat, many = array("I"), []
+            for e in encodings:
+                ids = e.ids
+                flat.extend(ids)
+                many.append(len(ids))
+            self._add(unique[new], np.array(many, dtype=np.int64), np.frombuffer(flat, np.uint32))
+            at = np.searchsorted(self.keys, unique)
+        # Lay the ids of all pieces end to end.
+        where = at[back]
+        lengths = self.many[where]
+        ends = np.cumsum(lengths)
+        take = np.repeat(self.start[where] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        ids = self.pool[take].astype("<u4")
+        cuts = np.concatenate([[0], ends])[np.searchsorted(start, off)]
+        return [ids[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def _add(self, keys: np.ndarray, many: np.ndarray, flat: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        start = self.used + np.cumsum(many) - many
+        self.used += len(flat)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.many = (np.insert(a, place, x) for a, x in ((self.keys, keys), (self.start, start), (self.many, many)))
+
+
+def _pieces(path: str) -> Pieces:
+    """The process's table of a tokenizer file: Python workers serve many tasks."""
+    if path not in _tables:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -89,11 +175,11 @@ def _cache(path: str) -> WordCache:
             spec = json.load(f)
         splits = [p["pattern"].get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert")]
         lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-        _caches[path] = WordCache(Tokenizer.from_file(path), splits[0] if len(splits) == 1 and lowers else None)
-    return _caches[path]
+        _tables[path] = Pieces(Tokenizer.from_file(path), splits == [_PATTERN] and lowers)
+    return _tables[path]
 
 
-_caches: dict[str, WordCache] = {}
+_tables: dict[str, Pieces] = {}
 
 
 def choose_cuts(bounds: list[int], penalties: list[float], width: int) -> list[int]:
@@ -154,8 +240,8 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache = _cache(tokenizer_path)
-        vocabulary = cache.tokenizer.get_vocab()
+        table = _pieces(tokenizer_path)
+        vocabulary = table.tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 2, dtype=bool)
         ends[[i for t, i in vocabulary.items() if re.fullmatch(r"[^\w\s]*[.!?][^\w\s]*</w>", t)]] = True
         sequence = TaskContext.get().partitionId() << 36
@@ -197,10 +283,8 @@ def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            cache.learn(texts)
-            for doc_id, text in zip(b.column(0).to_pylist(), texts):
-                ids = np.append(cache.ids(text), np.uint32(end_id)).astype("<u4")
+            for doc_id, ids in zip(b.column(0).to_pylist(), table.ids(b.column(1))):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 held.append([doc_id, ids, 0, len(ids)])
                 count += len(ids)
                 if count >= block_tokens:
