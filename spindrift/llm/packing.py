@@ -212,11 +212,11 @@ def choose_cuts(bounds: list[int], penalties: list[float], width: int) -> list[i
 
 
 def _bounds(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, width: int, sentence_penalty: float, inner_penalty: float) -> tuple[list[int], list[float]]:
-    """Cut positions and penalties: documents, sentences, and every width / 16 tokens within longer sentences."""
+    """Cut positions and penalties: documents, sentences, and every width / 64 tokens within longer sentences."""
     marks = np.union1d(np.flatnonzero(sentence_end[ids]) + 1, doc_ends)
     marks = np.union1d(marks, [0])
     gaps = np.diff(marks)
-    step = max(1, width // 16)
+    step = max(1, width // 64)
     extra = [np.arange(a + step, a + g, step) for a, g in zip(marks[:-1][gaps > step].tolist(), gaps[gaps > step].tolist())]
     inner = np.concatenate(extra) if extra else np.zeros(0, np.int64)
     pos = np.concatenate([marks, inner])
@@ -225,7 +225,7 @@ def _bounds(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, wid
     return pos[order].tolist(), pen[order].tolist()
 
 
-def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_tokens: int = 1_000_000, sentence_penalty: float = 4.0, inner_penalty: float = 24.0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_tokens: int = 1_000_000, sentence_penalty: float = 2.0, inner_penalty: float = 12.0) -> DataFrame:
     """One row per piece: where each document's ids lie.
 
     Every id lies in exactly one piece; offsets in a sequence are gapless.  The
