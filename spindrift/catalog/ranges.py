@@ -299,3 +299,10 @@ def packed_shards(spark, sf_dir):
     p = points.events(spark, sf_dir)
     table = cells.leaf_table(p, 5)
     return spark.createDataFrame(cells.longest_first(table, "n", 8), "cell long, shard int")
+
+
+@query()
+def median_leaves(spark, sf_dir):
+    """Leaf of every point in a k-d partition of about 200 points a leaf."""
+    p = points.events(spark, sf_dir)
+    return cells.median_leaves(p, 200, p.df.count())

@@ -149,3 +149,29 @@ def longest_first(cells: DataFrame, n: str, shards: int, key: str = "cell") -> l
         out.append((k, s))
         heapq.heappush(heap, (load + size, s))
     return out
+
+
+def median_leaves(points: PointFrame, capacity: int, total: int) -> DataFrame:
+    """(id, leaf): leaves of a k-d partition with at most about `capacity` points.
+
+    Every level cuts each node at the median of the longest axis of its tight
+    box; points at the median go low, so nodes of inseparable points stay whole.
+    The cut table has one row a node and is broadcast while it is small (its size
+    is 2 ** depth, which is known beforehand).
+    """
+    depth = max(0, (max(total, 1) - 1).bit_length() - max(capacity, 1).bit_length() + 1)
+    df = points.df.select(points.id, *points.coords).withColumn("leaf", F.lit(1).cast("long"))
+    for level in range(depth):
+        boxes = df.groupBy("leaf").agg(*(a for c in points.coords for a in ((F.max(c) - F.min(c)).alias(f"e_{c}"), F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}"))))
+        longest = F.greatest(*(F.col(f"e_{c}") for c in points.coords))
+        axis, cut = F.lit(None).cast("string"), F.lit(None).cast("double")
+        for c in reversed(points.coords):
+            axis = F.when(F.col(f"e_{c}") == longest, F.lit(c)).otherwise(axis)
+            cut = F.when(F.col(f"e_{c}") == longest, F.col(f"m_{c}")).otherwise(cut)
+        cuts = boxes.select("leaf", axis.alias("axis"), cut.alias("cut"))
+        at = F.lit(None).cast("double")
+        for c in points.coords:
+            at = F.when(F.col("axis") == c, F.col(c)).otherwise(at)
+        joined = df.join(F.broadcast(cuts) if level < 16 else cuts, "leaf")
+        df = joined.withColumn("leaf", F.col("leaf") * 2 + F.when(at > F.col("cut"), 1).otherwise(0)).drop("axis", "cut")
+    return df.select(points.id, "leaf")

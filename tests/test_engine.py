@@ -271,3 +271,21 @@ def test_greedy_shards(lattice):
     for cell, shard in cells.longest_first(table, "n", 4):
         loads[shard] += size[cell]
     assert sum(loads) == 600 and max(loads) - min(loads) <= max(size.values())
+
+
+def test_median_leaves(lattice):
+    p, _ = lattice
+    out = cells.median_leaves(p, 40, 600)
+    sizes = [r.n for r in out.groupBy("leaf").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 600 and out.select("id").distinct().count() == 600 and 16 <= len(sizes) and max(sizes) <= 80
+
+
+def test_command_line(spark, sf_dir, capsys, tmp_path):
+    from spindrift import cli
+
+    cli.main(["query", "circle_cull", "--data", sf_dir, "--out", str(tmp_path / "o")])
+    assert spark.read.parquet(str(tmp_path / "o")).count() > 0
+    cli.main(["compare", "circle_cull", "knn_single", "--data", sf_dir])
+    for line in capsys.readouterr().out.strip().splitlines():
+        _, a, b = line.split()
+        assert a == b
