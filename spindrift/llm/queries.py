@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup
 from .common import table
+from .oracles import ORACLES  # noqa: F401  (part of the registry)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -77,4 +77,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_nn_descent, op2_html_text, op3_ngram_join, op4_shards, op5_substrings, op6_decontamination, op7_secrets, op8_language, op9_line_dedup, op10_packing,
 )}
-ORACLES: dict[str, str] = {"op9_line_dedup": linededup.oracle()}
