@@ -3,9 +3,10 @@
 1. Shingle sets are hashed and dealt by hash range; a token that occurs in one
    document only can match nothing, so documents with too few shared tokens
    leave the join (an exact bound on the overlap).
-2. The others share a prefix token with every partner (prefix filter).  Per
-   token one star of pairs is verified, which settles groups of near copies
-   without listing their pairs.
+2. The others share a token of their prefix, their rarest tokens, with every
+   partner (prefix filter).  Per token a star of pairs is drawn, and every
+   document is verified against the centre it meets most, which settles groups
+   of near copies without listing their pairs.
 3. What stars leave open - documents that share tokens but are not yet known to
    be connected - goes into signature trees: nodes hold OR-combined token
    bitmaps and size ranges, and a dual traversal drops node pairs whose
@@ -19,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,9 @@ from .common import cut, prepare
 from .components import connected_components
 from .textops import packed, words_of
 
-LEAF, FAN = 8, 8
+FAN = 4
+#: Bits of a signature by token of the largest set: so many keep the nodes above the leaves selective.
+SPREAD, WIDEST = 64, 18
 
 
 def links(inter: int, a: int, b: int, num: int, den: int) -> bool:
@@ -68,7 +73,7 @@ class SignatureTree:
         for i, g in enumerate(groups):
             self.parent[i] = first.setdefault(g, i)
         largest = max((len(s) for s in sets), default=1)
-        self.width = 1 << max(8, min(16, (4 * largest - 1).bit_length()))
+        self.width = 1 << max(8, min(WIDEST, (SPREAD * largest - 1).bit_length()))
         self.bits = [self._bitmap(s) for s in sets]
         self.found: list[tuple[int, int]] = []
 
@@ -85,8 +90,12 @@ class SignatureTree:
         return i
 
     def build(self, docs: list[int]) -> Node | None:
-        # Neighbours in the order share a component, then size, then their least token.
-        order = sorted(docs, key=lambda i: (self.root(i), len(self.sets[i]), int(self.sets[i][0]) if len(self.sets[i]) else 0))
+        # Neighbours in the order share a component, and components of like size are neighbours.
+        least: dict[int, int] = {}
+        for i in docs:
+            r = self.root(i)
+            least[r] = min(least.get(r, len(self.sets[i])), len(self.sets[i]))
+        order = sorted(docs, key=lambda i: (least[self.root(i)], self.root(i), len(self.sets[i])))
         level = [Node([], [i], self.bits[i], len(self.sets[i]), len(self.sets[i]), len(self.sets[i]) - self.bits[i].bit_count()) for i in order]
         while len(level) > 1:
             level = [Node.over(level[k : k + FAN]) for k in range(0, len(level), FAN)]
@@ -130,105 +139,188 @@ class SignatureTree:
 
 
 def _shared_tokens(docs: DataFrame, k: int, groups: int) -> DataFrame:
-    """(doc_id, n, shared) by document: set size and tokens that other documents hold too.
+    """(doc_id, n, shared) by row: set size and tokens that other documents hold too.
 
-    Tokens travel as packed 32-bit values dealt by another part of the hash; a
-    chance agreement of two tokens only lets a document stay that could go.
+    Documents travel in chunks: a chunk's tokens are dealt by hash range as
+    packed 32-bit values of another part of the hash (a chance agreement of two
+    tokens only lets a document stay that could go), and the counts meet again
+    by chunk.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, words in words_of(b.column(1), lower=True):
+                chunk += 1
                 sets = words.shingles(k)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                if not sizes.sum():
-                    yield _rows([groups], [ids[i:j]], [sizes], [np.zeros(0, np.uint32)])
-                    continue
                 tokens = np.concatenate(sets)
                 part = ((tokens >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
                 owner = np.repeat(np.arange(j - i), sizes)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(groups + 1))
-                small = tokens.astype(np.uint32)[order]
-                owner = owner[order]
-                counts = [np.bincount(owner[a:z], minlength=j - i) for a, z in zip(cuts[:-1], cuts[1:])]
-                yield _rows(
-                    [*range(groups), groups + int(words.hash[0] % np.uint64(groups)) if len(words.hash) else groups],
-                    [ids[i:j]] * (groups + 1), [*counts, sizes], [*(small[a:z] for a, z in zip(cuts[:-1], cuts[1:])), np.zeros(0, np.uint32)],
-                )
-
-    def _rows(part, ids, counts, tokens) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), packed(ids, np.int64), packed(counts, np.uint32), packed(tokens, np.uint32)], ["part", "ids", "counts", "tokens"])
-
-    def count(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        part = key[0].as_py()
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in t["ids"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in t["counts"].to_pylist()]).astype(np.int64)
-        if part >= groups:
-            return _counts(ids, counts, np.ones(len(ids), np.int64), np.zeros(len(ids), np.int64))
-        tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in t["tokens"].to_pylist()])
-        if not len(tokens):
-            return _counts(*(np.zeros(0, np.int64) for _ in range(4)))
+                small, owner = tokens.astype(np.uint32)[order], owner[order]
+                spans = list(zip(cuts[:-1], cuts[1:]))
+                # The ids and sizes go with the tokens, to any part.
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([chunk] * (groups + 1), pa.int64()), pa.array([*range(groups), chunk % groups], pa.int32()), packed([*([ids[:0]] * groups), ids[i:j]], np.int64),
+                    packed([*(np.bincount(owner[a:z], minlength=j - i) for a, z in spans), sizes], np.uint32), packed([*(small[a:z] for a, z in spans), small[:0]], np.uint32),
+                ], ["chunk", "part", "ids", "counts", "tokens"])
+
+    def count(t: pa.Table) -> pa.Table:
+        """Token counts become counts of shared tokens; rows with ids pass."""
+        own = pa.compute.equal(pa.compute.binary_length(t["ids"]), 0)
+        sized, t = t.filter(pa.compute.invert(own)), t.filter(own)
+        counts = [np.frombuffer(x, np.uint32) for x in t["counts"].to_pylist()]
+        tokens = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in t["tokens"].to_pylist())])
         order = np.argsort(tokens, kind="stable")
-        same = np.zeros(len(tokens) + 1, dtype=bool)
         s = tokens[order]
+        same = np.zeros(len(tokens) + 1, dtype=bool)
         same[1:-1] = s[1:] == s[:-1]
         flags = np.empty(len(tokens), dtype=np.int64)
         flags[order] = same[:-1] | same[1:]
         upto = np.concatenate([[0], np.cumsum(flags)])
-        ends = np.cumsum(counts)
-        shared = upto[ends] - upto[ends - counts]
-        some = shared > 0
-        return _counts(ids[some], np.zeros(some.sum(), np.int64), np.zeros(some.sum(), np.int64), shared[some])
+        ends = np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64))
+        shared = np.diff(np.concatenate([[0], upto[ends]]))
+        cuts = np.cumsum([0, *map(len, counts)])
+        out = pa.table({"chunk": t["chunk"], "ids": t["ids"], "counts": packed([shared[a:z] for a, z in zip(cuts[:-1], cuts[1:])], np.uint32)})
+        return pa.concat_tables([out, sized.select(["chunk", "ids", "counts"])])
+
+    def meet(t: pa.Table) -> pa.Table:
+        ids, sizes, shared = None, None, 0
+        for x, c in zip(t["ids"].to_pylist(), t["counts"].to_pylist()):
+            c = np.frombuffer(c, np.uint32).astype(np.int64)
+            if x:
+                ids, sizes = np.frombuffer(x, np.int64), c
+            else:
+                shared = shared + c
+        return pa.table({"doc_id": pa.array(ids), "n": pa.array(sizes), "shared": pa.array(shared)})
+
+    dealt = docs.mapInArrow(deal, "chunk long, part int, ids binary, counts binary, tokens binary")
+    parts = dealt.groupBy("part").applyInArrow(count, "chunk long, ids binary, counts binary")
+    return parts.groupBy("chunk").applyInArrow(meet, "doc_id long, n long, shared long")
+
+
+FILTER_BITS = 1 << 25
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """Bitmap of FILTER_BITS bits (4 MB, whatever the input) with one bit by id: a superset test."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.select((at / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit"))
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        out[r.word] = r.bits
+    return out.view(np.uint64)
 
-    def _counts(ids, n, copies, shared) -> pa.Table:
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "copies": pa.array(copies, pa.int64()), "shared": pa.array(shared, pa.int64())})
 
-    dealt = docs.mapInArrow(deal, "part int, ids binary, counts binary, tokens binary")
-    parts = dealt.groupBy("part").applyInArrow(count, "doc_id long, n long, copies long, shared long")
-    return parts.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("copies").alias("copies"), F.sum("shared").alias("shared"))
+def _ranked_sets(docs: DataFrame, ids: DataFrame, k: int, groups: int, num: int, den: int) -> DataFrame:
+    """(d, n, h, p) of the documents that ids name, and of a few others: size, sorted
+    tokens, and the prefix: the rarest tokens, one of which every partner shares.
 
+    The ids are tested against a bitmap of fixed size where the text is read: no
+    text is shuffled.  Tokens are dealt by hash range, counted over these
+    documents, and meet again by chunk, as in ``_shared_tokens``.  Documents with
+    too few shared tokens leave here too: copies of their own text kept them so
+    far.  Rare tokens come first, so passages that many documents hold seldom
+    make a pair; tokens that one document holds fill its prefix but pair with nothing.
+    """
+    bitmap = _id_filter(ids)
+    width = np.uint64((1 << 64) // groups + 1)
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
+            at = b.column(2).to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            own = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, words in words_of(b.column(1), lower=True):
+                chunk += 1
                 sets = words.shingles(k)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), packed(sets, np.uint64)], ["d", "n", "h"])
+                owner = np.repeat(np.arange(j - i, dtype=np.uint32), [len(s) for s in sets])
+                tokens = np.concatenate(sets)
+                part = (tokens // width).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(groups + 1))
+                tokens, owner = tokens[order], owner[order]
+                spans = [(a, z) for a, z in zip(cuts[:-1], cuts[1:])]
+                some = [g for g, (a, z) in enumerate(spans) if z > a]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), packed([own[i:j]] * len(some), np.int64),
+                    packed([owner[slice(*spans[g])] for g in some], np.uint32), packed([tokens[slice(*spans[g])] for g in some], np.uint64),
+                ], ["chunk", "part", "ids", "owner", "tokens"])
+
+    def count(t: pa.Table) -> pa.Table:
+        tokens = [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
+        cuts = np.cumsum([0, *map(len, tokens)])
+        _, back, many = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        many = np.minimum(many[back], 65535)
+        return t.append_column("held", packed([many[a:z] for a, z in zip(cuts[:-1], cuts[1:])], np.uint16))
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        ids = np.frombuffer(t["ids"][0].as_buffer(), np.int64)
+        owner, tokens, held = (np.concatenate([np.frombuffer(x, kind) for x in t[c].to_pylist()]) for c, kind in (("owner", np.uint32), ("tokens", np.uint64), ("held", np.uint16)))
+        # By document; the parts are ranges, so tokens stay sorted.
+        order = np.argsort(owner, kind="stable")
+        tokens, held = tokens[order], held[order]
+        cuts = np.searchsorted(owner[order], np.arange(len(ids) + 1))
+        out: list[list] = [[], [], [], []]
+        for d, a, z in zip(ids.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            n, h, own = z - a, held[a:z], tokens[a:z]
+            if not n or int((h > 1).sum()) * den < n * num:
+                continue
+            prefix = np.lexsort((own, h))[: n - -(-num * n // den) + 1]
+            for c, x in zip(out, (d, n, own.tobytes(), own[prefix[h[prefix] > 1]].tobytes())):
+                c.append(x)
+        return pa.table({"d": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int32()), "h": pa.array(out[2], pa.binary()), "p": pa.array(out[3], pa.binary())})
 
-    return docs.mapInArrow(make, "d long, n int, h binary")
+    placed = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    fields = "chunk long, part int, ids binary, owner binary, tokens binary"
+    counted = placed.mapInArrow(deal, fields).groupBy("part").applyInArrow(count, f"{fields}, held binary")
+    return counted.groupBy("chunk").applyInArrow(meet, "d long, n int, h binary, p binary")
 
 
-def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(t, d): the least tokens of a set, one of which every partner shares."""
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(t, d): the prefix tokens of every set."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            takes = [int(x) - -(-num * int(x) // den) + 1 for x in n]
-            tokens = [np.frombuffer(h, np.int64)[:m] for h, m in zip(b.column(2).to_pylist(), takes)]
+            tokens = [np.frombuffer(p, np.int64) for p in b.column(1).to_pylist()]
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(d, [len(t) for t in tokens]))], ["t", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(t) for t in tokens]))], ["t", "d"])
 
-    return sets.mapInArrow(emit, "t long, d long")
+    return sets.select("d", "p").mapInArrow(emit, "t long, d long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v), with whether they link."""
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, part: int = 2048) -> DataFrame:
+    """The pairs (u, v) that link.
+
+    Every set travels to its pivot u once; a crowded pivot is dealt into parts,
+    each with a copy of the pivot's set, which comes first and is held while
+    the others stream past.
+    """
+    parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    guests = pairs.join(parts, "u").select("u", F.col("v").alias("d"), F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
+    hosts = parts.select("u", F.col("u").alias("d"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = guests.unionByName(hosts).join(sets.select("d", "h"), "d").withColumn("first", F.col("d") != F.col("u"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, own = None, np.zeros(0, np.uint64)
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                ok.append(links(overlap(x, y), len(x), len(y), num, den))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["u", "v", "ok"])
+            us, vs = [], []
+            for u, d, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                s = np.frombuffer(h.as_buffer(), np.uint64)
+                if u == d:
+                    host, own = u, np.array(s)
+                elif u == host and links(overlap(own, s), len(own), len(s), num, den):
+                    us.append(u)
+                    vs.append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    left = sets.select(F.col("d").alias("u"), F.col("n").alias("nu"), F.col("h").alias("hu"))
-    right = sets.select(F.col("d").alias("v"), F.col("n").alias("nv"), F.col("h").alias("hv"))
-    sized = pairs.join(right, "v").join(left, "u").where((F.col("nu") * num <= F.col("nv") * den) & (F.col("nv") * num <= F.col("nu") * den))
-    return sized.select("u", "v", "hu", "hv").mapInArrow(test, "u long, v long, ok boolean")
+    dealt = rows.repartition("u", "part").sortWithinPartitions("u", "part", "first")
+    return dealt.select("u", "d", "h").mapInArrow(test, "u long, v long")
 
 
 def _tree_links(open_docs: DataFrame, num: int, den: int, block: int) -> DataFrame:
@@ -278,29 +370,24 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Copies of a text are one document, named by the least id.
     classes = rows.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     shared = cut(_shared_tokens(base.where("doc_id is not null"), k, groups))
-    live = shared.where((F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * F.col("copies") * num)).select("doc_id")
+    live = shared.where((F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * num)).select("doc_id")
     live = cut(live.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
-    sets = cut(_sets(base.join(live, "doc_id", "left_semi"), k)).dropDuplicates(["d"])
-    # Equal sets of different texts: one of them stands for all.
-    named = sets.withColumn("key", F.md5("h"))
-    first = named.groupBy("key").agg(F.min("d").alias("u"))
-    equal = cut(named.select("key", F.col("d").alias("v")).join(first, "key").select("u", "v"))
-    sets = cut(sets.join(equal.where("u = v").select(F.col("v").alias("d")), "d", "left_semi"))
-    tokens = _prefixes(sets, num, den)
-    stars = cut(tokens.withColumn("u", F.min("d").over(Window.partitionBy("t"))).where("u <> d").select("u", F.col("d").alias("v")).distinct())
-    tested = cut(_verified(stars, sets, num, den))
-    linked = tested.where("ok").select("u", "v")
-    edges = linked
-    if stars.count() > linked.count():
-        near = cut(connected_components(linked))
-        wide = cut(connected_components(stars))
-        at = wide.select(F.col("node").alias("d"), F.col("component").alias("group")).join(near.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
-        still = at.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("group")
-        open_docs = at.join(still, "group", "left_semi").join(sets, "d")
-        edges = linked.unionByName(cut(_tree_links(open_docs, num, den, block)))
-    found = connected_components(edges.unionByName(equal.where("u <> v")))
+    tokens_left = shared.join(live, "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0
+    ranked = cut(_ranked_sets(base.where("doc_id is not null"), live, k, int(max(4, round(tokens_left / 2_500_000))), num, den))
+    tokens, sets = _prefixes(ranked), ranked.select("d", "n", "h")
+    # By shared token, a star from the least document; each document is tested against the centre it meets most.
+    stars = tokens.withColumn("u", F.min("d").over(Window.partitionBy("t"))).where("u <> d").groupBy("u", F.col("d").alias("v")).agg(F.count("*").alias("times"))
+    stars = cut(stars)
+    best = stars.groupBy("v").agg(F.max(F.struct("times", (-F.col("u")).alias("less"))).alias("b")).select((-F.col("b.less")).alias("u"), "v")
+    linked = cut(_verified(best, sets, num, den))
+    near = cut(connected_components(linked))
+    wide = cut(connected_components(stars))
+    at = wide.select(F.col("node").alias("d"), F.col("component").alias("group")).join(near.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
+    still = at.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("group")
+    open_docs = at.join(still, "group", "left_semi").join(sets, "d")
+    found = connected_components(linked.unionByName(_tree_links(open_docs, num, den, block)))
     rep_of = rows.join(classes, "key", "left").select("doc_id", "rep")
-    out = rep_of.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").join(shared.select("doc_id", F.col("n").alias("n_shingles")), "doc_id", "left")
+    out = rep_of.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").join(shared.groupBy("doc_id").agg(F.max("n").alias("n_shingles")), "doc_id", "left")
     n = F.coalesce("n_shingles", F.lit(0).cast("long"))
     return out.select("doc_id", n.alias("n_shingles"), F.when(n == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
