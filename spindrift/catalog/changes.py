@@ -11,11 +11,11 @@ from ..plans import planner
 from ..sources import points
 from .base import query
 
-_MOVES = "m as (select id, x + cast((id % 7) * 30 as double) as new_x, y - cast((id % 5) * 40 as double) as new_y from p where id % 3 = 0 union all select 1000000000 + i, 5.0, 5.0 from range(5) t(i))"
+_MOVES = "m as (select id, x + cast((id % 7) * 30 as double) as new_x, y - cast((id % 5) * 40 as double) as new_y from p union all select 1000000000 + i, 5.0, 5.0 from range(5) t(i))"
 
 
 def _moves(spark, p):
-    own = p.df.where("id % 3 = 0").select("id", (F.col("x") + ((F.col("id") % 7) * 30).cast("double")).alias("new_x"), (F.col("y") - ((F.col("id") % 5) * 40).cast("double")).alias("new_y"))
+    own = p.df.select("id", (F.col("x") + ((F.col("id") % 7) * 30).cast("double")).alias("new_x"), (F.col("y") - ((F.col("id") % 5) * 40).cast("double")).alias("new_y"))
     return own.unionByName(spark.range(5).select((F.col("id") + 1000000000).alias("id"), F.lit(5.0).alias("new_x"), F.lit(5.0).alias("new_y")))
 
 
@@ -32,10 +32,10 @@ def crossings(spark, sf_dir):
     return maintain.crossings(p, _moves(spark, p), 6).select("id", "outcome")
 
 
-@query("select id from p where id % 4 <> 0", "events")
+@query("select id from p where cls <> 'error'", "events")
 def remove_ids(spark, sf_dir):
     p = points.events(spark, sf_dir)
-    return maintain.remove(p, p.df.where("id % 4 = 0").select("id")).df.select("id")
+    return maintain.remove(p, p.df.where("cls = 'error'").select("id")).df.select("id")
 
 
 @query("select id from p", "events")
@@ -51,10 +51,10 @@ def insert_rows(spark, sf_dir):
     return maintain.insert(p, new).df.select("id", "x", "y")
 
 
-@query("with f as (select x, y, min(id) as id from p group by x, y) select id, case when id in (select id from f) and id % 2 = 0 then x + 1 else x end as x from p", "parts")
+@query("with f as (select x, y, min(id) as id from p group by x, y) select id, case when id in (select id from f) then x + 1 else x end as x from p", "parts")
 def relocate_by_position(spark, sf_dir):
     p = points.parts(spark, sf_dir)
-    first = p.df.groupBy("x", "y").agg(F.min("id").alias("id")).where("id % 2 = 0")
+    first = p.df.groupBy("x", "y").agg(F.min("id").alias("id"))
     moves = first.select(F.col("x").alias("old_x"), F.col("y").alias("old_y"), (F.col("x") + 1).alias("new_x"), F.col("y").alias("new_y"))
     return maintain.relocate(p, moves).df.select("id", "x")
 
