@@ -56,7 +56,7 @@ def _weighted(grams: Column) -> Column:
     return F.transform(grams, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(grams, 1, i), lambda y: y == x)).alias("n")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 5, similarity: float = 0.75, radius: int = 15, slack: int = 2) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 5, similarity: float = 0.75, radius: int = 23, slack: int = 2) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): the best window of each
     document for each item it resembles; the first of equals.
 

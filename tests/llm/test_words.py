@@ -190,13 +190,13 @@ def test_decontamination_edges(spark):
 
 
 def test_simhash_blocks_cover_the_radius(spark):
-    """Whatever 15 bits change, one of the 16 blocks stays."""
+    """Whatever 23 bits change, one of the 24 blocks stays."""
     df = spark.createDataFrame([([f"w{i}" for i in range(30)],)], "w array<string>").select(decontam.simhash(F.col("w")).alias("s"))
     s = df.first().s
     rng = random.Random(1)
-    flips = [sum(1 << b for b in rng.sample(range(64), 15)) for _ in range(50)]
+    flips = [sum(1 << b for b in rng.sample(range(64), 23)) for _ in range(50)]
     rows = spark.createDataFrame([(int(np.uint64((s & (2**64 - 1)) ^ f).astype(np.int64)),) for f in flips], "t long")
-    both = rows.select(decontam._blocks(F.lit(s), 15).alias("a"), decontam._blocks(F.col("t"), 15).alias("b"))
+    both = rows.select(decontam._blocks(F.lit(s), 23).alias("a"), decontam._blocks(F.col("t"), 23).alias("b"))
     assert all(set(map(tuple, r.a)) & set(map(tuple, r.b)) for r in both.collect())
 
 
