@@ -76,7 +76,7 @@ def _ticks(spark, sf_dir):
 
 
 @query(f"""with recursive {_TICKS},
-s as (select item, tick, case when moves > 0 then relocations / moves::double else 0.0::double end as r, case when moves > 0 then queries / moves::double else 0.0::double end as q, case when moves = 0 then 1 else 0 end as z from t),
+s as (select item, tick, case when moves > 0 then relocations / moves::double else 0.0::double end as r, case when moves > 0 then queries / moves::double else queries::double end as q, case when moves = 0 then 1 else 0 end as z from t),
 f as (select item, tick, r as rate, q as per_move, z::bigint as still from s where tick = 1
   union all select s.item, s.tick, f.rate + 0.1::double * (s.r - f.rate), f.per_move + 0.1::double * (s.q - f.per_move), case when s.z = 1 then f.still + 1 else 0 end from f join s on s.item = f.item and s.tick = f.tick + 1)
 select item, tick, rate, per_move, still from f""")

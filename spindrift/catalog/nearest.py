@@ -157,7 +157,7 @@ def sph_density(spark, sf_dir):
     return near.groupBy(F.col("qid").alias("id")).agg(F.round(F.sum(w * w * w), 3).alias("density"), F.count("*").alias("n"))
 
 
-@query("select id, case when abs(x - 40 + 0.5 * (y - 300)) >= abs(y - 300 - 0.5 * (x - 40)) then (case when x - 40 + 0.5 * (y - 300) >= 0 then 'front' else 'back' end) else (case when y - 300 - 0.5 * (x - 40) > 0 then 'left' else 'right' end) end as side from p", "events")
+@query("select id, case when abs(x - 40 + 0.5 * (y - 300)) >= abs(y - 300 - 0.5 * (x - 40)) then (case when x - 40 + 0.5 * (y - 300) >= 0 then 'front' else 'rear' end) else (case when y - 300 - 0.5 * (x - 40) > 0 then 'left' else 'right' end) end as side from p", "events")
 def sector_classify(spark, sf_dir):
     p = points.events(spark, sf_dir)
     return p.df.select("id", shapes.sector(F.lit(1.0), F.lit(0.5), F.col("x") - 40.0, F.col("y") - 300.0).alias("side"))

@@ -319,10 +319,10 @@ class PolygonShape(Shape):
 
 
 def sector(facing_x, facing_z, dx, dz) -> Column:
-    """front, back, left or right of a facing direction, by dot and cross product."""
+    """front, rear, left or right of a facing direction, by dot and cross product."""
     dot = _c(facing_x) * _c(dx) + _c(facing_z) * _c(dz)
     cross = _c(facing_x) * _c(dz) - _c(facing_z) * _c(dx)
-    return F.when(F.abs(dot) >= F.abs(cross), F.when(dot >= 0, "front").otherwise("back")).otherwise(F.when(cross > 0, "left").otherwise("right"))
+    return F.when(F.abs(dot) >= F.abs(cross), F.when(dot >= 0, "front").otherwise("rear")).otherwise(F.when(cross > 0, "left").otherwise("right"))
 
 
 def angle_about(x, y, cx=0.0, cy=0.0) -> Column:

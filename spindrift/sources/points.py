@@ -57,14 +57,22 @@ class PointFrame:
 
 
 def levels_for_cell_size(world, target: float, most: int = 21) -> int:
-    """Largest level whose cell is still at least `target` on the longest axis."""
+    """Largest level, at least 1, whose cell is still `target` or more on the longest axis."""
     side = max(hi - lo for lo, hi in world)
-    return max(1, min(most, int(math.floor(math.log2(side / target))) if 0 < target < side else 1))
+    return max((n for n in range(1, most + 1) if side / (1 << n) >= target), default=1)
 
 
-def levels_for_density(world, items: int, per_cell: float, most: int = 21) -> int:
-    """Level at which a cell holds about `per_cell` of evenly spread items."""
-    return max(1, min(most, round(math.log2(max(1.0, items / per_cell)) / len(world))))
+def levels_for_density(world, extent: float, hits: float, per_cell: float, most: int = 21) -> int | None:
+    """Level whose cells hold about `per_cell` items at the density that queries meet:
+    `hits` in a ball of diameter `extent`.  None when there is nothing to work from.
+    """
+    dims = len(world)
+    volume = math.prod(hi - lo for lo, hi in world)
+    if min(extent, hits, per_cell, volume) <= 0:
+        return None
+    ball = (math.pi if dims == 2 else 4 / 3 * math.pi) * (extent / 2) ** dims
+    per_axis = (volume * hits / ball / per_cell) ** (1 / dims)
+    return max(1, min(most, round(math.log2(per_axis)))) if math.isfinite(per_axis) and per_axis >= 1 else 1
 
 
 def save(points: PointFrame, path: str, levels: int) -> None:

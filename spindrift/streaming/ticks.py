@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.planner import PolicyState, Thresholds, desired_backend
+from ..plans.planner import Policy, Thresholds
 from ..sources.points import PointFrame
 
-OUTPUT = "item long, tick long, items long, rate double, per_move double, still long, backend string, switched boolean"
-STATE = "rate double, per_move double, still long, backend string, wanted string, held long, since long"
+OUTPUT = "item long, tick long, items long, queries_per_item double, moves_per_item double, still long, backend string, switched boolean, near_misses long"
+STATE = "backend string, queries double, moves double, still long, wanted string, held long, cooling long, near_misses long, migrations long, grid_for long, frozen boolean"
 
 
-def policy_stream(ticks: DataFrame, thresholds: Thresholds = Thresholds(), expected_hits: float = 1.0) -> DataFrame:
+def policy_stream(ticks: DataFrame, thresholds: Thresholds = Thresholds(), expected_hits: float = float("inf")) -> DataFrame:
     """One row a tick with the means and the backend in force after it.
 
     ticks (stream or table): item, tick, items, moves, relocations, queries.
@@ -31,7 +32,7 @@ def policy_stream(ticks: DataFrame, thresholds: Thresholds = Thresholds(), expec
     return ticks.groupBy("item").applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def policy_table(ticks: DataFrame, thresholds: Thresholds = Thresholds(), expected_hits: float = 1.0) -> DataFrame:
+def policy_table(ticks: DataFrame, thresholds: Thresholds = Thresholds(), expected_hits: float = float("inf")) -> DataFrame:
     """The same over a table: the ticks of one workload are folded in order, in one task an item."""
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -42,22 +43,12 @@ def policy_table(ticks: DataFrame, thresholds: Thresholds = Thresholds(), expect
 
 def _fold(key: tuple, rows: pd.DataFrame, before: tuple | None, th: Thresholds, expected_hits: float) -> tuple[pd.DataFrame, tuple]:
     """Advance a workload's state over its ticks: the output rows and the new state."""
-    if before is None:
-        rate = per = None
-        still, p = 0, PolicyState("tree")
-    else:
-        rate, per, still, *policy = before
-        p = PolicyState(policy[0], policy[1] or None, int(policy[2]), int(policy[3]))
+    p = Policy(*before) if before else Policy()
     out = []
     for t in rows.sort_values("tick").itertuples():
-        now, asked = (t.relocations / t.moves, t.queries / t.moves) if t.moves else (0.0, 0.0)
-        rate = now if rate is None else rate + th.detector_alpha * (now - rate)
-        per = asked if per is None else per + th.detector_alpha * (asked - per)
-        still = 0 if t.moves else still + 1
-        want = desired_backend(t.items, rate, per, expected_hits, still, th)
-        switched = p.tick(want, t.items > th.brute_max * th.decisive_factor and p.backend == "brute", th)
-        out.append((key[0], t.tick, t.items, rate, per, still, p.backend, switched))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in OUTPUT.split(", ")]), (rate, per, still, p.backend, p.wanted or "", p.held, p.since)
+        switched = p.tick(int(t.items), int(t.moves), int(t.queries), expected_hits, th)
+        out.append((key[0], t.tick, t.items, p.queries, p.moves, p.still, p.backend, switched, p.near_misses))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in OUTPUT.split(", ")]), astuple(p)
 
 
 def crossing_counts(positions: DataFrame, points: PointFrame, levels: int, every: str = "1 hour", late: str = "10 minutes", time: str = "ts") -> DataFrame:

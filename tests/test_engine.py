@@ -141,7 +141,9 @@ def test_store_round_trip(spark, lattice, tmp_path):
 
 def test_sizing():
     assert levels_for_cell_size(WORLD, 4.0) == 4 and levels_for_cell_size(WORLD, 100.0) == 1
-    assert levels_for_density(WORLD, 8**4 * 8, 8) == 4
+    # 8 items in every 4 x 4 x 4 cube.
+    assert levels_for_density(WORLD, 10.0, 8 / 64 * 4 / 3 * np.pi * 125, 8) == 4
+    assert levels_for_density(WORLD, 0.0, 1.0, 8) is None
 
 
 def test_crossings(spark, lattice):
@@ -156,16 +158,25 @@ def test_crossings(spark, lattice):
 def test_thresholds():
     t = planner.Thresholds.parse("brute_max = 10  # few\nwarm_start = false\nunknown = 3\nmargin=0.5")
     assert (t.brute_max, t.warm_start, t.margin) == (10, False, 0.5) and planner.Thresholds.parse(t.emit()) == t
-    assert planner.hits_mean_q10(1000, 0) == 875 and planner.hits_mean_q10(None, 3) == 3072 and planner.hits_mean_q10(1, 0) == 1
-    assert planner.expected_hits(100, 4.0, 9, 50, None, None) == 8.0 and planner.expected_hits(100, 4.0, 3, 50, 0.5, 6.0) == 3.0
-    assert planner.expected_hits(1, None, 0, 0, None, None) == float("inf")
+    assert planner.hits_mean_q10(1000, 0) == 900 and planner.hits_mean_q10(None, 3) == 3072 and planner.hits_mean_q10(9, 0) == 9
+    assert planner.expected_hits(100, 50, 4.0, 9, 0.0, 0.0) == 8.0 and planner.expected_hits(1, 0, 0.0, 0, 0.0, 0.0) == float("inf")
+    assert abs(planner.expected_hits(1000, 1000, 4.0, 3, 1000.0, 2.0) - 4 / 3 * np.pi) < 1e-9
 
 
 def test_policy_hysteresis():
-    p = planner.PolicyState("tree")
-    switched = [p.tick("grid", False) for _ in range(130)]
-    assert switched.index(True) == 119 and p.backend == "grid"
-    assert planner.PolicyState("brute").tick("tree", True)
+    p = planner.Policy()
+    # Half a query an item: past the grid's edge, not four times past it.
+    switched = [p.tick(10_000, 10_000, 5_000) for _ in range(200)]
+    assert switched.count(True) == 1 and p.backend == planner.GRID and switched.index(True) > 29 and p.near_misses >= 29
+    # A grid without enough hits is left, but only after the cooldown.
+    back = [p.tick(10_000, 10_000, 5_000, hits=2.0) for _ in range(200)]
+    assert back.count(True) == 1 and p.backend == planner.TREE
+    q = planner.Policy(backend=planner.BRUTE)
+    assert not q.tick(70, 70, 7_000) and q.backend == planner.BRUTE  # within the margin
+    frozen = planner.Policy(frozen=True)
+    assert not any(frozen.tick(5, 5, 5) for _ in range(100)) and frozen.near_misses == 100
+    still = planner.Policy()
+    assert [still.tick(10_000, 0, 10) for _ in range(200)].count(True) == 1 and still.backend == planner.STATIC
 
 
 def test_streaming_policy_equals_batch(spark, tmp_path):
