@@ -136,23 +136,23 @@ def template_region(spark, sf_dir):
 @query()
 def template_bank(spark, sf_dir):
     """Statistics of a generated bank."""
-    tasks = rasters.subtasks(spark, sorted(rasters.FIGURES), [1.0, 2.0], [1, 2], 45.0)
+    tasks = rasters.subtasks(spark, sorted(rasters.FIGURES), [16.0, 32.0], [4, 8], 45.0)
     return rasters.bank_statistics(rasters.bank(tasks))
 
 
 @query()
 def template_resolve(spark, sf_dir):
     """Figures placed at lattice points, with the stored raster of their offset."""
-    entries = rasters.unique(rasters.bank(rasters.subtasks(spark, ["drop", "box"], [1.0], [2], 90.0)))
+    entries = rasters.unique(rasters.bank(rasters.subtasks(spark, ["drop", "box"], [16.0], [2], 90.0)))
     i = F.col("id")
-    placements = spark.range(100).select(i.alias("pid"), F.when(i % 2 == 0, "drop").otherwise("box").alias("figure"), F.lit(1.0).alias("scale"), F.lit(2).alias("cell"), ((i % 4) * 90.0).alias("angle"), (i * 7 - 50).cast("int").alias("px"), (i * 3 - 20).cast("int").alias("py"))
+    placements = spark.range(100).select(i.alias("pid"), F.when(i % 2 == 0, "drop").otherwise("box").alias("figure"), F.lit(16.0).alias("scale"), F.lit(2).alias("cell"), ((i % 4) * 90.0).alias("angle"), (i * 7 - 50).cast("int").alias("px"), (i * 3 - 20).cast("int").alias("py"))
     return rasters.resolve(placements, entries).select("pid", "dx", "dy", "tid", "op")
 
 
 @query()
 def template_fingerprint(spark, sf_dir):
     """Every raster of a small bank as text, for comparison between builds."""
-    tasks = rasters.subtasks(spark, sorted(rasters.FIGURES), [1.0], [1, 2, 3, 4], 45.0)
+    tasks = rasters.subtasks(spark, sorted(rasters.FIGURES), [32.0], rasters.FINGERPRINT_CELLS, rasters.FINGERPRINT_ANGLES)
     return rasters.bank(tasks).select("figure", "angle", "cell", "dx", "dy", "op", F.hex("code").alias("code"))
 
 

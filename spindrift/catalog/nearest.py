@@ -206,14 +206,14 @@ def predator_vision(spark, sf_dir):
 
 
 @query("""select 1::bigint as fid, id from p where (x - 60.0) * (x - 60.0) + (y - 300.0) * (y - 300.0) <= 1600.0
-union all select 2::bigint, id from p where x - 100 <= 0 and (x - 100.0) * (x - 100.0) + (y - 500.0) * (y - 500.0) <= 900.0
-union all select 2::bigint, id from p where x - 100 > 0 and 30 * (x - 100) + 70 * abs(y - 500) <= 2100""", "events")
+union all select 2::bigint, id from p where y > 570 and (x - 100.0) * (x - 100.0) + (y - 570.0) * (y - 570.0) <= 900.0
+union all select 2::bigint, id from p where y <= 570 and 70 * abs(x - 100) <= 30 * (y - 500)""", "events")
 def figure_attack(spark, sf_dir):
     """Points in figures with arc edges: a disc and a drop."""
     from ..functions.figures import points_in_figures
     from ..operators import rasters
 
-    figures = {1: rasters.placed(rasters.disc(4.0), 10.0, 0.0, 60.0, 300.0), 2: rasters.placed(rasters.drop(3.0, 7.0), 10.0, 0.0, 100.0, 500.0)}
+    figures = {1: rasters.placed(rasters.circle(4.0), 10.0, 0.0, 60.0, 300.0), 2: rasters.placed(rasters.drop(3.0, 7.0), 10.0, 0.0, 100.0, 500.0)}
     return points_in_figures(points.events(spark, sf_dir).df, figures)
 
 

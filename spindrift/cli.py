@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> None:
         for name in a.names or sorted(registry.ORACLES):
             print(name, registry.QUERIES[name](spark, a.data).count(), len(con.sql(registry.ORACLES[name]).fetchall()))
     elif a.command == "generate":
-        tasks = rasters.subtasks(spark, sorted(rasters.FIGURES), [1.0, 2.0], [1, 2, 4], 15.0)
+        tasks = rasters.subtasks(spark, sorted(rasters.FIGURES), [16.0, 32.0], [1, 2, 4, 8], 15.0)
         rasters.unique(rasters.bank(tasks)).write.mode("overwrite").parquet(a.out)
     elif a.command == "fingerprint":
         for r in registry.QUERIES["template_fingerprint"](spark, a.data).orderBy("figure", "angle", "cell", "dx", "dy").toLocalIterator():

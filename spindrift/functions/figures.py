@@ -37,18 +37,21 @@ def figures_meet(a: list[Vertex], b: list[Vertex]) -> bool:
 
 
 def inflated_convex(ring: list[Vertex], r: float) -> list[Vertex]:
-    """Dilation of a convex, counter-clockwise figure: edges move outward, arcs of radius r join them."""
+    """Dilation of a convex figure: edges move outward, arcs of radius r join them."""
+    p = flattened(ring)
+    q = np.roll(p, -1, axis=0)
+    turn = 1 if (p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() > 0 else -1  # counter-clockwise or not
     out: list[Vertex] = []
     for (x, y, xc, yc, d), (x2, y2, *_) in zip(ring, ring[1:] + ring[:1]):
         if d:
             rho = math.hypot(x - xc, y - yc)
             grow = (rho + r) / rho
             a, b = (xc + (x - xc) * grow, yc + (y - yc) * grow), (xc + (x2 - xc) * grow, yc + (y2 - yc) * grow)
-            out += [(*a, xc, yc, 1), (*b, x2, y2, 1)]
+            out += [(*a, xc, yc, turn), (*b, x2, y2, turn)]
         else:
             n = math.hypot(x2 - x, y2 - y)
-            ox, oy = (y2 - y) / n * r, -(x2 - x) / n * r
-            out += [(x + ox, y + oy, 0.0, 0.0, 0), (x2 + ox, y2 + oy, x2, y2, 1)]
+            ox, oy = turn * (y2 - y) / n * r, -turn * (x2 - x) / n * r
+            out += [(x + ox, y + oy, 0.0, 0.0, 0), (x2 + ox, y2 + oy, x2, y2, turn)]
     # An arc between coinciding ends is none.
     kept = []
     for v, w in zip(out, out[1:] + out[:1]):

@@ -19,21 +19,22 @@ from ..functions.shapes import IN, MAYBE, OUT
 Vertex = tuple[float, float, float, float, int]  # x, y, and of the edge that follows: arc centre and turn (0: straight)
 
 
-def box(w: float, h: float) -> list[Vertex]:
-    return [(0, 0, 0, 0, 0), (w, 0, 0, 0, 0), (w, h, 0, 0, 0), (0, h, 0, 0, 0)]
+def square(sx: float, sy: float, ex: float, ey: float) -> list[Vertex]:
+    return [(sx, sy, 0, 0, 0), (ex, sy, 0, 0, 0), (ex, ey, 0, 0, 0), (sx, ey, 0, 0, 0)]
 
 
-def square(s: float) -> list[Vertex]:
-    return box(s, s)
+def box(side: float) -> list[Vertex]:
+    """A square about the origin."""
+    return square(-side / 2, -side / 2, side / 2, side / 2)
 
 
-def disc(r: float) -> list[Vertex]:
-    return [(r, 0, 0, 0, 1), (-r, 0, 0, 0, 1)]
+def circle(r: float) -> list[Vertex]:
+    return [(0, -r, 0, 0, -1), (0, r, 0, 0, -1)]
 
 
-def drop(r: float, tip: float) -> list[Vertex]:
-    """A half disc and a point opposite to it."""
-    return [(0, r, 0, 0, 1), (0, -r, 0, 0, 0), (tip, 0, 0, 0, 0)]
+def drop(width: float, height: float) -> list[Vertex]:
+    """A tip at the origin under a half disc of radius `width` about (0, height)."""
+    return [(-width, height, 0, height, -1), (width, height, 0, 0, 0), (0, 0, 0, 0, 0)]
 
 
 def placed(ring: list[Vertex], scale: float = 1.0, degrees: float = 0.0, dx: float = 0.0, dy: float = 0.0) -> list[Vertex]:
@@ -90,13 +91,16 @@ def classify(ring: list[Vertex], x0: float, y0: float, cols: int, rows: int, cw:
     every = corner[:-1, :-1] & corner[:-1, 1:] & corner[1:, :-1] & corner[1:, 1:]
     some = corner[:-1, :-1] | corner[:-1, 1:] | corner[1:, :-1] | corner[1:, 1:]
     state = np.where(every, IN, np.where(some, MAYBE, OUT)).astype(np.uint8)
-    pts = flattened(ring)
-    for (ax, ay), (bx, by) in zip(pts, np.roll(pts, -1, axis=0)):
-        n = max(2, int(8 * max(abs(bx - ax) / cw, abs(by - ay) / ch)) + 2)
-        t = np.linspace(0, 1, n)
-        c, r = np.floor((ax + (bx - ax) * t - x0) / cw).astype(int), np.floor((ay + (by - ay) * t - y0) / ch).astype(int)
-        ok = (c >= 0) & (c < cols) & (r >= 0) & (r < rows)
-        state[r[ok], c[ok]] = MAYBE
+    # Samples along all chords of the outline, eight and more to a cell.
+    a = flattened(ring)
+    b = np.roll(a, -1, axis=0)
+    n = np.maximum(2, (8 * np.abs((b - a) / (cw, ch)).max(axis=1)).astype(int) + 2)
+    first = np.cumsum(n) - n
+    i = np.repeat(np.arange(len(a)), n)
+    t = ((np.arange(n.sum()) - first[i]) / (n[i] - 1))[:, None]
+    p = np.floor((a[i] + (b[i] - a[i]) * t - (x0, y0)) / (cw, ch)).astype(int)
+    p = p[((p >= 0) & (p < (cols, rows))).all(axis=1)]
+    state[p[:, 1], p[:, 0]] = MAYBE
     return state
 
 
@@ -138,17 +142,20 @@ def canonical(m: np.ndarray) -> tuple[bytes, str]:
     return code(symmetries(m)[best]), back
 
 
-FIGURES = {"drop": drop(3.0, 7.0), "circle": disc(4.0), "box": box(8.0, 4.0), "square": square(6.0)}
+# The figures, angles and cells of the fingerprint, at scale 32.
+FIGURES = {"drop": drop(0.2, 0.8), "circle": circle(1.0), "box": box(1.0), "square": square(0.0, 0.0, 0.5, 0.7)}
+FINGERPRINT_ANGLES = [0.0, 15.0, 30.0, 45.0, 90.0, 135.0, 180.0, 270.0]
+FINGERPRINT_CELLS = [1, 8, 16]
 
 
 def angles(step: float) -> list[float]:
     return [i * step for i in range(math.ceil(360 / step))]
 
 
-def subtasks(spark: SparkSession, figures: list[str], scales: list[float], cells: list[int], step: float, most: int = 500_000) -> DataFrame:
-    """(figure, scale, cell, angle, task): the work of a bank, in tasks of at most `most` rasters."""
+def subtasks(spark: SparkSession, figures: list[str], scales: list[float], cells: list[int], step: float | list[float], most: int = 500_000) -> DataFrame:
+    """(figure, scale, cell, angle, task): the work of a bank, in tasks of at most about `most` rasters; angles by step or as a list."""
     rows = spark.createDataFrame([(f, float(s), c) for f in figures for s in scales for c in cells], "figure string, scale double, cell int")
-    out = rows.withColumn("angle", F.explode(F.array(*(F.lit(float(a)) for a in angles(step)))))
+    out = rows.withColumn("angle", F.explode(F.array(*(F.lit(float(a)) for a in (step if isinstance(step, list) else angles(step))))))
     per = F.col("cell") * F.col("cell")
     n = F.sum(per).over(Window.partitionBy("figure", "scale", "cell").orderBy("angle"))
     return out.withColumn("task", F.floor((n - 1) / most).cast("int"))
@@ -232,17 +239,20 @@ def resolve_scaled(placements: DataFrame, entries: DataFrame, factor: int) -> Da
     return resolve(small, entries)
 
 
-def stencil(spark: SparkSession, radius: float, offset: float = 0.5) -> DataFrame:
+CELL_CENTRE, CELL_CORNER = (0.5, 0.5, 0.5), (0.0, 0.0, 0.0)
+
+
+def stencil(spark: SparkSession, radius: float, phase: tuple[float, float, float] = CELL_CENTRE) -> DataFrame:
     """Unit cells of a sphere by row: (dy, dz, touch0, touch1, full0, full1), empty full runs null.
 
-    ``offset`` is where the centre lies in its cell: 0.5 its middle, 0 its corner.
+    ``phase`` is where the centre lies in its cell.
     """
     n = math.ceil(radius) + 1
     span = spark.range(-n, n + 1).select(F.col("id").cast("int").alias("v"))
     cells = span.select(F.col("v").alias("dy")).crossJoin(span.select(F.col("v").alias("dz"))).withColumn("dx", F.explode(F.sequence(F.lit(-n), F.lit(n))))
     near, far = F.lit(0.0), F.lit(0.0)
-    for c in ("dx", "dy", "dz"):
-        lo, hi = F.col(c) - F.lit(float(offset)), F.col(c) + F.lit(1.0 - offset)
+    for c, e in zip(("dx", "dy", "dz"), phase):
+        lo, hi = F.col(c) - F.lit(float(e)), F.col(c) + F.lit(1.0 - e)
         gap, reach = F.greatest(lo, F.lit(0.0), -hi), F.greatest(F.abs(lo), F.abs(hi))
         near, far = near + gap * gap, far + reach * reach
     r2 = float(radius) * float(radius)

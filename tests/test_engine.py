@@ -214,7 +214,7 @@ def test_symmetries_and_codes():
 def test_rasters_tell_the_truth(name):
     rng = np.random.default_rng(2)
     for angle in (0, 30, 135):
-        ring = rasters.placed(rasters.FIGURES[name], 2.0, angle, 20.0, 20.0)
+        ring = rasters.placed(rasters.FIGURES[name], 16.0, angle, 20.0, 20.0)
         state = rasters.classify(ring, 0, 0, 40, 40, 1.0, 1.0)
         x, y = rng.uniform(0, 40, 4000), rng.uniform(0, 40, 4000)
         truth, cell = rasters.inside(ring, x, y), state[y.astype(int), x.astype(int)]
@@ -222,16 +222,16 @@ def test_rasters_tell_the_truth(name):
 
 
 def test_arcs_are_round():
-    ring = rasters.placed(rasters.disc(4.0), 1.0, 17.0, 3.0, -2.0)
+    ring = rasters.placed(rasters.circle(4.0), 1.0, 17.0, 3.0, -2.0)
     rng = np.random.default_rng(3)
     x, y = rng.uniform(-3, 9, 3000), rng.uniform(-8, 4, 3000)
     assert (rasters.inside(ring, x, y) == ((x - 3) ** 2 + (y + 2) ** 2 <= 16)).all()
 
 
 def test_bank_reuse(spark):
-    entries = rasters.unique(rasters.bank(rasters.subtasks(spark, ["box"], [1.0, 2.0], [2, 4], 90.0)))
-    small = entries.where("scale = 1 and cell = 2")
-    big = spark.createDataFrame([(1, "box", 2.0, 4, 0.0, 6, 10)], "pid long, figure string, scale double, cell int, angle double, px int, py int")
+    entries = rasters.unique(rasters.bank(rasters.subtasks(spark, ["box"], [8.0, 16.0], [2, 4], 90.0)))
+    small = entries.where("scale = 8 and cell = 2")
+    big = spark.createDataFrame([(1, "box", 16.0, 4, 0.0, 6, 10)], "pid long, figure string, scale double, cell int, angle double, px int, py int")
     scaled = rasters.resolve_scaled(big, small, 2).collect()
     direct = rasters.resolve(big, entries).collect()
     assert scaled[0].code == direct[0].code
@@ -247,11 +247,11 @@ def test_polygon_boundary_counts(spark):
 def test_figures():
     from spindrift.functions import figures
 
-    big, small = rasters.disc(5.0), rasters.placed(rasters.square(2.0), 1.0, 0.0, -1.0, -1.0)
+    big, small = rasters.circle(5.0), rasters.box(2.0)
     assert figures.completely_contains(big, small) and not figures.completely_contains(small, big)
-    far = rasters.placed(rasters.square(2.0), 1.0, 0.0, 30.0, 0.0)
+    far = rasters.placed(rasters.box(2.0), 1.0, 0.0, 30.0, 0.0)
     assert not figures.figures_meet(big, far) and figures.figures_meet(big, small)
-    edge = rasters.placed(rasters.square(2.0), 1.0, 0.0, 4.0, -1.0)
+    edge = rasters.placed(rasters.box(2.0), 1.0, 0.0, 5.0, 0.0)
     assert figures.outlines_cross(big, edge) and not figures.completely_contains(big, edge)
 
 
@@ -259,7 +259,7 @@ def test_figures():
 def test_dilation_is_the_distance(name):
     from spindrift.functions import figures
 
-    ring = rasters.placed(rasters.FIGURES[name], 2.0, 20.0, 1.0, 2.0)
+    ring = rasters.placed(rasters.FIGURES[name], 10.0, 20.0, 1.0, 2.0)
     grown = figures.inflated_convex(ring, 1.5)
     rng = np.random.default_rng(4)
     x, y = rng.uniform(-20, 25, 1500), rng.uniform(-20, 25, 1500)
