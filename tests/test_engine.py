@@ -300,3 +300,18 @@ def test_command_line(spark, sf_dir, capsys, tmp_path):
     for line in capsys.readouterr().out.strip().splitlines():
         _, a, b = line.split()
         assert a == b
+
+
+def test_crossings_by_window(spark, tmp_path):
+    from spindrift.streaming.ticks import crossing_counts
+
+    rows = [(i, float(i % 8) * 8, 1.0, f"2024-01-01 0{i % 3}:10:00") for i in range(48)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, t string").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
+    df.write.parquet(str(tmp_path / "in"))
+    p = PointFrame(df, ("x", "y"), WORLD[:2])
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = crossing_counts(stream, p, 3).writeStream.format("memory").queryName("visits").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.window.start.hour, r.cell): r.n for r in spark.table("visits").collect()}
+    assert sum(got.values()) == 48 and len(got) == 24 and set(got.values()) == {2}
