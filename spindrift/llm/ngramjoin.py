@@ -124,7 +124,7 @@ class SignatureTree:
                 continue
             if not a.children and not b.children:
                 self._verify(a.docs[0], b.docs[0])
-            elif len(a.docs) >= len(b.docs):
+            elif a.children and (len(a.docs) >= len(b.docs) or not b.children):
                 stack += [(c, b) for c in a.children]
             else:
                 stack += [(a, c) for c in b.children]

@@ -100,6 +100,24 @@ def test_signature_tree_finds_every_link():
     assert all(i < 30 <= j or j < 30 <= i for i, j in two.found)
 
 
+@pytest.mark.parametrize("n", range(1, 24))
+def test_signature_trees_of_any_size(n):
+    """Nodes with a single child lose no pair."""
+    rng = np.random.default_rng(n)
+    base = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
+    other = [np.unique(rng.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(n - 1)]
+    near = base.copy()
+    near[:3] += np.uint64(1)
+    sets = [base, *other, np.unique(near)]
+    tree = ngramjoin.SignatureTree(sets, list(range(n + 1)), 75, 100)
+    a = tree.build(list(range(n + 1)))
+    assert [tuple(sorted(f)) for f in tree.search(a, a)] == [(0, n)]
+    for cut in range(1, n + 1):
+        two = ngramjoin.SignatureTree(sets, list(range(n + 1)), 75, 100)
+        found = two.search(two.build(list(range(cut))), two.build(list(range(cut, n + 1))))
+        assert [tuple(sorted(f)) for f in found] == [(0, n)]
+
+
 def test_substrings(spark, texts):
     words = [WORD.findall(t or "") for t in texts]
     first = {}
