@@ -14,6 +14,9 @@ from spindrift.llm import decontam, langid, linededup, ngramjoin, packing
 from spindrift.llm.common import cut, table
 from spindrift.llm.queries import tokenizer_path
 
+#: One shingle of the two stages after line dedup: shorter runs of one or two lines are trivial and stay.
+RUN_WORDS = 5
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; `und` ones (null or letterless texts) go.
@@ -28,17 +31,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines are deleted; a document of which nothing is left goes.
 
+    A run is three lines or more, or fewer that hold ``RUN_WORDS`` words.
     ``n_chars`` follows the text.
     """
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_lines(docs, words=RUN_WORDS)
     out = out.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every group of similar documents stays."""
-    return ngramjoin.keep_one_of_each(docs)
+    """The smallest id of every group of similar documents stays.
+
+    Documents that were similar before line dedup count too: what it leaves of
+    a near copy no longer resembles the text that it was copied from.
+    """
+    whole = table(spark, sf_dir, "documents").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    copies = ngramjoin.shingle_components(whole).where("component_id <> doc_id").select("doc_id").distinct()
+    return ngramjoin.keep_one_of_each(cut(docs.join(copies, "doc_id", "left_anti").select(*docs.columns)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,12 +17,18 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _windows(docs: DataFrame, run: int) -> DataFrame:
-    """(doc_id, s, h0.., fp, at): each window of `run` lines, its fingerprint and that line's position."""
-    hashed = docs.where("doc_id is not null and text is not null").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= run)
+def _windows(docs: DataFrame, run: int, words: int = 0) -> DataFrame:
+    """(doc_id, s, h0.., fp, at): each window of `run` lines that holds `words` words, its fingerprint and that line's position."""
+    lines = F.split("text", "\n")
+    columns = {"h": F.transform(lines, lambda x: F.xxhash64(x))}
+    if words:
+        columns["c"] = F.transform(lines, lambda x: F.size(F.filter(F.split(x, "[\\x20\\x09-\\x0D]+"), lambda y: y != "")))
+    hashed = docs.where("doc_id is not null and text is not null").select("doc_id", *(x.alias(name) for name, x in columns.items())).where(F.size("h") >= run)
     last = F.size("h") - (run - 1)
-    zipped = F.arrays_zip(F.sequence(F.lit(0), last - 1).alias("s"), *(F.slice("h", k + 1, last).alias(f"h{k}") for k in range(run)))
+    zipped = F.arrays_zip(F.sequence(F.lit(0), last - 1).alias("s"), *(F.slice(name, k + 1, last).alias(f"{name}{k}") for name in columns for k in range(run)))
     w = hashed.select("doc_id", F.inline(zipped))
+    if words:
+        w = w.where(reduce(lambda a, b: a + b, (F.col(f"c{k}") for k in range(run))) >= words).drop(*(f"c{k}" for k in range(run)))
     fp = F.least(*(F.col(f"h{k}") for k in range(run))) if run > 1 else F.col("h0")
     w = w.withColumn("fp", fp)
     # The rightmost least line of the window is the one it selects.
@@ -30,23 +36,31 @@ def _windows(docs: DataFrame, run: int) -> DataFrame:
     return w.withColumn("at", F.col("s") + at)
 
 
-def later_lines(docs: DataFrame, run: int) -> DataFrame:
+def _hits(near: DataFrame, run: int) -> DataFrame:
+    """(doc_id, line): lines of the windows whose lines occur earlier."""
+    keys = [f"h{k}" for k in range(run)]
+    first = near.groupBy(*keys).agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = near.join(first, keys).where(F.struct("doc_id", "s") > F.col("first"))
+    return later.select("doc_id", F.explode(F.sequence("s", F.col("s") + (run - 1))).alias("line"))
+
+
+def later_lines(docs: DataFrame, run: int, words: int | None = None) -> DataFrame:
     """(doc_id, gone): sorted positions of the lines that repeat an earlier run."""
     windows = cut(_windows(docs, run))
     prints = windows.select("fp", "doc_id", "at").distinct()
     repeated = prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    keys = [f"h{k}" for k in range(run)]
-    near = windows.join(repeated, "fp", "left_semi")
-    first = near.groupBy(*keys).agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = near.join(first, keys).where(F.struct("doc_id", "s") > F.col("first"))
-    hit = later.select("doc_id", F.explode(F.sequence("s", F.col("s") + (run - 1))).alias("line")).distinct()
+    hit = _hits(windows.join(repeated, "fp", "left_semi"), run)
+    # Shorter runs that have words enough; one very common line would crowd its fingerprint, so all are grouped.
+    for short in range(1, run) if words is not None else ():
+        hit = hit.unionByName(_hits(cut(_windows(docs, short, words).drop("fp", "at")), short))
     # Bounded by the lines of one document.
-    return hit.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    return hit.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, words: int | None = None) -> DataFrame:
     """docs with later repeated runs of `run` or more lines deleted, and the
-    columns n_lines and n_removed.
+    columns n_lines and n_removed.  With `words`, a run of fewer lines counts
+    too if it holds that many words; the first place of every line stays.
 
     Order is by id, then line; a run may repeat within a document.  Defined
     cases: a null text stays null and has no line; an empty text is one empty
@@ -55,7 +69,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no row; a column named n_lines or n_removed is replaced.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = later_lines(slim, run).withColumnsRenamed({"doc_id": "__doc", "gone": "__gone"})
+    gone = later_lines(slim, run, words).withColumnsRenamed({"doc_id": "__doc", "gone": "__gone"})
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     joined = docs.select(*kept_columns).join(gone, F.col(id_col).cast("long") == F.col("__doc"), "left")
     lines = F.split(F.col(text_col), "\n")

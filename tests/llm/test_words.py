@@ -166,6 +166,41 @@ def test_lines_edges(spark):
     assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed, r.gone) for r in out.collect()) == [(0, "a\nb\nc\nd", 4, 0, 1), (1, "e", 4, 3, 1), (1, "e", 4, 3, 1)]
 
 
+def test_short_runs_count_by_their_words(spark):
+    rng = random.Random(9)
+    pool = ["", "a b", "c d e", "  f ", "one two three four five six", "g\th i", "seven eight nine ten eleven"]
+    docs = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 5))) + f"\nown {i}" for i in range(40)]
+    docs += [f"start {i}\nthis one line stands in very many documents\nend {i}" for i in range(30)]
+    lines = [d.split("\n") for d in docs]
+    gone = [set() for _ in docs]
+    for run in (1, 2, 3):
+        seen = set()
+        for i, own in enumerate(lines):
+            for s in range(len(own) - run + 1):
+                key = tuple(own[s : s + run])
+                if run == 3 or sum(len(x.split()) for x in key) >= 5:
+                    gone[i] |= set(range(s, s + run)) if key in seen else set()
+                    seen.add(key)
+    want = [(i, "\n".join(x for j, x in enumerate(own) if j not in gone[i]), len(gone[i])) for i, own in enumerate(lines)]
+    out = linededup.dedup_lines(frame(spark, docs), words=5).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in out) == want
+    import corpus_pipeline
+
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame(spark, docs).withColumn("n_chars", F.length("text").cast("long")), "").collect()}
+    assert kept == {i: t for i, t, n in want if not n or t.strip()}
+
+
+def test_line_dedup_does_not_hide_near_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    lines = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(12)]
+    edited = [x.replace("w3x7", "other") for x in lines]
+    docs = frame(spark, ["\n".join(lines), "\n".join(edited), "\n".join(reversed(lines[:2])) + "\nand seven more words of its own"]).withColumn("n_chars", F.length("text").cast("long"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    left = corpus_pipeline.near_copies(spark, corpus_pipeline.line_dedup(spark, docs, str(tmp_path)), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(0, "\n".join(lines)), (2, "and seven more words of its own")]
+
+
 def weighted(a, b, k=5):
     grams = lambda w: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else Counter([tuple(w)])
     a, b = grams(a), grams(b)
