@@ -151,6 +151,21 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, part: int) -> DataFrame
     return full.repartition("w", "salt").sortWithinPartitions("w", "salt").mapInArrow(introduce, EDGE)
 
 
+def _sure(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of the edges that reach the threshold in double precision."""
+    near = edges.where(F.col("s") >= threshold - 1e-4).select("u", F.col("x").alias("v"), "s")
+    # Single precision is off by far less than 1e-4: only edges that close are computed again.
+    open_edges = near.where(F.col("s") < threshold + 1e-4).select("u", "v")
+    ends = open_edges.join(nodes.select(F.col("rep").alias("u"), F.col("v").alias("a")), "u").join(nodes.select(F.col("rep").alias("v"), F.col("v").alias("b")), "v").select("u", "v", "a", "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [float(np.frombuffer(x.as_buffer(), np.float64) @ np.frombuffer(y.as_buffer(), np.float64)) >= threshold for x, y in zip(b.column(2), b.column(3))]
+            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return near.where(F.col("s") >= threshold + 1e-4).select("u", "v").unionByName(ends.mapInArrow(verify, "u long, v long"))
+
+
 def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """(rep, links): linked copies within each component; members: component, rep, many, v.
 
@@ -231,14 +246,11 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             graph = graph.drop("old")
             if new <= settle * size:
                 break
-        edges = graph.where(F.col("s") >= threshold - 1e-4).select("u", F.col("x").alias("v"))
-        found = cut(connected_components(edges))
+        found = cut(connected_components(_sure(graph, nodes, threshold)))
         members = found.withColumnRenamed("node", "rep").join(nodes, "rep")
         links = cut(_count_links(members, threshold, block))
         if _audit(nodes, links, threshold, audit_rows) >= recall:
             break
-    # Components of links alone: an edge in single precision may fall just below.
-    found = found.join(links.where("links > 0").select(F.col("rep").alias("node")), "node", "left_semi")
     per_node = nodes.select("rep", "many").join(links, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     per_node = per_node.select("rep", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(per_node, "rep", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

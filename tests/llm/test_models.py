@@ -37,6 +37,22 @@ def test_nn_descent(spark):
     assert nndescent.link_vectors(df.limit(0)).count() == 0
 
 
+def test_components_have_no_link_just_below(spark):
+    turn = lambda c: np.array([c, np.sqrt(1 - c * c)])
+    a = np.array([1.0, 0.0])
+    rows = {}
+    # Axes of their own: 1-2 linked, 3-4 linked, 2-3 just below; 10 hangs on 11 by such a pair alone.
+    for i, v in ((2, a), (3, turn(0.89995)), (1, turn(0.95) * [1, -1])):
+        rows[i] = [*v, 0.0, 0.0]
+    angle = np.arccos(0.89995) + np.arccos(0.95)
+    rows[4] = [np.cos(angle), np.sin(angle), 0.0, 0.0]
+    for i, v in ((10, turn(0.89992)), (11, a), (12, turn(0.97) * [1, -1])):
+        rows[i] = [0.0, 0.0, *v]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows.items()], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nndescent.link_vectors(df).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (1, 3, True), 4: (1, 3, False), 10: (0, 10, True), 11: (1, 11, True), 12: (1, 11, False)}
+
+
 def test_different_lengths_do_not_link(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [2.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, nndescent.link_vectors(df).collect())) == [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False)]
