@@ -37,6 +37,26 @@ def test_nn_descent(spark):
     assert nndescent.link_vectors(df.limit(0)).count() == 0
 
 
+def test_full_lists_do_not_end_a_component(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(4):
+        axis, other, third = np.linalg.qr(rng.standard_normal((24, 3)))[0].T
+        # Three groups of near copies; only the first and second, and the second and third, are linked across.
+        for angle in (0.0, 0.38, 0.76):
+            centre = np.cos(angle) * axis + np.sin(angle) * other
+            rows += [centre + rng.standard_normal(24) * 0.012 for _ in range(30)]
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    x = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    want = near.sum(axis=1) - 1
+    for options in ({}, {"recall": 1.1}):
+        got = nndescent.link_vectors(df, leaf=64, block=50, **options).toPandas().sort_values("vec_id")
+        assert (got.n_links.to_numpy() == want).all()
+        assert (got.component_id.to_numpy() == np.repeat([0, 90, 180, 270], 90)).all()
+        assert got.kept.sum() == 4
+
+
 def test_components_have_no_link_just_below(spark):
     turn = lambda c: np.array([c, np.sqrt(1 - c * c)])
     a = np.array([1.0, 0.0])
