@@ -3,9 +3,9 @@
 A page becomes text nodes with root-to-leaf tag paths.  Per path the text
 length, the punctuation and the nodes are added up; the ratios of text and of
 punctuation to nodes are smoothed over paths that share their ancestors, fused
-by their product, and paths above a share of the best one are content.  The
-smallest subtree that holds nearly all of the score is the article: its
-blocks are kept in page order.  Elements that say what they are (menus,
+by their product, and paths above a share of the best one are content: their
+blocks, and the headings over them, are kept in page order.  A declared article
+or main element that holds 30 per cent of the score is taken whole.  Elements that say what they are (menus,
 footers, forms, adverts ...) are out before any ratio is taken.
 """
 
@@ -135,7 +135,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     return out
 
 
-def content_nodes(blocks: list[tuple[tuple[str, ...], str, int]], share: float = 0.08, hold: float = 0.85) -> list[int]:
+def content_nodes(blocks: list[tuple[tuple[str, ...], str, int]], share: float = 0.08) -> list[int]:
     """Indices of the blocks on content paths."""
     if not blocks:
         return []
@@ -167,7 +167,7 @@ def content_nodes(blocks: list[tuple[tuple[str, ...], str, int]], share: float =
     content = [p for p in paths if fused[p] > 0 and fused[p] >= share * best]
     if not content:
         return []
-    # The smallest subtree that holds nearly all content; a declared article wins over a bare body.
+    # A declared article that holds enough of the content is taken whole.
     mass: dict[tuple, float] = defaultdict(float)
     total = 0.0
     for p in content:
@@ -176,11 +176,17 @@ def content_nodes(blocks: list[tuple[tuple[str, ...], str, int]], share: float =
         for k in range(1, len(p) + 1):
             mass[p[:k]] += m
     declared = [p for p in mass if p[-1] in _CONTENT and mass[p] >= 0.3 * total]
-    root = max(declared, key=lambda p: (mass[p], -len(p))) if declared else max((p for p in mass if mass[p] >= hold * total and p[-1] not in _INLINE and p[-1] not in ("p", "h1", "h2", "h3", "li", "pre")), key=len, default=())
+    if declared:
+        root = max(declared, key=lambda p: (mass[p], -len(p)))
+        return [i for i, (path, _, _) in enumerate(blocks) if path[: len(root)] == root]
     chosen = set(content)
     # A block that is mostly links is navigation, unless it is a heading.
-    prose = lambda path, text, link: link * 2 <= len(text) or not _HEADINGS.isdisjoint(path)
-    return [i for i, (path, text, link) in enumerate(blocks) if path[: len(root)] == root and (path in chosen or declared) and prose(path, text, link)]
+    kept = {i for i, (path, text, link) in enumerate(blocks) if path in chosen and (link * 2 <= len(text) or not _HEADINGS.isdisjoint(path))}
+    # A heading too short for its path to pass goes with the block that it stands over.
+    for i in range(len(blocks) - 2, -1, -1):
+        if i + 1 in kept and not _HEADINGS.isdisjoint(blocks[i][0]):
+            kept.add(i)
+    return sorted(kept)
 
 
 def main_text(page: str | None) -> str:

@@ -123,6 +123,19 @@ def test_plain_body_without_article():
     assert text.startswith("Sentence number 0") and text.endswith("ends here.") and "Menu" not in text and "next" not in text
 
 
+def test_blocks_outside_the_largest_stay():
+    lead = "Lead sentence, with words of its own. " * 5
+    paragraphs = [f"Paragraph {i} has words, and goes on. " * 10 for i in range(8)]
+    inner = "".join(f"<p>{x}</p>" for x in paragraphs)
+    page = f"<body><ul><li><a href=x>Menu one</a></ul><div><h1>Title</h1><p>{lead}<div>{inner}</div><div><a href=z>next</a></div></div></body>"
+    assert htmltext.main_text(page) == " ".join(["Title", lead.strip(), *(x.strip() for x in paragraphs)])
+
+
+def test_links_of_a_declared_article_stay():
+    page = f"<body><article><p>{'Some prose, as it goes. ' * 9}</p><p><a href=x>The whole report, with all figures.</a></p></article><p><a href=y>next page</a></p></body>"
+    assert htmltext.main_text(page).endswith("as it goes. The whole report, with all figures.")
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (None, "w", "<p>x y z.</p>")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     out = htmltext.extract(df).collect()
