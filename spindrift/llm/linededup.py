@@ -1,10 +1,11 @@
 """Line dedup by winnowing, in DataFrame functions only.
 
 Lines are hashed; every window of `run` consecutive lines selects its least
-hash as a fingerprint, so two equal runs of that length share one.  Fingerprints
-whose hash occurs once leave; the windows around the others are joined by
-position with the first place of the same lines, and windows that follow each
-other extend the match both ways.  All lines of later repeats are deleted.
+hash as a fingerprint, so two equal runs of that length share one.  Windows
+whose fingerprint occurs once leave; the others are grouped by the hashes of all
+their lines, and every window but the first of its group is a repeat.  Windows
+that follow each other add up to longer runs.  All lines of later repeats are
+deleted.
 """
 
 from __future__ import annotations
