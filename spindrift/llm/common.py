@@ -17,6 +17,14 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def free_name(name: str, taken) -> str:
+    """A column name that no input column has, whatever the case of its letters."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder of the cluster.
 
