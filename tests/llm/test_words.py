@@ -243,14 +243,26 @@ def test_decontamination_edges(spark):
 
 
 def test_simhash_blocks_cover_the_radius(spark):
-    """Whatever 23 bits change, one of the 24 blocks stays."""
+    """Whatever 19 bits change, a flipped block of the item meets a flipped block of the window."""
     df = spark.createDataFrame([([f"w{i}" for i in range(30)],)], "w array<string>").select(decontam.simhash(F.col("w")).alias("s"))
     s = df.first().s
     rng = random.Random(1)
-    flips = [sum(1 << b for b in rng.sample(range(64), 23)) for _ in range(50)]
-    rows = spark.createDataFrame([(int(np.uint64((s & (2**64 - 1)) ^ f).astype(np.int64)),) for f in flips], "t long")
-    both = rows.select(decontam._blocks(F.lit(s), 23).alias("a"), decontam._blocks(F.col("t"), 23).alias("b"))
-    assert all(set(map(tuple, r.a)) & set(map(tuple, r.b)) for r in both.collect())
+    changed = [sum(1 << b for b in rng.sample(range(64), decontam.RADIUS)) for _ in range(40)]
+    changed += [sum(1 << (16 * b + i) for b, m in enumerate(many) for i in rng.sample(range(16), m)) for many in ((5, 5, 5, 4), (4, 5, 5, 5), (0, 9, 10, 0))]
+    rows = spark.createDataFrame([(int(np.uint64((s & (2**64 - 1)) ^ f).astype(np.int64)),) for f in changed], "t long")
+    both = rows.select(decontam._keys(F.lit(s), decontam.ITEM_FLIPS).alias("a"), decontam._keys(F.col("t"), decontam.WINDOW_FLIPS).alias("b"))
+    assert all(set(r.a) & set(r.b) for r in both.collect())
+    assert len(both.first().a) == 4 * 697 and len(both.first().b) == 4 * 17
+
+
+def test_decontamination_by_rows(spark):
+    """Null ids, and one id with two texts: every row is judged by its own text."""
+    item = " ".join(f"i{n}" for n in range(20))
+    rows = [(None, "lead " + item), (None, "clean words of a null id here"), (5, item), (5, "the same id with clean words"), (6, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("did", F.lit(2))
+    bench = spark.createDataFrame([(None, item), (2, "")], "item_id long, text string")
+    out = decontam.drop_contaminated(df, bench)
+    assert out.columns == df.columns and sorted(map(str, (r.text for r in out.collect()))) == sorted(map(str, (rows[i][1] for i in (1, 3, 4, 5))))
 
 
 def brute_secrets(text):
