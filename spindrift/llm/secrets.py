@@ -1,11 +1,11 @@
 """Secret scans through a trigram inverted index.
 
-Every rule carries a Boolean trigram query derived from its pattern's literal
-parts.  Documents are indexed in segments (one Arrow batch each): the postings
-of all trigrams that some rule asks for are built for the segment, the query of
-each rule intersects and unites postings, and only its candidates are verified
-by the pattern.  A rule without a mandatory trigram (bare hex digits) scans
-every document.
+A Boolean trigram query is derived from each rule's parsed pattern
+(``trigrams.query_of``).  Documents are indexed in segments (one Arrow batch
+each): one pass over the bytes gives the postings of all trigrams that some
+query names; each query intersects and unites postings, and only its candidates
+are verified by the pattern.  A rule whose pattern has no mandatory trigram (bare
+hex digits) scans every document.
 """
 
 from __future__ import annotations
@@ -13,18 +13,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-
-
-def literal_query(*alternatives: str) -> list[list[str]]:
-    """OR over alternatives of the AND of each one's trigrams, in lower case."""
-    return [[a[i : i + 3].lower() for i in range(len(a) - 2)] for a in alternatives]
+from .textops import buffers
+from .trigrams import TrigramIndex, query_of
 
 
 def _either(word: str) -> str:
@@ -33,10 +30,10 @@ def _either(word: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
+    """Spans of a pattern whose group has at least so many characters."""
+
     kind: str
     pattern: re.Pattern
-    #: Alternatives, each a conjunction of lower-case trigrams; empty: no mandatory trigram.
-    query: list[list[str]] = field(default_factory=list, hash=False)
     group: int = 0
     least: int = 0
 
@@ -47,53 +44,42 @@ class Rule:
 
 
 # The three base kinds, then the kinds the method adds.
-_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BASE = (
-    Rule("assign", re.compile("(?:" + "|".join([*map(_either, ("password", "passwd", "secret", "token")), _either("api") + "_?" + _either("key")]) + r")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), literal_query(*_NAMES), 1, 8),
-    Rule("access", re.compile("AKIA[A-Z0-9]+"), literal_query("AKIA"), 0, 16),
-    Rule("hex", re.compile("[0-9a-f]+"), [], 0, 32),
+    Rule("assign", re.compile("(?:" + "|".join([*map(_either, ("password", "passwd", "secret", "token")), _either("api") + "_?" + _either("key")]) + r")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 1, 8),
+    Rule("access", re.compile("AKIA[A-Z0-9]+"), 0, 16),
+    # A greedy run of 32 and more is the whole run, so shorter ones need not be found to be dropped.
+    Rule("hex", re.compile("[0-9a-f]{32,}"), 0, 32),
 )
 ADDED = (
-    Rule("pem", re.compile("-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), literal_query("PRIVATE KEY-----")),
-    Rule("github", re.compile("gh[pousr]_[A-Za-z0-9]{36,}"), literal_query("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack", re.compile("xox[abprs]-[A-Za-z0-9-]{10,}"), literal_query("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), literal_query("eyJ")),
-    Rule("google", re.compile("AIza[A-Za-z0-9_-]{35}"), literal_query("AIza")),
+    Rule("pem", re.compile("-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
+    Rule("github", re.compile("gh[pousr]_[A-Za-z0-9]{36,}")),
+    Rule("slack", re.compile("xox[abprs]-[A-Za-z0-9-]{10,}")),
+    Rule("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    Rule("google", re.compile("AIza[A-Za-z0-9_-]{35}")),
 )
-_HEX = re.compile("[0-9a-f]{32,}")  # a run of 32 and more is the greedy run itself
-
-
-class Segment:
-    """Postings of the asked-for trigrams over one batch of documents."""
-
-    def __init__(self, texts: list[str], trigrams: list[str]):
-        self.all = set(range(len(texts)))
-        self.postings: dict[str, set[int]] = {t: set() for t in trigrams}
-        for i, text in enumerate(texts):
-            low = text.lower()
-            for t in trigrams:
-                if t in low:
-                    self.postings[t].add(i)
-
-    def candidates(self, rule: Rule) -> set[int]:
-        if not rule.query:
-            return self.all
-        return set().union(*(set.intersection(*(self.postings[t] for t in alternative)) for alternative in rule.query))
-
-
-def _scan(texts: list[str], rules: tuple[Rule, ...]) -> list[list[tuple[int, int, int]]]:
-    """By text: (start, rule number, end), sorted."""
-    segment = Segment(texts, sorted({t for r in rules for alternative in r.query for t in alternative}))
-    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for k, rule in enumerate(rules):
-        for i in segment.candidates(rule):
-            if rule.kind == "hex":
-                found[i] += [(m.start(), k, m.end()) for m in _HEX.finditer(texts[i])]
-            else:
+
+
+class Scanner:
+    """Rules with their queries, and the index that batches are put into."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = rules
+        self.queries = [query_of(r.pattern) for r in rules]
+        self.index = TrigramIndex(self.queries)
+
+    def scan(self, col: pa.Array) -> list[list[tuple[int, int, int]]]:
+        """By text: (start, rule number, end), sorted."""
+        self.index.fill(*buffers(col))
+        found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(col))]
+        texts: dict[int, str] = {}
+        for k, (rule, query) in enumerate(zip(self.rules, self.queries)):
+            for i in self.index.ask(query).tolist():
+                if i not in texts:
+                    texts[i] = col[i].as_py() or ""
                 found[i] += [(a, k, z) for a, z in rule.spans(texts[i])]
-    for f in found:
-        f.sort()
-    return found
+        for f in found:
+            f.sort()
+        return found
 
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -104,18 +90,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A span is ``kind:start:end`` in code points, end exclusive, ordered by start
     and then kind.  Defined cases: a null text is empty (no spans, the digest of
-    the empty string); a null id is kept; repeated rows give repeated rows; other
-    columns are not read.
+    the empty string); a null id is kept; repeated rows give repeated rows; spans
+    that start together are ordered by kind, as listed; texts of any length are
+    read whole; an empty table gives no row; other columns are not read.
     """
     prepare(docs.sparkSession)
     rules = BASE + ADDED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(rules)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
             counts: list[list[int]] = [[], [], []]
             digests, spans = [], []
-            for f in _scan(texts, rules):
+            for f in scanner.scan(b.column(1)):
                 for k in range(3):
                     counts[k].append(sum(x[1] == k for x in f))
                 digests.append(hashlib.sha256(",".join(f"{rules[k].kind}:{a}:{z}" for a, k, z in f if k < 3).encode()).hexdigest())

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontam, linededup, ngramjoin, packing, secrets, sharding, substrings, textops
+from spindrift.llm import decontam, linededup, ngramjoin, packing, secrets, sharding, substrings, textops, trigrams
 from spindrift.llm.components import connected_components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -287,10 +287,53 @@ def test_secrets(spark):
     assert secrets.scan_secrets(frame(spark, [])).count() == 0
 
 
-def test_every_rule_query_is_mandatory():
+def test_rules_find_their_examples():
     examples = {"pem": "-----BEGIN EC PRIVATE KEY-----", "github": "gho_" + "b" * 36, "slack": "xoxb-1234567890", "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh", "google": "AIza" + "c" * 35, "access": "AKIA" + "Z" * 16, "assign": "API_KEY=abcdefgh1", "hex": "f" * 32}
     for rule in secrets.BASE + secrets.ADDED:
-        assert [k for _, k, _ in secrets._scan([examples[rule.kind]], (rule,))[0]] == [0]
+        found = secrets.Scanner((rule,)).scan(pa.array(["no such thing", examples[rule.kind], None]))
+        assert [[k for _, k, _ in f] for f in found] == [[], [0], []]
+
+
+def test_queries_come_from_the_patterns():
+    tri = lambda *ts: ("and", frozenset(("tri", t) for t in ts))
+    assert trigrams.query_of("hello") == tri(b"hel", b"ell", b"llo")
+    assert trigrams.query_of("AB[cd]E?f") == trigrams.query_of("abcef|abdef|abcf|abdf")
+    assert trigrams.query_of("abc.*xyz") == tri(b"abc", b"xyz")
+    assert trigrams.query_of("(?:abcd){2,}") == tri(b"abc", b"bcd", b"cda", b"dab")
+    for free in ("[0-9a-f]+", "a.b", "ab|xyz", "(abc)*", "a?b?c?", "(?i)kisk", "[^a]bc"):
+        assert trigrams.query_of(free) == trigrams.ALL
+    assert [trigrams.query_of(r.pattern) != trigrams.ALL for r in secrets.BASE + secrets.ADDED] == [True, True, False, True, True, True, True, True]
+
+
+def test_queries_lose_no_match():
+    """Random patterns over a small alphabet: the index gives every text that a full scan finds."""
+    rng = random.Random(12)
+
+    def pattern(depth: int) -> str:
+        kind = rng.randrange(9 if depth else 4)
+        if kind < 3:
+            return "".join(rng.choice("abcAé") for _ in range(rng.randint(1, 4)))
+        if kind == 3:
+            return rng.choice(["[ab]", "[^a]", ".", "[a-c]", r"\b", "^", "(?=a)", r"\w", "[é1]"])
+        if kind == 4:
+            return f"(?:{pattern(depth - 1)}|{pattern(depth - 1)})"
+        if kind == 5:
+            return f"(?:{pattern(depth - 1)}){rng.choice(['*', '+', '?', '{2}', '{1,3}', '+?', '{0,2}', '{2,}', '*+', '{9,}'])}"
+        if kind == 6:
+            return f"({pattern(depth - 1)})"
+        return pattern(depth - 1) + pattern(depth - 1)
+
+    words = ["".join(rng.choice("abcABé1") for _ in range(rng.randint(0, 14))) for _ in range(500)] + [None, "abcabcabcabcabcabcabc" * 3]
+    col, asked, kept = pa.array(words), 0, 0
+    for n in range(300):
+        p = re.compile(pattern(3), re.I if n % 4 == 0 else 0)
+        q = trigrams.query_of(p)
+        got = set(trigrams.TrigramIndex([q]).fill(*textops.buffers(col)).ask(q).tolist())
+        want = {i for i, w in enumerate(words) if p.search(w or "")}
+        assert want <= got, (p.pattern, p.flags)
+        if q != trigrams.ALL:
+            asked, kept = asked + len(words), kept + len(got)
+    assert asked > 50 * len(words) and kept < 0.3 * asked
 
 
 def test_shards(spark, texts):
