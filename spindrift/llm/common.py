@@ -44,3 +44,22 @@ def groups_for(df: DataFrame, text: str, mb: float = 14.0, least: int = 8, most:
     """How many memory-sized groups the words of a text column need: it grows with the input."""
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return int(min(most, max(least, round(total / (mb * 1e6)))))
+
+
+#: Bits of the filter of ``may_hold``: at most 2**19 rows of 64 bits are broadcast, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def may_hold(df: DataFrame, keys: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a boolean column: whether its hash value `column` may be one of the keys'.
+
+    One bit by hash value: where it is not set the value is no key's.  Rows can
+    so be told apart where they are read, before any is shuffled.
+    """
+    at = F.pmod(column, F.lit(FILTER_BITS))
+    word, bit, bits = (free_name(n, [*df.columns, name]) for n in ("word", "bit", "bits"))
+    rows = keys.select((at / 64).cast("int").alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias(bit))
+    words = F.broadcast(rows.groupBy(word).agg(F.bit_or(bit).alias(bits)))
+    joined = df.withColumn(word, (at / 64).cast("int")).join(words, word, "left")
+    mark = F.coalesce(F.call_function("getbit", F.col(bits), (at % 64).cast("int")) == 1, F.lit(False))
+    return joined.withColumn(name, mark).select(*(F.col(f"`{c}`") for c in df.columns), name)

@@ -41,7 +41,7 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "repeats")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,23 @@ def test_substrings_edges(spark):
     df = df.unionByName(df.where("doc_id = 1")).unionByName(df.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
     got = sorted((str(r.doc_id), r.n_removed) for r in substrings.remove_repeats(df).collect())
     assert got == [("0", 0), ("1", 60), ("1", 60), ("None", 0)]
+    # One id with two texts: each row loses what is its own; maximal repeats are reported.
+    other = " ".join(f"x{i}" for i in range(70))
+    rows = [(0, long), (1, long + " " + other), (2, other), (2, "p q " + long), (3, long), (3, "short"), (4, None), (5, other + " mid " + long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, [tuple(x) for x in r.repeats]) for r in substrings.remove_repeats(df).collect())
+    assert got == [(0, 60, []), (1, 130, [(0, 60)]), (2, 62, [(2, 60)]), (2, 70, [(0, 70)]), (3, 1, []), (3, 60, [(0, 60)]), (4, 0, []), (5, 131, [(0, 70), (71, 60)])]
+
+
+def test_subtree_nodes_nest():
+    rng = np.random.default_rng(5)
+    way, labels, docs = rng.integers(0, 3, 400).astype(np.uint16) * 257, rng.integers(0, 40, 400).astype(np.uint64), rng.integers(0, 50, 400)
+    tree = substrings.Subtree(way, labels)
+    for above, below in zip(tree.nodes, tree.nodes[1:]):
+        assert set(above) <= set(below)
+    least = tree.least(docs)
+    assert all(least[i] == docs[(way == way[i]) & (labels == labels[i])].min() for i in range(400))
+    assert substrings.Subtree(way[:0], labels[:0]).least(docs[:0]).tolist() == []
 
 
 @pytest.mark.parametrize("run", [1, 2, 3])
