@@ -63,3 +63,25 @@ def may_hold(df: DataFrame, keys: DataFrame, column: str, name: str) -> DataFram
     joined = df.withColumn(word, (at / 64).cast("int")).join(words, word, "left")
     mark = F.coalesce(F.call_function("getbit", F.col(bits), (at % 64).cast("int")) == 1, F.lit(False))
     return joined.withColumn(name, mark).select(*(F.col(f"`{c}`") for c in df.columns), name)
+
+
+#: Groups that hold more than this share of the crowded rows are broadcast: fewer than so many can.
+HOT_GROUPS = 10_000
+
+
+def split_groups(df: DataFrame, keys: list[str], by: str, size: int, name: str) -> DataFrame:
+    """df with `name`, the part of its group that a row falls in (by a hash of `by`), and `name`_parts.
+
+    Groups of more than `size` rows have parts of about that size.  The largest
+    groups are told by broadcast, so no task takes all rows of one.
+    """
+    many = free_name("many", df.columns)
+    crowded = cut(df.groupBy(*keys).agg(F.count("*").alias(many)).where(F.col(many) > size))
+    total = crowded.agg(F.sum(many)).first()[0]
+    if total is None:
+        return df.withColumns({name: F.lit(0), f"{name}_parts": F.lit(1)})
+    hot = F.broadcast(crowded.where(F.col(many) * HOT_GROUPS > total))
+    here = df.join(hot, keys).select(*df.columns, many)
+    rest = df.join(hot.drop(many), keys, "left_anti").join(crowded.where(F.col(many) * HOT_GROUPS <= total), keys, "left").select(*df.columns, many)
+    parts = F.ceil(F.coalesce(many, F.lit(1)) / size).cast("int")
+    return here.unionByName(rest).withColumn(f"{name}_parts", parts).withColumn(name, F.pmod(F.xxhash64(by, F.lit(23)), F.col(f"{name}_parts")).cast("int")).drop(many)

@@ -3,15 +3,17 @@
 1. Shingle sets are hashed and dealt by hash range; a token that occurs in one
    document only can match nothing, so documents with too few shared tokens
    leave the join (an exact bound on the overlap).
-2. The others share a token of their prefix, their rarest tokens, with every
-   partner (prefix filter).  Per token a star of pairs is drawn, and every
-   document is verified against the centre it meets most, which settles groups
-   of near copies without listing their pairs.
-3. What stars leave open - documents that share tokens but are not yet known to
-   be connected - goes into signature trees: nodes hold OR-combined token
-   bitmaps and size ranges, and a dual traversal drops node pairs whose
-   maximum possible overlap is too small or whose documents are connected
-   already.  Surviving pairs are verified on the whole sets.
+2. Rounds of signature trees: documents with a least token in common (under one
+   mixing of the tokens a round) are dealt into blocks, each block becomes a
+   tree whose nodes hold OR-combined token bitmaps and size ranges, and a dual
+   traversal drops node pairs whose maximum possible overlap is too small, or
+   whose documents are connected already.  Pairs of leaves that are left are
+   verified on the whole sets.  Later rounds take a few documents of each
+   component found so far.
+3. What rounds can miss is found exactly: partners share one of their rarest
+   tokens (the prefix), so documents that meet others of another component at
+   such a token are grouped, and blocks of each group are searched against each
+   other by the same traversal.
 """
 
 from __future__ import annotations
@@ -25,13 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, free_name, prepare, split_groups
 from .components import connected_components
-from .textops import packed, words_of
+from .textops import mix, packed, words_of
 
 FAN = 4
 #: Bits of a signature by token of the largest set: so many keep the nodes above the leaves selective.
 SPREAD, WIDEST = 64, 18
+#: One round of trees by mixing of the tokens.
+MIXINGS = np.random.Generator(np.random.PCG64(41)).integers(1, 2**63, 4).astype(np.uint64)
+#: Parts in which the documents of a token look for their least one; documents of a component that meet others in a round.
+SALTS, FEW = 64, 4
 
 
 def links(inter: int, a: int, b: int, num: int, den: int) -> bool:
@@ -64,10 +70,16 @@ class Node:
 
 
 class SignatureTree:
-    """Trees over sets; ``search`` finds links between unconnected documents."""
+    """Trees over sets; ``search`` finds links between unconnected documents.
 
-    def __init__(self, sets: list[np.ndarray], groups: list[int], num: int, den: int):
+    ``near``: any keys by which similar sets sort near each other.  ``pruned``
+    and ``verified`` count document pairs.
+    """
+
+    def __init__(self, sets: list[np.ndarray], groups: list[int], num: int, den: int, near: list | None = None):
         self.sets, self.num, self.den = sets, num, den
+        self.near = near or [0] * len(sets)
+        self.pruned = self.verified = 0
         self.parent = list(range(len(sets)))
         first: dict[int, int] = {}
         for i, g in enumerate(groups):
@@ -90,12 +102,12 @@ class SignatureTree:
         return i
 
     def build(self, docs: list[int]) -> Node | None:
-        # Neighbours in the order share a component, and components of like size are neighbours.
-        least: dict[int, int] = {}
+        # Neighbours in the order share a component, or are likely to be similar.
+        least: dict[int, tuple] = {}
         for i in docs:
-            r = self.root(i)
-            least[r] = min(least.get(r, len(self.sets[i])), len(self.sets[i]))
-        order = sorted(docs, key=lambda i: (least[self.root(i)], self.root(i), len(self.sets[i])))
+            r, key = self.root(i), (self.near[i], len(self.sets[i]))
+            least[r] = min(least.get(r, key), key)
+        order = sorted(docs, key=lambda i: (least[self.root(i)], self.root(i), self.near[i], len(self.sets[i])))
         level = [Node([], [i], self.bits[i], len(self.sets[i]), len(self.sets[i]), len(self.sets[i]) - self.bits[i].bit_count()) for i in order]
         while len(level) > 1:
             level = [Node.over(level[k : k + FAN]) for k in range(0, len(level), FAN)]
@@ -120,7 +132,10 @@ class SignatureTree:
                     c = a.children
                     stack += [(c[i], c[j]) for i in range(len(c)) for j in range(i, len(c))][::-1]
                 continue
-            if not self._possible(a, b) or self._connected(a, b):
+            if not self._possible(a, b):
+                self.pruned += len(a.docs) * len(b.docs)
+                continue
+            if self._connected(a, b):
                 continue
             if not a.children and not b.children:
                 self._verify(a.docs[0], b.docs[0])
@@ -132,6 +147,7 @@ class SignatureTree:
 
     def _verify(self, i: int, j: int) -> None:
         x, y = self.sets[i], self.sets[j]
+        self.verified += 1
         n = min(len(x) - (self.bits[i] & ~self.bits[j]).bit_count(), len(y) - (self.bits[j] & ~self.bits[i]).bit_count())
         if links(n, len(x), len(y), self.num, self.den) and links(overlap(x, y), len(x), len(y), self.num, self.den):
             self.parent[self.root(i)] = self.root(j)
@@ -216,8 +232,9 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def _ranked_sets(docs: DataFrame, ids: DataFrame, k: int, groups: int, num: int, den: int) -> DataFrame:
-    """(d, n, h, p) of the documents that ids name, and of a few others: size, sorted
-    tokens, and the prefix: the rarest tokens, one of which every partner shares.
+    """(d, n, h, p, m) of the documents that ids name, and of a few others: size, sorted
+    tokens, the prefix (the rarest tokens, one of which every partner shares), and
+    the least token under each mixing.
 
     The ids are tested against a bitmap of fixed size where the text is read: no
     text is shuffled.  Tokens are dealt by hash range, counted over these
@@ -266,20 +283,22 @@ def _ranked_sets(docs: DataFrame, ids: DataFrame, k: int, groups: int, num: int,
         order = np.argsort(owner, kind="stable")
         tokens, held = tokens[order], held[order]
         cuts = np.searchsorted(owner[order], np.arange(len(ids) + 1))
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[] for _ in range(5)]
         for d, a, z in zip(ids.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
             n, h, own = z - a, held[a:z], tokens[a:z]
             if not n or int((h > 1).sum()) * den < n * num:
                 continue
             prefix = np.lexsort((own, h))[: n - -(-num * n // den) + 1]
-            for c, x in zip(out, (d, n, own.tobytes(), own[prefix[h[prefix] > 1]].tobytes())):
+            with np.errstate(over="ignore"):
+                least = [int(mix(own ^ seed).min().view(np.int64)) for seed in MIXINGS]
+            for c, x in zip(out, (d, n, own.tobytes(), own[prefix[h[prefix] > 1]].tobytes(), least)):
                 c.append(x)
-        return pa.table({"d": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int32()), "h": pa.array(out[2], pa.binary()), "p": pa.array(out[3], pa.binary())})
+        return pa.table({"d": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int32()), "h": pa.array(out[2], pa.binary()), "p": pa.array(out[3], pa.binary()), "m": pa.array(out[4], pa.list_(pa.int64()))})
 
     placed = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
     fields = "chunk long, part int, ids binary, owner binary, tokens binary"
     counted = placed.mapInArrow(deal, fields).groupBy("part").applyInArrow(count, f"{fields}, held binary")
-    return counted.groupBy("chunk").applyInArrow(meet, "d long, n int, h binary, p binary")
+    return counted.groupBy("chunk").applyInArrow(meet, "d long, n int, h binary, p binary, m array<long>")
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
@@ -294,105 +313,159 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     return sets.select("d", "p").mapInArrow(emit, "t long, d long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, part: int = 2048) -> DataFrame:
-    """The pairs (u, v) that link.
+def _solve(t: pa.Table, one: list[int], two: list[int] | None, num: int, den: int) -> pa.Table:
+    """Links (u, v) that trees over the rows `one`, or `one` against `two`, find."""
+    ids = t["d"].to_pylist()
+    tree = SignatureTree([np.frombuffer(h, np.uint64) for h in t["h"].to_pylist()], t["component"].to_pylist(), num, den, list(map(tuple, t["m"].to_pylist())))
+    a = tree.build(one)
+    found = tree.search(a, a if two is None else tree.build(two))
+    return pa.table({"u": pa.array([ids[i] for i, _ in found], pa.int64()), "v": pa.array([ids[j] for _, j in found], pa.int64())})
+
 
-    Every set travels to its pivot u once; a crowded pivot is dealt into parts,
-    each with a copy of the pivot's set, which comes first and is held while
-    the others stream past.
+def _round(slim: DataFrame, sets: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
+    """Links among documents with the same least token under mixing k; slim: d, component, m.
+
+    Of every component a few documents meet the others at a token (what this
+    leaves out, ``_tree_links`` finds), and tokens of one component are left out.
     """
-    parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    guests = pairs.join(parts, "u").select("u", F.col("v").alias("d"), F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
-    hosts = parts.select("u", F.col("u").alias("d"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = guests.unionByName(hosts).join(sets.select("d", "h"), "d").withColumn("first", F.col("d") != F.col("u"))
+    at = slim.select("d", "component", F.get("m", F.lit(k)).alias("token"))
+    open_tokens = at.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
+    rank = F.row_number().over(Window.partitionBy("token", "component").orderBy("d"))
+    met = at.join(open_tokens, "token", "left_semi").withColumn("r", rank).where(F.col("r") <= FEW).drop("r")
+    dealt = split_groups(met, ["token"], "d", block, "s")
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, own = None, np.zeros(0, np.uint64)
-        for b in batches:
-            us, vs = [], []
-            for u, d, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                s = np.frombuffer(h.as_buffer(), np.uint64)
-                if u == d:
-                    host, own = u, np.array(s)
-                elif u == host and links(overlap(own, s), len(own), len(s), num, den):
-                    us.append(u)
-                    vs.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+    def solve(t: pa.Table) -> pa.Table:
+        return _solve(t, list(range(len(t))), None, num, den)
 
-    dealt = rows.repartition("u", "part").sortWithinPartitions("u", "part", "first")
-    return dealt.select("u", "d", "h").mapInArrow(test, "u long, v long")
+    return dealt.join(sets, "d").groupBy("token", "s").applyInArrow(solve, "u long, v long")
 
 
-def _tree_links(open_docs: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Links (u, v) between unconnected documents of each group; open_docs: group, d, component, n, h.
+def _star_groups(tokens: DataFrame) -> DataFrame:
+    """(d, group): documents that tokens connect; tokens: t, d.
 
-    A group is split into blocks of at most about `block` documents by size
-    class; only blocks of the same or neighbouring classes can hold a link.
+    Documents are tied to the least one of their part of a token, and those to
+    the least of all, so no task holds all documents of a token.
+    """
+    parts = tokens.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)))
+    tied = cut(parts.withColumn("u", F.min("d").over(Window.partitionBy("t", "salt"))).select("t", "u", "d"))
+    heads = tied.select("t", "u").distinct().withColumn("top", F.min("u").over(Window.partitionBy("t")))  # at most SALTS a token
+    edges = tied.select("u", F.col("d").alias("v")).unionByName(heads.select(F.col("top").alias("u"), F.col("u").alias("v"))).where("u <> v")
+    return connected_components(edges).select(F.col("node").alias("d"), F.col("component").alias("group"))
+
+
+def _with_component(slim: DataFrame, linked: DataFrame) -> DataFrame:
+    """slim with the component that links give each document; its own id without one."""
+    found = connected_components(linked).select(F.col("node").alias("d"), F.col("component").alias("found"))
+    return cut(slim.drop("component").join(found, "d", "left").withColumn("component", F.coalesce("found", "d")).drop("found"))
+
+
+def _tree_links(open_docs: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Links (u, v) between unconnected documents of each group; open_docs: group, d, component, n.
+
+    A group is split into blocks of about `block` documents by size class, where
+    a large component has blocks of its own; only blocks of the same or
+    neighbouring classes can hold a link, and none lies between blocks of one
+    component.
     """
     width = float(np.log(den / num)) if num < den else 1e-9
     classed = open_docs.withColumn("c", F.floor(F.log("n") / width).cast("int"))
-    many = classed.groupBy("group", "c").agg(F.count("*").alias("many"))
-    placed = classed.join(many, ["group", "c"]).withColumn("s", F.pmod(F.xxhash64("d"), F.ceil(F.col("many") / block)).cast("int")).drop("many")
-    blocks = placed.groupBy("group", "c", "s").agg(F.count("*").alias("many"))
-    other = blocks.select("group", F.col("c").alias("c2"), F.col("s").alias("s2"))
-    near = blocks.join(other, "group").where("(c2 = c and s2 >= s) or c2 = c + 1").where("many > 1 or c2 > c or s2 > s")
-    near = near.select("group", "c", "s", F.struct("c", "s", "c2", "s2").alias("pair"), F.explode(F.array_distinct(F.array(F.struct(F.col("c").alias("bc"), F.col("s").alias("bs")), F.struct(F.col("c2").alias("bc"), F.col("s2").alias("bs"))))).alias("b"))
-    near = near.select("group", "pair", F.col("b.bc").alias("c"), F.col("b.bs").alias("s"))
+    crowded = split_groups(classed, ["group", "c", "component"], "d", block, "s")
+    owned = crowded.withColumn("own", F.when(F.col("s_parts") > 1, F.col("component")).otherwise(F.lit(-1))).drop("s", "s_parts")
+    placed = cut(split_groups(owned, ["group", "c", "own"], "d", block, "s").drop("s_parts"))
+    # Metadata only: one row a block.
+    blocks = placed.groupBy("group", "c", "own", "s").agg(F.count("*").alias("many"), F.min("component").alias("a"), F.max("component").alias("b"))
+    other = blocks.select("group", F.col("c").alias("c2"), F.col("own").alias("own2"), F.col("s").alias("s2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    near = blocks.join(other, "group").where("c2 = c + 1 or (c2 = c and (own2 > own or (own2 = own and s2 >= s)))").where("least(a, a2) <> greatest(b, b2)")
+    ends = F.array_distinct(F.array(F.struct("c", "own", "s"), F.struct(F.col("c2").alias("c"), F.col("own2").alias("own"), F.col("s2").alias("s"))))
+    near = near.select("group", F.struct("c", "own", "s", "c2", "own2", "s2").alias("pair"), F.explode(ends).alias("e")).select("group", "pair", "e.c", "e.own", "e.s")
 
     def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         pair = key[1].as_py()
-        ids, comps = t["d"].to_pylist(), t["component"].to_pylist()
-        tree = SignatureTree([np.frombuffer(h, np.uint64) for h in t["h"].to_pylist()], comps, num, den)
-        at = list(zip(t["c"].to_pylist(), t["s"].to_pylist()))
-        one = [i for i, x in enumerate(at) if x == (pair["c"], pair["s"])]
-        two = [i for i, x in enumerate(at) if x == (pair["c2"], pair["s2"])]
-        a = tree.build(one)
-        found = tree.search(a, a if one == two else tree.build(two))
-        return pa.table({"u": pa.array([ids[i] for i, _ in found], pa.int64()), "v": pa.array([ids[j] for _, j in found], pa.int64())})
+        at = list(zip(t["c"].to_pylist(), t["own"].to_pylist(), t["s"].to_pylist()))
+        one = [i for i, x in enumerate(at) if x == (pair["c"], pair["own"], pair["s"])]
+        two = [i for i, x in enumerate(at) if x == (pair["c2"], pair["own2"], pair["s2"])]
+        return _solve(t, one, None if one == two else two, num, den)
 
-    return placed.join(near, ["group", "c", "s"]).groupBy("group", "pair").applyInArrow(solve, "u long, v long")
+    return placed.join(near, ["group", "c", "own", "s"]).join(sets, "d").groupBy("group", "pair").applyInArrow(solve, "u long, v long")
 
 
-def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, block: int = 512, group_mb: float = 14.0) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
-
-    Two documents link when den * intersection >= num * union of their sets of
-    distinct k-word shingles (A-Z in lower case; fewer words: the sequence as
-    one).  Defined cases: null, empty and wordless texts have the empty set and
-    are components of their own; rows that repeat an id stand for one document;
-    a null id links with nothing and its component is null; an empty table
-    gives no row; other columns are not read.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, block: int, group_mb: float) -> DataFrame:
+    """(doc_id, own, n_shingles, component_id) of every row; own: the text's hash."""
     prepare(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(base.select("doc_id", F.md5("text").alias("key"), F.octet_length("text").alias("size")))
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("own"))
+    rows = cut(base.select("doc_id", "own", F.md5("text").alias("key"), F.octet_length("text").alias("size")))
     groups = int(max(8, round((rows.agg(F.sum("size")).first()[0] or 0) / (group_mb * 1e6))))
+    # An id with several texts names the first; the others get names of their own (below all ids).
+    odd = rows.where("doc_id is not null and key is not null").groupBy("doc_id").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("doc_id", "a")
+    odd = cut(odd)
+    named = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("doc_id", "own"), F.lit(1 << 61))
+    if not odd.isEmpty():
+        base, rows = (x.join(odd, "doc_id", "left").withColumn("d", F.when(F.col("own") != F.col("a"), named).otherwise(F.col("doc_id"))).drop("a") for x in (base, rows))
+    else:
+        base, rows = (x.withColumn("d", F.col("doc_id")) for x in (base, rows))
     # Copies of a text are one document, named by the least id.
-    classes = rows.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    shared = cut(_shared_tokens(base.where("doc_id is not null"), k, groups))
+    classes = rows.where("d is not null and key is not null").groupBy("key").agg(F.min("d").alias("rep"))
+    texts = base.where("d is not null").select(F.col("d").alias("doc_id"), "text")
+    shared = cut(_shared_tokens(texts, k, groups))
     live = shared.where((F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * num)).select("doc_id")
     live = cut(live.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     tokens_left = shared.join(live, "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0
-    ranked = cut(_ranked_sets(base.where("doc_id is not null"), live, k, int(max(4, round(tokens_left / 2_500_000))), num, den))
-    tokens, sets = _prefixes(ranked), ranked.select("d", "n", "h")
-    # By shared token, a star from the least document; each document is tested against the centre it meets most.
-    stars = tokens.withColumn("u", F.min("d").over(Window.partitionBy("t"))).where("u <> d").groupBy("u", F.col("d").alias("v")).agg(F.count("*").alias("times"))
-    stars = cut(stars)
-    best = stars.groupBy("v").agg(F.max(F.struct("times", (-F.col("u")).alias("less"))).alias("b")).select((-F.col("b.less")).alias("u"), "v")
-    linked = cut(_verified(best, sets, num, den))
-    near = cut(connected_components(linked))
-    wide = cut(connected_components(stars))
-    at = wide.select(F.col("node").alias("d"), F.col("component").alias("group")).join(near.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
-    still = at.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("group")
-    open_docs = at.join(still, "group", "left_semi").join(sets, "d")
-    found = connected_components(linked.unionByName(_tree_links(open_docs, num, den, block)))
-    rep_of = rows.join(classes, "key", "left").select("doc_id", "rep")
-    out = rep_of.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").join(shared.groupBy("doc_id").agg(F.max("n").alias("n_shingles")), "doc_id", "left")
+    ranked = cut(_ranked_sets(texts, live, k, int(max(4, round(tokens_left / 2_500_000))), num, den))
+    sets = ranked.select("d", "h", "m")
+    slim = ranked.select("d", "n", "m", F.col("d").alias("component"))
+    linked = None
+    for i in range(len(MIXINGS)):
+        new = cut(_round(slim, sets, i, num, den, block))
+        linked = new if linked is None else linked.unionByName(new)
+        slim = _with_component(slim, linked)
+    # What the rounds left open: tokens of a prefix at which components meet.
+    tokens = _prefixes(ranked).join(slim.select("d", "component"), "d")
+    still = tokens.groupBy("t").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("t")
+    at = _star_groups(tokens.join(still, "t", "left_semi").select("t", "d"))
+    open_docs = slim.drop("m").join(at, "d")
+    found = connected_components(linked.unionByName(_tree_links(open_docs, sets, num, den, block)))
+    rep_of = rows.join(classes, "key", "left").select("doc_id", "own", "d", "rep")
+    out = rep_of.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep", "d"))
+    out = out.join(shared.groupBy(F.col("doc_id").alias("d")).agg(F.max("n").alias("n_shingles")), "d", "left")
     n = F.coalesce("n_shingles", F.lit(0).cast("long"))
-    return out.select("doc_id", n.alias("n_shingles"), F.when(n == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    out = out.withColumn("n_shingles", n).withColumn("component", F.when(n == 0, F.col("d")).otherwise(F.col("component")))
+    if not odd.isEmpty():
+        # Names that are no ids give way to the least id of their component.
+        least = cut(out).groupBy("component").agg(F.min("doc_id").alias("least"))
+        out = out.join(least, "component", "left").withColumn("component", F.coalesce("least", "component"))
+    return out.select("doc_id", "own", "n_shingles", F.col("component").alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those whose component has a document with a smaller id."""
-    dropped = shingle_components(docs, id_col=id_col, **options).where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, block: int = 512, group_mb: float = 14.0) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row.
+
+    Two documents link when den * intersection >= num * union of their sets of
+    distinct k-word shingles (A-Z in lower case; fewer words: the sequence as
+    one).  Defined cases: null, empty and wordless texts have the empty set and
+    are components of their own; repeated rows get equal results; rows of one id
+    with different texts are judged each by its own text; a null id links with
+    nothing and its component is null; texts of any length are read whole; a
+    similarity of exactly num / den links; an empty table gives no row; other
+    columns are not read.
+    """
+    return _components(docs, id_col, text_col, k, num, den, block, group_mb).drop("own")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, block: int = 512, group_mb: float = 14.0) -> DataFrame:
+    """One row of each component: that of its least id; of repeated rows of an id and text, any one.
+
+    Rows with a null id stay.  Cases as in ``shingle_components``.
+    """
+    own, gone = free_name("own", docs.columns), free_name("gone", docs.columns)
+    found = cut(_components(docs, id_col, text_col, k, num, den, block, group_mb).where("doc_id is not null"))
+    told = found.groupBy(F.col("doc_id"), F.col("own")).agg(F.count("*").alias("many"), F.min("component_id").alias("component_id"))
+    told = told.where("component_id <> doc_id or many > 1").select(F.col("doc_id").alias(gone), F.col("own").alias(own), (F.col("component_id") == F.col("doc_id")).alias("stays"))
+    away, repeated = told.where("not stays").drop("stays"), told.where("stays").drop("stays")
+    key = [F.col(id_col).cast("long") == F.col(gone), F.xxhash64(F.col(text_col).cast("string")) == F.col(own)]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left = docs.join(away, key, "left_anti")
+    if repeated.isEmpty():
+        return left.select(*columns)
+    once = left.join(repeated, key).dropDuplicates([gone, own]).select(*columns)
+    return left.join(repeated, key, "left_anti").select(*columns).unionByName(once)

@@ -77,6 +77,46 @@ def test_ngram_join_edges(spark):
     assert [g for g in got if g[0] is not None] == [(0, 0), (1, 0), (1, 0), (2, 2)] and len(got) == 5
     kept = ngramjoin.keep_one_of_each(odd)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["0", "2", "None"]
+    # Repeated rows of the least id leave one; one id with two texts is judged by its texts.
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "p q r s t"), (3, "a b c d e f"), (4, "P Q R S T"), (5, None), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("own", F.lit(1)).withColumn("gone", F.lit(2))
+    got = sorted(map(tuple, ngramjoin.shingle_components(df).collect()))
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 3), (3, 2, 1), (4, 1, 3), (5, 0, 5), (5, 0, 5)]
+    assert sorted((r.doc_id, str(r.text)) for r in ngramjoin.keep_one_of_each(df).collect()) == [(1, "a b c d e f"), (3, "p q r s t"), (5, "None")]
+
+
+def test_crowded_groups_split(spark):
+    from spindrift.llm.common import split_groups
+
+    df = spark.range(1000).select("id", F.when(F.col("id") < 600, 0).when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("g"), F.lit("x").alias("many"))
+    out = split_groups(df, ["g"], "id", 50, "part").toPandas()
+    assert sorted(out.id) == list(range(1000)) and out.groupby(["g", "part"]).size().max() < 100
+    assert (out[out.g == 0].part_parts == 12).all() and (out[out.g > 1].part == 0).all()
+
+
+def test_trees_carry_the_join(spark):
+    """Documents of one hot passage and near copies of each other: links come from the trees, most pairs are pruned."""
+    rng = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = []
+    for g in range(25):
+        own = [f"w{g}x{i}" for i in range(110)]
+        for _ in range(8):
+            w = list(own)
+            for _ in range(2):
+                w[rng.randrange(len(w))] = f"e{rng.random()}"
+            texts.append(" ".join(w) + " " + passage)
+    sizes, comp = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.shingle_components(frame(spark, texts), block=16).collect()}
+    assert got == {i: (n, c) for i, (n, c) in enumerate(zip(sizes, comp))}
+    sets = [np.concatenate(w.shingles(5)) for t in texts for _, _, w in textops.words_of(pa.array([t]), True)]
+    sets = [np.sort(s) for s in sets]
+    near = [tuple(int(textops.mix(s ^ m).min()) for m in ngramjoin.MIXINGS) for s in sets]
+    tree = ngramjoin.SignatureTree(sets, list(range(len(sets))), 75, 100, near)
+    root = tree.build(list(range(len(sets))))
+    tree.search(root, root)
+    assert len({tree.root(i) for i in range(len(sets))}) == len(set(comp))
+    assert tree.pruned > 0.9 * len(sets) * (len(sets) - 1) / 2 and tree.verified < 600
 
 
 def test_signature_tree_finds_every_link():
@@ -451,7 +491,9 @@ def test_words_match_the_pattern(texts):
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (10, 11), (5, 5), (None, 4), (20, 21)] + [(100 + i, 101 + i) for i in range(60)] + [(200, 200 + i) for i in range(1, 300)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    frame_of = spark.createDataFrame(edges, "u long, v long")
+    got = {r.node: r.component for r in connected_components(frame_of, one_task=0).collect()}
+    assert got == {r.node: r.component for r in connected_components(frame_of).collect()}
     assert {n: got[n] for n in (1, 2, 3, 10, 11, 20, 21)} == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 20: 20, 21: 20}
     assert all(got[100 + i] == 100 for i in range(61)) and all(got[200 + i] == 200 for i in range(300)) and 5 not in got
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
