@@ -1,12 +1,13 @@
 """Main-text extraction from HTML by tag-path ratios.
 
-A page becomes text nodes with root-to-leaf tag paths.  Per path the text
-length, the punctuation and the nodes are added up; the ratios of text and of
-punctuation to nodes are smoothed over paths that share their ancestors, fused
-by their product, and paths above a share of the best one are content: their
-blocks, and the headings over them, are kept in page order.  A declared article
-or main element that holds 30 per cent of the score is taken whole.  Elements that say what they are (menus,
-footers, forms, adverts ...) are out before any ratio is taken.
+A page becomes blocks of text with root-to-leaf tag paths, kept as a tree of
+paths.  Per path the text length, the punctuation and the blocks are added up;
+the ratios of text and of punctuation to blocks are smoothed over the tree (a
+path weighs SMOOTH to the power of its distance), in two passes whatever the
+number of paths, and fused by their product.  What elements say of themselves
+(menu, footer, comments, article ...) is a factor of the fused ratio, never a
+verdict: blocks whose path reaches a share of the best one are content, in page
+order, so a page that lies in a form or in a "sidebar" as a whole loses nothing.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +29,11 @@ from .common import prepare
 _RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|canvas|xmp|noembed"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_DROPPED = frozenset("head title nav footer aside form button select option optgroup fieldset legend input dialog menu menuitem script style noscript template textarea iframe svg math object canvas xmp noembed audio video map".split())
+_DROPPED = frozenset("head title select option optgroup button input script style noscript template textarea iframe svg math object canvas xmp noembed audio video map".split())
+_ASIDE = frozenset("nav footer aside form fieldset legend dialog menu menuitem".split())
 _FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side aside nav navbar navigation menu menubar breadcrumb breadcrumbs footer foot masthead header topbar toolbar cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments reply replies respond disqus widget search pagination pager skip copyright disclaimer legal hidden outbrain taboola".split())
+#: Words that may stand beside those in a name: "sidebar-left" is a sidebar, "side-effects" is not.
+_NEUTRAL = frozenset("site page global main top bottom left right upper lower first last list lists box boxes area section wrapper wrap container content inner outer block item items link links bar buttons button icons text title form section group panel slot unit small large wide mobile desktop js is the reader user post posts thread count new".split())
 _CONTENT = frozenset("article main".split())
 _HEADINGS = frozenset("h1 h2 h3".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
@@ -41,12 +46,26 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
-_PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_PART = re.compile(r"[^a-z]+")
+#: Weight of a path one step away; share of the best score that content reaches; factors of
+#: what is called furniture, and of what lies outside the declared or the likely article.
+SMOOTH, SHARE, ASIDE, OUTSIDE = 0.5, 0.03, 0.02, 0.15
+#: Elements nest so deep, as browsers have it; text of deeper ones belongs to the last.
+DEEPEST = 512
 
 
-def _furniture(tag: str, attributes: str, inside: bool) -> bool:
+def _named_furniture(value: str) -> bool:
+    """Whether one of the names is furniture as a whole: all its words say so, or say nothing."""
+    for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+        words = [w for w in _PART.split(name) if w]
+        if any(w in _FURNITURE for w in words) and all(w in _FURNITURE or w in _NEUTRAL for w in words):
+            return True
+    return False
+
+
+def _aside(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element announces itself as something other than the article."""
-    if tag in _DROPPED or tag == "header" and not inside:
+    if tag in _ASIDE or tag == "header" and not inside:
         return True
     if "=" not in attributes and "hidden" not in attributes.lower():
         return False
@@ -56,41 +75,84 @@ def _furniture(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", *_CONTENT):
-            value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()
-            if any(p in _FURNITURE for p in _PART.split(value)):
-                return True
+        if name in ("class", "id") and tag not in ("body", "html", *_CONTENT) and _named_furniture(value):
+            return True
     return False
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(tag path, text, characters of it within links) by block, without furniture, in page order."""
-    stack: list[tuple[str, bool]] = []
-    out: list[tuple[tuple[str, ...], str, int]] = []
+@dataclass
+class Paths:
+    """The tree of tag paths; path 0 is the empty one, parents come before children."""
+
+    tag: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [-1])
+    aside: list[bool] = field(default_factory=lambda: [False])
+    known: dict[tuple[int, str, bool], int] = field(default_factory=dict)
+
+    def child(self, path: int, tag: str, aside: bool) -> int:
+        key = (path, tag, aside)
+        if key not in self.known:
+            self.known[key] = len(self.tag)
+            self.tag.append(tag)
+            self.parent.append(path)
+            self.aside.append(aside)
+        return self.known[key]
+
+    def names(self, path: int) -> list[str]:
+        out = []
+        while path > 0:
+            out.append(self.tag[path])
+            path = self.parent[path]
+        return out
+
+
+def blocks_of(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
+    """The paths, and (path, text, characters of it within links) by block in page order."""
+    paths, stack = Paths(), []  # stack: (tag, path, dropped)
+    open_tags: Counter = Counter()
+    out: list[tuple[int, str, int]] = []
     buffer: list[str] = []
-    state = {"path": None, "link": 0}
+    at_path, link, dropped, content, deeper = -1, 0, 0, 0, 0
+    told: dict[tuple[str, str, bool], bool] = {}
 
     def put(text: str) -> None:
-        if any(bad for _, bad in stack) or not text:
+        nonlocal at_path, link
+        if dropped or not text:
             return
         text = html.unescape(text)
-        if state["path"] is None and text.strip():
-            state["path"] = tuple(t for t, _ in stack)
-        if any(t == "a" for t, _ in stack):
-            state["link"] += len(text)
+        if at_path < 0 and text.strip():
+            at_path = stack[-1][1] if stack else 0
+        if open_tags["a"]:
+            link += len(text)
         buffer.append(text)
 
     def end_block() -> None:
+        nonlocal at_path, link
         if text := " ".join("".join(buffer).split()):
-            out.append((state["path"], text, state["link"]))
+            out.append((at_path, text, link))
         buffer.clear()
-        state.update(path=None, link=0)
+        at_path, link = -1, 0
 
     def close(upto: int) -> None:
-        if any(t not in _INLINE for t, _ in stack[upto:]):
+        nonlocal dropped, content
+        if any(t not in _INLINE for t, _, _ in stack[upto:]):
             end_block()
+        for t, _, bad in stack[upto:]:
+            open_tags[t] -= 1
+            dropped -= bad
+            content -= t in _CONTENT
         del stack[upto:]
 
+    def close_last(wanted: tuple[str, ...], stops) -> None:
+        """Closes the last open one of the wanted elements, unless a stop lies over it."""
+        if not any(open_tags[t] for t in wanted):
+            return
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in wanted:
+                return close(i)
+            if stops(stack[i][0]):
+                return None
+
     at = 0
     for m in _TOKEN.finditer(page):
         put(page[at : m.start()])
@@ -100,98 +162,121 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         tag = tag.lower()
         if shut:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in _INLINE and stack[i][0] not in _INLINE:
-                    break
+            if deeper:
+                deeper -= 1
+            else:
+                close_last((tag,), (lambda t: t not in _INLINE) if tag in _INLINE else (lambda t: False))
             continue
         if tag in _VOID:
             if tag in ("br", "hr"):
                 end_block() if tag == "hr" else put(" ")
             continue
         if tag in _CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
+            close_last(("p",), lambda t: t not in _INLINE)
         if tag in _SAME:
             other, stops = _SAME[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in (tag, other):
-                    close(i)
-                    break
-                if stack[i][0] in stops:
-                    break
+            close_last((tag, other), lambda t, stops=stops: t in stops)
         if tag not in _INLINE:
             end_block()
-        if not attributes.rstrip().endswith("/") or tag not in ("path", "g"):
-            stack.append((tag, _furniture(tag, attributes, any(t in _CONTENT for t, _ in stack))))
+        if attributes.rstrip().endswith("/") and tag in ("path", "g"):
+            continue
+        if len(stack) >= DEEPEST:
+            deeper += 1
+            continue
+        key = (tag, attributes, content > 0)
+        if key not in told:
+            told[key] = _aside(*key)
+        path = stack[-1][1] if stack else 0
+        if tag not in _INLINE or told[key]:
+            path = paths.child(path, tag, told[key])
+        bad = tag in _DROPPED
+        stack.append((tag, path, bad))
+        open_tags[tag] += 1
+        dropped += bad
+        content += tag in _CONTENT
     put(page[at:])
     end_block()
-    return out
+    return paths, out
+
+
+def smooth(paths: Paths, values: dict[int, float], weight: float = SMOOTH) -> list[float]:
+    """By path p, the sum over the paths q of weight ** distance(p, q) * values[q]: up the tree, then down."""
+    up = [values.get(p, 0.0) for p in range(len(paths.tag))]
+    for p in range(len(up) - 1, 0, -1):
+        up[paths.parent[p]] += weight * up[p]
+    for p in range(1, len(up)):
+        up[p] += weight * (up[paths.parent[p]] - weight * up[p])
+    return up
+
+
+def fused_ratios(paths: Paths, blocks: list[tuple[int, str, int]]) -> dict[int, float]:
+    """By path, the smoothed ratio of text to blocks times the root of that of punctuation."""
+    length, marks, many = Counter(), Counter(), Counter()
+    for path, text, link in blocks:
+        length[path] += max(0, len(text) - link)
+        marks[path] += len(_PUNCTUATION.findall(text))
+        many[path] += 1
+    text = smooth(paths, {p: length[p] / many[p] for p in many})
+    mark = smooth(paths, {p: (1 + marks[p]) / many[p] for p in many})
+    whole = smooth(paths, {p: 1.0 for p in many})
+    return {p: text[p] / whole[p] * math.sqrt(mark[p] / whole[p]) for p in many}
+
+
+def _likely_roots(paths: Paths, score: dict[int, float], mass: dict[int, float]) -> set[int]:
+    """Where the article begins: declared elements that hold enough text, else the path over all that scores high."""
+    total = [mass.get(p, 0.0) for p in range(len(paths.tag))]
+    for p in range(len(total) - 1, 0, -1):
+        total[paths.parent[p]] += total[p]
+    declared = {p for p, t in enumerate(paths.tag) if t in _CONTENT and total[p] >= 0.3 * total[0] > 0}
+    if declared:
+        return declared
+    best = max(score.values())
+    strong = [p for p in score if score[p] >= 0.5 * best]
+    # The deepest path that all of them share.
+    under = [0] * len(paths.tag)
+    for p in strong:
+        under[p] += 1
+    for p in range(len(under) - 1, 0, -1):
+        under[paths.parent[p]] += under[p]
+    return {max(p for p in range(len(under)) if under[p] == len(strong))}
 
 
-def content_nodes(blocks: list[tuple[tuple[str, ...], str, int]], share: float = 0.08) -> list[int]:
+def content_nodes(paths: Paths, blocks: list[tuple[int, str, int]], share: float = SHARE) -> list[int]:
     """Indices of the blocks on content paths."""
     if not blocks:
         return []
-    length: dict[tuple, float] = defaultdict(float)
-    marks: dict[tuple, float] = defaultdict(float)
-    nodes: dict[tuple, int] = defaultdict(int)
+    fused = fused_ratios(paths, blocks)
+    # Factors pass down the tree; a path called furniture twice is no less than one called so once.
+    called = [False] * len(paths.tag)
+    for p in range(1, len(called)):
+        called[p] = called[paths.parent[p]] or paths.aside[p]
+    score = {p: f * (ASIDE if called[p] else 1.0) for p, f in fused.items()}
+    mass: Counter = Counter()
     for path, text, link in blocks:
-        length[path] += max(0, len(text) - 2 * link)
-        marks[path] += len(_PUNCTUATION.findall(text))
-        nodes[path] += 1
-    paths = list(nodes)
-
-    def nearness(p: tuple, q: tuple) -> float:
-        same = 0
-        for a, b in zip(p, q):
-            if a != b:
-                break
-            same += 1
-        return math.exp(-((len(p) + len(q) - 2 * same) ** 2) / 4.0)
-
-    fused = {}
-    for p in paths:
-        near = [(nearness(p, q), q) for q in paths]
-        whole = sum(w for w, _ in near)
-        text = sum(w * length[q] / nodes[q] for w, q in near) / whole
-        mark = sum(w * (1 + marks[q]) / nodes[q] for w, q in near) / whole
-        fused[p] = text * math.sqrt(mark)
-    best = max(fused.values())
-    content = [p for p in paths if fused[p] > 0 and fused[p] >= share * best]
-    if not content:
+        mass[path] += max(0, len(text) - link) * (ASIDE if called[path] else 1.0)
+    roots = _likely_roots(paths, score, mass)
+    within = [p in roots for p in range(len(paths.tag))]
+    for p in range(1, len(within)):
+        within[p] = within[p] or within[paths.parent[p]]
+    score = {p: s * (1.0 if within[p] else OUTSIDE) for p, s in score.items()}
+    best = max(score.values())
+    if best <= 0:
         return []
-    # A declared article that holds enough of the content is taken whole.
-    mass: dict[tuple, float] = defaultdict(float)
-    total = 0.0
-    for p in content:
-        m = length[p] * (1 + marks[p] / nodes[p])
-        total += m
-        for k in range(1, len(p) + 1):
-            mass[p[:k]] += m
-    declared = [p for p in mass if p[-1] in _CONTENT and mass[p] >= 0.3 * total]
-    if declared:
-        root = max(declared, key=lambda p: (mass[p], -len(p)))
-        return [i for i, (path, _, _) in enumerate(blocks) if path[: len(root)] == root]
-    chosen = set(content)
-    # A block that is mostly links is navigation, unless it is a heading.
-    kept = {i for i, (path, text, link) in enumerate(blocks) if path in chosen and (link * 2 <= len(text) or not _HEADINGS.isdisjoint(path))}
+    chosen = {p for p, s in score.items() if s >= share * best}
+    heading = {p: not _HEADINGS.isdisjoint(paths.names(p)) for p in score}
+    declared = {p for p in roots if paths.tag[p] in _CONTENT}
+    # A block that is mostly links is navigation, unless it is a heading or in a declared article.
+    kept = {i for i, (p, text, link) in enumerate(blocks) if p in chosen and (link * 2 <= len(text) or heading[p] or declared and within[p])}
     # A heading too short for its path to pass goes with the block that it stands over.
     for i in range(len(blocks) - 2, -1, -1):
-        if i + 1 in kept and not _HEADINGS.isdisjoint(blocks[i][0]):
+        if i + 1 in kept and heading[blocks[i][0]] and not called[blocks[i][0]]:
             kept.add(i)
     return sorted(kept)
 
 
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    return " ".join(blocks[i][1] for i in content_nodes(blocks))
+    paths, blocks = blocks_of(page or "")
+    return " ".join(blocks[i][1] for i in content_nodes(paths, blocks))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -199,7 +284,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Defined cases: null or empty html, and a page without content, give an
     empty text; a null id or url is kept; repeated rows give repeated rows;
-    other columns are not read; pages are read whole, one Arrow batch at a time.
+    paths of equal score stand or fall together; broken markup is read as it
+    comes; pages of any length are read whole, in time that grows with their
+    length, one Arrow batch at a time; an empty table gives no row; other
+    columns are not read.
     """
     prepare(pages.sparkSession)
 

@@ -136,6 +136,65 @@ def test_links_of_a_declared_article_stay():
     assert htmltext.main_text(page).endswith("as it goes. The whole report, with all figures.")
 
 
+def test_smoothing_equals_all_pairs_of_paths():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        paths = htmltext.Paths()
+        for _ in range(rng.integers(1, 40)):
+            paths.child(int(rng.integers(0, len(paths.tag))), "t" + str(rng.integers(0, 9)), False)
+        n = len(paths.tag)
+        values = {int(p): float(rng.random()) for p in rng.integers(0, n, 10)}
+
+        def above(p):
+            return [] if p < 0 else [*above(paths.parent[p]), p]
+
+        got = htmltext.smooth(paths, values)
+        for p in range(n):
+            want = 0.0
+            for q, x in values.items():
+                a, b = above(p), above(q)
+                same = sum(1 for i in range(min(len(a), len(b))) if a[i] == b[i])
+                want += 0.5 ** (len(a) + len(b) - 2 * same) * x
+            assert got[p] == pytest.approx(want)
+
+
+def test_names_do_not_delete_prose():
+    prose = lambda n: " ".join(f"Sentence {n} number {i}, which goes on, ends here." for i in range(6))
+    page = f"""<body><nav><a href=a>Home</a></nav><article><h1>Title</h1><p>{prose('a')}</p><div class="side-effects"><p>{prose('b')}</p></div>
+    <section id="social-history"><p>{prose('c')}</p></section><p><a href=x>{prose('d')}</a></p><div class="share-buttons">Share</div>
+    <div class="comments"><p>{prose('e')}</p></div></article><div class="sidebar-left"><p>{prose('f')}</p></div></body>"""
+    assert htmltext.main_text(page) == " ".join(["Title", *map(prose, "abcd")])
+    # What holds the whole page says nothing of it.
+    for whole in ("form", 'div class="page-sidebar-wrapper"', 'div id="content" class="legal"'):
+        assert htmltext.main_text(f"<body><{whole}><p>{prose('a')}</p><p>{prose('b')}</p></{whole.split()[0]}></body>") == f"{prose('a')} {prose('b')}"
+
+
+def test_ratios_find_the_article_without_its_tag(spark):
+    """Word precision and recall on pages whose article and class names are taken away."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    same = wanted = got = 0
+    for r in pages:
+        want = htmltext.main_text(r.html).split()
+        bare = re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|main|footer|nav)\b", r"<\1div", r.html))
+        words = htmltext.main_text(bare).split()
+        from collections import Counter
+
+        same += sum((Counter(want) & Counter(words)).values())
+        wanted, got = wanted + len(want), got + len(words)
+    assert same / wanted > 0.98 and same / got > 0.93, (same / wanted, same / got)
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<b>", "<div><b></i>", "<p><span></div>", "<a></b>", "<li><ul>", "<td></table>"])
+def test_long_nested_pages_take_seconds(unit):
+    import time
+
+    began = time.time()
+    text = htmltext.main_text(f"<article><p>{'A word, and more of them. ' * 20}" + (unit + "x ") * (100_000 // unit.count("<")))
+    assert "A word" in text and time.time() - began < 20
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (None, "w", "<p>x y z.</p>")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     out = htmltext.extract(df).collect()
