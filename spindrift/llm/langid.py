@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import free_name, prepare
 
 CLASSES = 64  # space, a-z, and 37 classes that other letters fall into by code point
 
@@ -90,15 +90,19 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = 512, max_train: int = 20_000) -> dict[str, np.ndarray]:
-    """Unit prototypes by language, from at most about `max_train` labelled rows that are
-    not held out (the documented bound of the fit; rows are chosen by a hash of the id).
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = 512, max_train: int = 5_000) -> dict[str, np.ndarray]:
+    """Unit prototypes by language, from at most about `max_train` labelled rows of each that
+    are not held out (the documented bound of the fit; rows are chosen by a hash of the id,
+    so a rare language keeps all of its rows).
     """
     prepare(docs.sparkSession)
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    n = usable.select("id").count()
-    if n > max_train:
-        usable = usable.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
+    share = F.lit(1_000_000)
+    for lang, n in counts.items():
+        if n > max_train:
+            share = F.when(F.col("lang") == lang, int(1_000_000 * max_train / n)).otherwise(share)
+    usable = usable.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < share)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hd, sums = Bundler(dim), {}
@@ -120,12 +124,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return dict(sorted(out.items()))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", dim: int = 512) -> DataFrame:
-    """All columns of docs, with lang_pred and score (cosine, 0 to 1).
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = 512, pred: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """All columns of docs, with lang_pred and score (cosine, 0 to 1); columns of these names are replaced.
 
     Defined cases: a text that is null or has no letter, and any text when no
     language was learned, is ``und`` with score 0; ties go to the language
-    first in the alphabet; text alone decides, so copies get equal results.
+    first in the alphabet; text alone decides, so copies and repeated rows get
+    equal results, and ids may be null; texts of any length are read whole; an
+    empty table gives no row.
     """
     prepare(docs.sparkSession)
     langs, table = list(prototypes), np.array(list(prototypes.values())).reshape(-1, dim)
@@ -133,22 +139,42 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hd = Bundler(dim)
         for b in batches:
-            pred, score = [], []
+            found, cosines = [], []
             for text in b.column(b.num_columns - 1).to_pylist():
                 v = hd.vector(text)
                 if v is None or not langs:
-                    pred.append("und")
-                    score.append(0.0)
+                    found.append("und")
+                    cosines.append(0.0)
                     continue
                 cos = table @ v.astype(np.float64) / max(np.linalg.norm(v), 1e-12)
                 k = int(np.argmax(cos))
-                pred.append(langs[k])
-                score.append(float(min(1.0, max(0.0, cos[k]))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names)
+                found.append(langs[k])
+                cosines.append(float(min(1.0, max(0.0, cos[k]))))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string()), pa.array(cosines, pa.float64())], names)
 
-    names = [*docs.columns, "lang_pred", "score"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    kept = [f for f in docs.schema.fields if f.name not in (pred, score_name)]
+    names = [*(f.name for f in kept), pred, score_name]
+    fields = ", ".join(f"`{n}` {t}" for n, t in [*((f.name, f.dataType.simpleString()) for f in kept), (pred, "string"), (score_name, "double")])
+    text = F.col(text_col).cast("string").alias(free_name("text", [*docs.columns, pred, score_name]))
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept), text).mapInArrow(run, fields)
+
+
+#: Cosines below three standard deviations of a chance one say nothing; nor do those of shorter texts.
+CHANCE, MIN_CHARS = 3.0, 100
+
+
+def keep_told(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = 512) -> DataFrame:
+    """docs without the rows in no language that was learned: texts that are ``und``, and texts of
+    MIN_CHARS characters and more whose best cosine could be chance.  Where no language was
+    learned, only texts without a letter go.  Cases as in ``predict``.
+    """
+    model = train(docs, id_col, text_col, lang_col, dim)
+    if not model:
+        return docs.where(F.regexp_like(F.col(text_col), F.lit(r"\p{L}")))
+    pred, score = free_name("lang_pred", docs.columns), free_name("score", docs.columns)
+    told = predict(docs, model, text_col, dim, pred, score)
+    kept = told.where((F.col(pred) != "und") & ((F.col(score) >= CHANCE / dim**0.5) | (F.length(text_col) < MIN_CHARS)))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = 512) -> DataFrame:

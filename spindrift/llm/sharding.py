@@ -10,8 +10,6 @@ together unless it crosses a cut.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,9 +33,11 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     bytes give or take one record.
 
     Defined cases: a null text has size 1 and the crc32 of the empty text; a
-    null id sorts first; repeated rows are records of their own, in an
-    arbitrary but gapless order; an empty table gives no row; other columns of
-    the input are not read.  ``grown_shard`` belongs to the law ``key`` and is null.
+    null id sorts first, but for overfull ranges, where null ids are dealt out;
+    repeated rows and ties are records of their own, in an arbitrary but gapless
+    order; a record larger than a shard's share fills one by itself; texts are
+    never cut; an empty table gives no row; other columns of the input are not
+    read.  ``grown_shard`` belongs to the law ``key`` and is null.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut(docs.select(
@@ -48,11 +48,12 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     ))
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
-    ranges = int(min(1024, max(64, count // rows_per_range)))
+    ranges = int(min(1024, max(64, count // rows_per_range)))  # fuller ones are subdivided below, whatever their number of rows
     sample_rows = 128 * ranges
     # Size-weighted draw: a record of share s is taken with chance s * sample_rows.
+    # Repeated rows are one draw of their joint size, so the sample is bounded whatever repeats.
     u = (F.pmod(F.xxhash64("doc_id", "key", F.lit(17)), F.lit(1 << 30)) / float(1 << 30))
-    drawn = rows.where(u < F.col("size") * (sample_rows / max(total, 1))).select("key", "doc_id", "size")
+    drawn = rows.groupBy("key", "doc_id").agg(F.sum("size").alias("size")).where(u < F.col("size") * (sample_rows / max(total, 1))).select("key", "doc_id", "size")
     sample = sorted(((r[0], r[1] if r[1] is not None else -1, r[2]) for r in drawn.collect()))
     bounds: list[int] = []
     if sample:
@@ -65,15 +66,18 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     placed = rows.withColumn("range", _range_of(F.col("key"), bounds).cast("int"))
     # Ranges over their share are subdivided by id: a group of copies has one key but many ids.
     load = placed.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()
-    parts = F.lit(1)
-    low, width = F.lit(0), F.lit(1.0)
+    parts, low, width, salted = F.lit(1), F.lit(0), F.lit(1.0), F.lit(False)
     for r in load:
-        if r.b > overfull * total / ranges and r.n > 1 and r.hi is not None and r.hi > r.lo:
-            k = int(min(ranges, np.ceil(r.b * ranges / total)))
-            here = F.col("range") == r.range
-            parts, low, width = F.when(here, k).otherwise(parts), F.when(here, F.lit(r.lo)).otherwise(low), F.when(here, F.lit((r.hi - r.lo + 1) / k)).otherwise(width)
-    # Within an overfull range the sub-range by id is the major key.
-    sub = F.when(parts > 1, F.least(parts - 1, F.floor((F.coalesce("doc_id", low) - low) / width)).cast("int")).otherwise(F.lit(0))
+        k = int(max(np.ceil(r.b * ranges / max(total, 1)), np.ceil(r.n / rows_per_range)))
+        if r.n > 1 and (r.b > overfull * total / ranges or r.n > overfull * rows_per_range):
+            here, by_id = F.col("range") == r.range, r.hi is not None and r.hi > r.lo
+            parts, salted = F.when(here, k).otherwise(parts), F.when(here, not by_id).otherwise(salted)
+            if by_id:
+                low, width = F.when(here, F.lit(r.lo)).otherwise(low), F.when(here, F.lit((r.hi - r.lo + 1) / k)).otherwise(width)
+    # Within an overfull range the sub-range by id is the major key; rows of one id, or of none, are dealt out.
+    by_row = F.floor(F.rand(29) * parts)
+    within = F.when(salted | F.col("doc_id").isNull(), by_row).otherwise(F.floor((F.col("doc_id") - low) / width))
+    sub = F.when(parts > 1, F.least(parts - 1, within).cast("int")).otherwise(F.lit(0))
     placed = cut(placed.withColumn("sub", F.greatest(sub, F.lit(0)).cast("int")))
     sums = placed.groupBy("range", "sub").agg(F.sum("size").alias("b"), F.count("*").alias("n")).orderBy("range", "sub").collect()
     bytes_before, rows_before, seen_b, seen_n = [], [], 0, 0
@@ -94,13 +98,3 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     return ranked.join(firsts, "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("r0")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def shard_by_hand(records: list[tuple[int, str | None]], shards: int = 8) -> list[int]:
-    """Bytes by shard that a perfect cut would have; the tests' yardstick."""
-    sizes = [len((t or "").encode()) + 1 for _, t in records]
-    return [sum(sizes) // shards] * shards
-
-
-def crc(text: str | None) -> int:
-    return zlib.crc32((text or "").encode())

@@ -98,6 +98,28 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
 
 
+def test_rejected_languages_go(spark):
+    rng = np.random.default_rng(1)
+    words = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(2, 8))) for _ in range(n))
+    rows = [(i, words("etaoinshr", 60), "en") for i in range(40)] + [(100 + i, words("uvwxyzäö", 60), "de") for i in range(40)]
+    strange = [(200, words("бвгджз", 80), "en"), (201, words("#$%1234567890", 80), None), (202, "бв", "en"), (203, None, "en"), (204, words("etaoinshr", 5), None), (None, words("etaoinshr", 60), None)]
+    df = spark.createDataFrame(rows + strange, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(9))
+    out = langid.keep_told(df)
+    assert out.columns == df.columns and {r.score for r in out.collect()} == {9}
+    gone = {r.doc_id for r in df.collect()} - {r.doc_id for r in out.collect()}
+    assert gone == {200, 201, 203}
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in df.collect()} - {r.doc_id for r in langid.keep_told(unlabelled).collect()} == {201, 203}
+    assert langid.keep_told(df.limit(0)).count() == 0
+    assert {r.lang_pred for r in langid.predict(df, langid.train(df)).where("doc_id < 40").collect()} == {"en"}
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(900)] + [(2000 + i, "gwyrdd bychan ydy hwn", "cy") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.train(df, max_train=20)) == {"cy", "en"}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var a="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a><li><a href="/b">About</a></ul></nav><div class="ad">Buy now. It is cheap, they say.</div>
 <header><p>Site name and slogan.</p></header><aside>Related stories, many of them.</aside>
