@@ -19,13 +19,10 @@ RUN_WORDS = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; `und` ones (null or letterless texts) go.
-
-    The models' training languages are what the labelled rows of the input hold.
+    """Documents in a language that the labelled rows taught; texts that are null, have no
+    letter, or are long and no nearer to any learned language than chance go.
     """
-    model = langid.train(docs)
-    kept = langid.predict(docs, model).where("lang_pred <> 'und'")
-    return kept.select(*docs.columns)
+    return langid.keep_told(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
