@@ -264,17 +264,18 @@ def _key(level: int) -> str:
     return f"(({_bits('i', 6, 2, 0)} | {_bits('j', 6, 2, 1)}) >> {(6 - level) * 2})"
 
 
-@query(f"""{_CELL}, n as ({' union all '.join(f"select {d} as level, {_key(d)} as key, count(*) as n from c group by 2" for d in range(7))})
-select ((1::bigint << (a.level * 2)::bigint) | a.key)::bigint as code, a.level::int as level, a.n from n a left join n b on b.level = a.level - 1 and b.key = a.key >> 2
-where (a.n <= 100 or a.level = 6) and (a.level = 0 or b.n > 100)""", "events")
+#: The key is computed once a row; the coarser ones are shifts of the finest cells' counts.
+_LEVELS = f"""{_CELL}, m as materialized (select id, {_key(6)} as cell from c), f as materialized (select cell, count(*) as n from m group by 1),
+n as materialized (select d as level, cell >> ((6 - d) * 2)::bigint as key, sum(n)::bigint as n from f, range(7) t(d) group by 1, 2),
+l as materialized (select a.level, a.key, a.n from n a left join n b on b.level = a.level - 1 and b.key = a.key >> 2 where (a.n <= 100 or a.level = 6) and (a.level = 0 or b.n > 100))"""
+
+
+@query(f"{_LEVELS} select ((1::bigint << (level * 2)::bigint) | key)::bigint as code, level::int as level, n from l", "events")
 def adaptive_leaves(spark, sf_dir):
     return cells.adaptive_leaves(points.events(spark, sf_dir), 100, 6)
 
 
-@query(f"""{_CELL}, n as ({' union all '.join(f"select {d} as level, {_key(d)} as key, count(*) as n from c group by 2" for d in range(7))}),
-l as (select a.level, a.key from n a left join n b on b.level = a.level - 1 and b.key = a.key >> 2 where (a.n <= 100 or a.level = 6) and (a.level = 0 or b.n > 100)),
-m as (select id, {_key(6)} as cell from c)
-select id, ((1::bigint << (l.level * 2)::bigint) | l.key)::bigint as code from m join l on m.cell >> ((6 - l.level) * 2) = l.key""", "events")
+@query(f"{_LEVELS}, u as (select id, d as level, cell >> ((6 - d) * 2)::bigint as key from m, range(7) t(d)) select id, ((1::bigint << (l.level * 2)::bigint) | l.key)::bigint as code from u join l using (level, key)", "events")
 def locate_leaf(spark, sf_dir):
     p = points.events(spark, sf_dir)
     return cells.locate(p, cells.adaptive_leaves(p, 100, 6), 6)
@@ -306,3 +307,32 @@ def median_leaves(spark, sf_dir):
     """Leaf of every point in a k-d partition of about 200 points a leaf."""
     p = points.events(spark, sf_dir)
     return cells.median_leaves(p, 200, p.df.count())
+
+
+@query("select id from p where (x - 60.0) * (x - 60.0) + (y - 360.0) * (y - 360.0) <= 2500.0 order by id", "events")
+def cull_canonical(spark, sf_dir):
+    return cull.cull_canonical(points.events(spark, sf_dir), shapes.Ball((60.0, 360.0), 50.0)).select("id")
+
+
+@query(f"{_CELL} select id, ({_bits('i', 6, 2, 0)} | {_bits('j', 6, 2, 1)}) as cell from c order by 2, 1", "events")
+def z_order(spark, sf_dir):
+    return cells.in_key_order(points.events(spark, sf_dir), 6).select("id", "cell")
+
+
+@query(f"{_CELL} select id from c where ({_bits('i', 6, 2, 0)} | {_bits('j', 6, 2, 1)}) >> 6 = 11", "events")
+def cell_by_code(spark, sf_dir):
+    """Points of the cell with location code 1 00 10 11."""
+    return cells.at_code(points.events(spark, sf_dir), 0b1001011, 6).select("id")
+
+
+@query(f"""{_CELL}, l as (select distinct i, j, ({_bits('i', 6, 2, 0)} | {_bits('j', 6, 2, 1)}) as cell from c)
+select cell, k::int as child, i * 8.0::double + (k & 1) * 4.0::double as lo_x, i * 8.0::double + (k & 1) * 4.0::double + 4 as hi_x,
+  j * 16.0::double + (k >> 1) * 8.0::double as lo_y, j * 16.0::double + (k >> 1) * 8.0::double + 8 as hi_y from l, range(4) t(k)""", "events")
+def child_boxes(spark, sf_dir):
+    return cells.children(cells.leaf_table(points.events(spark, sf_dir), 6))
+
+
+@query(f"{_CELL} select id, (i + j) >> 1 as mid from c", "events")
+def integer_midpoint(spark, sf_dir):
+    p = points.events(spark, sf_dir)
+    return p.df.select("id", keys.midpoint(*p.cell_indices(6)).alias("mid"))

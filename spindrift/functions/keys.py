@@ -160,14 +160,137 @@ def box_extremes(lo: tuple[int, ...], hi: tuple[int, ...]) -> tuple[int, int]:
     return encode(lo), encode(hi)
 
 
+def _lane(bits: int, dims: int, axis: int, upto: int) -> int:
+    """Bits of an axis below bit `upto` of a key."""
+    return sum(1 << b for b in range(axis, min(upto, bits * dims), dims))
+
+
 def next_in_box(key: int, lo: tuple[int, ...], hi: tuple[int, ...], bits: int) -> int | None:
-    """Least key of the box that is at least `key`."""
-    return next((max(a, key) for a, z in box_ranges(lo, hi, bits) if z >= key), None)
+    """Least key of the box that is at least `key`, by one walk down the bits.
+
+    Where the key's bit parts the box in two, the upper half's least key is the
+    answer so far if the key goes below, and the search goes on in its own half.
+    """
+    dims = len(lo)
+    least, most, best = encode(lo), encode(hi), None
+    for b in range(bits * dims - 1, -1, -1):
+        bit, lane = 1 << b, _lane(bits, dims, b % dims, b)
+        at, low, high = bool(key & bit), bool(least & bit), bool(most & bit)
+        if low == high:
+            if at != low:
+                return best if at else least
+            continue
+        if at:
+            least = (least & ~lane) | bit
+        else:
+            best = (least & ~lane) | bit
+            most = (most & ~bit) | lane
+    return key
 
 
 def last_in_box(key: int, lo: tuple[int, ...], hi: tuple[int, ...], bits: int) -> int | None:
-    """Greatest key of the box that is at most `key`."""
-    return next((min(z, key) for a, z in reversed(box_ranges(lo, hi, bits)) if a <= key), None)
+    """Greatest key of the box that is at most `key`; see ``next_in_box``."""
+    dims = len(lo)
+    least, most, best = encode(lo), encode(hi), None
+    for b in range(bits * dims - 1, -1, -1):
+        bit, lane = 1 << b, _lane(bits, dims, b % dims, b)
+        at, low, high = bool(key & bit), bool(least & bit), bool(most & bit)
+        if low == high:
+            if at != low:
+                return most if at else best
+            continue
+        if at:
+            best = (most & ~bit) | lane
+            least = (least & ~lane) | bit
+        else:
+            most = (most & ~bit) | lane
+    return key
+
+
+def runs(keys: list[int], lo: tuple[int, ...], hi: tuple[int, ...], bits: int) -> list[tuple[int, int]]:
+    """Runs (first, last) of positions in a sorted key list whose keys lie in a box.
+
+    A cursor leaps over each gap to the least key of the box behind it.
+    """
+    from bisect import bisect_left
+
+    dims, out, at = len(lo), [], 0
+    while at < len(keys):
+        to = next_in_box(keys[at], lo, hi, bits)
+        if to is None:
+            break
+        if to > keys[at]:
+            at = bisect_left(keys, to, at)
+            continue
+        start = at
+        while at < len(keys) and all(a <= sum(((keys[at] >> (b * dims + i)) & 1) << b for b in range(bits)) <= z for i, (a, z) in enumerate(zip(lo, hi))):
+            at += 1
+        out.append((start, at - 1))
+    return out
+
+
+def hilbert_encode(p: tuple[int, ...], bits: int) -> int:
+    """Hilbert index on the driver, of the curve of ``hilbert3`` and its twins."""
+    v = list(p)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(len(v)):
+            if v[i] & q:
+                v[0] ^= q - 1
+            else:
+                swap = (v[0] ^ v[i]) & (q - 1)
+                v[0], v[i] = v[0] ^ swap, v[i] ^ swap
+        q >>= 1
+    for i in range(1, len(v)):
+        v[i] ^= v[i - 1]
+    turn = 0
+    for b in range(bits - 1, 0, -1):
+        if v[-1] >> b & 1:
+            turn ^= (1 << b) - 1
+    return encode(tuple(x ^ turn for x in reversed(v)))
+
+
+def hilbert_ranges(lo: tuple[int, ...], hi: tuple[int, ...], bits: int) -> list[tuple[int, int]]:
+    """Hilbert index ranges (inclusive, ascending) of an inclusive box of cells.
+
+    Every aligned cube is one range: it starts at the index of any of its cells,
+    with the digits below the cube's level cleared.
+    """
+    dims = len(lo)
+    found: list[tuple[int, int]] = []
+
+    def visit(corner: tuple[int, ...], level: int) -> None:
+        size = 1 << level
+        if any(c > h or c + size - 1 < a for c, a, h in zip(corner, lo, hi)):
+            return
+        if all(a <= c and c + size - 1 <= h for c, a, h in zip(corner, lo, hi)):
+            first = hilbert_encode(corner, bits) >> (level * dims) << (level * dims)
+            found.append((first, first + (1 << (level * dims)) - 1))
+            return
+        half = size >> 1
+        for child in range(1 << dims):
+            visit(tuple(c + half * ((child >> i) & 1) for i, c in enumerate(corner)), level - 1)
+
+    visit((0,) * dims, bits)
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(found):
+        if out and out[-1][1] + 1 == a:
+            out[-1] = (out[-1][0], z)
+        else:
+            out.append((a, z))
+    return out
+
+
+def hilbert_extremes(lo: tuple[int, ...], hi: tuple[int, ...], bits: int) -> tuple[int, int]:
+    """Least and greatest Hilbert index in a box; not at its corners, unlike Morton keys."""
+    ranges = hilbert_ranges(lo, hi, bits)
+    return ranges[0][0], ranges[-1][1]
+
+
+def midpoint(a, b) -> Column:
+    """Integer midpoint, rounded down, that no sum can overflow."""
+    a, b = _c(a), _c(b)
+    return a.bitwiseAND(b) + F.shiftright(a.bitwiseXOR(b), 1)
 
 
 def in_ranges(key, ranges: list[tuple[int, int]]) -> Column:

@@ -347,3 +347,30 @@ def line_circle(a, b, centre, r) -> tuple[Column, Column]:
     disc = qb * qb - 4 * qa * qc
     root = F.when((disc >= 0) & (qa > 0), F.sqrt(F.greatest(disc, F.lit(0.0))))
     return (-qb - root) / (2 * qa), (-qb + root) / (2 * qa)
+
+
+def line_distance(p, a, b) -> Column:
+    """Distance of a point from the line through a and b; from a itself where they are one point."""
+    dx, dy = _c(b[0]) - _c(a[0]), _c(b[1]) - _c(a[1])
+    fx, fy = _c(p[0]) - _c(a[0]), _c(p[1]) - _c(a[1])
+    n2 = dx * dx + dy * dy
+    return F.when(n2 > 0, F.abs(dx * fy - dy * fx) / F.sqrt(F.when(n2 > 0, n2))).otherwise(F.sqrt(fx * fx + fy * fy))
+
+
+def segments_meet(a, b, c, d) -> tuple[Column, Column]:
+    """The point in which segments a-b and c-d cross (see ``segments_cross``); null when they do not."""
+    ux, uy, vx, vy = _c(b[0]) - _c(a[0]), _c(b[1]) - _c(a[1]), _c(d[0]) - _c(c[0]), _c(d[1]) - _c(c[1])
+    turn = ux * vy - uy * vx
+    t = F.when(segments_cross(a, b, c, d), ((_c(c[0]) - _c(a[0])) * vy - (_c(c[1]) - _c(a[1])) * vx) / F.when(turn != 0, turn))
+    return _c(a[0]) + t * ux, _c(a[1]) + t * uy
+
+
+def line_arc(a, b, centre, r, start, sweep) -> tuple[Column, Column]:
+    """Parameters along a-b where its line meets an arc from angle `start`, counterclockwise over `sweep`; null where it does not."""
+    out = []
+    for t in line_circle(a, b, centre, r):
+        x, y = _c(a[0]) + t * (_c(b[0]) - _c(a[0])), _c(a[1]) + t * (_c(b[1]) - _c(a[1]))
+        turn = angle_about(x, y, *centre) - _c(start)
+        turn = turn - F.floor(turn / (2 * math.pi)) * (2 * math.pi)
+        out.append(F.when(turn <= _c(sweep), t))
+    return tuple(out)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..plans.lineage import cut as settled
 from ..sources.points import PointFrame
 
 
@@ -41,6 +42,30 @@ def leaf_table(points: PointFrame, levels: int) -> DataFrame:
     return cells.select("cell", "n", *boxes)
 
 
+def children(leaves: DataFrame, coords=("x", "y")) -> DataFrame:
+    """(cell, child, lo_*, hi_*): the boxes of each cell's children; bit i of `child` is the upper half of axis i."""
+    child = F.explode(F.sequence(F.lit(0), F.lit((1 << len(coords)) - 1))).alias("child")
+    out = leaves.select("cell", *(F.col(f"{e}_{c}") for c in coords for e in ("lo", "hi")), child)
+    boxes = []
+    for i, c in enumerate(coords):
+        middle = (F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2
+        upper = F.col("child").bitwiseAND(1 << i) != 0
+        boxes += [F.when(upper, middle).otherwise(F.col(f"lo_{c}")).alias(f"lo_{c}"), F.when(upper, F.col(f"hi_{c}")).otherwise(middle).alias(f"hi_{c}")]
+    return out.select("cell", "child", *boxes)
+
+
+def in_key_order(points: PointFrame, levels: int) -> DataFrame:
+    """All points along the space-filling curve, ties by id: a range-partitioned sort, no task holds all."""
+    return with_cell(points, levels).orderBy("cell", points.id)
+
+
+def at_code(points: PointFrame, code: int, levels: int) -> DataFrame:
+    """Points of the cell that a location code names (a leading one, then its digits)."""
+    dims = len(points.coords)
+    digits = (code.bit_length() - 1) // dims
+    return region(points, code ^ (1 << (digits * dims)), digits, levels)
+
+
 def adaptive_leaves(points: PointFrame, capacity: int, max_depth: int) -> DataFrame:
     """(code, level, n): leaves of the linear quad- or octree that splits cells over `capacity`.
 
@@ -157,10 +182,11 @@ def median_leaves(points: PointFrame, capacity: int, total: int) -> DataFrame:
     Every level cuts each node at the median of the longest axis of its tight
     box; points at the median go low, so nodes of inseparable points stay whole.
     The cut table has one row a node and is broadcast while it is small (its size
-    is 2 ** depth, which is known beforehand).
+    is 2 ** depth, which is known beforehand).  Lineage is cut at every level, so
+    a level's plan is one aggregate and one join whatever the depth.
     """
     depth = max(0, (max(total, 1) - 1).bit_length() - max(capacity, 1).bit_length() + 1)
-    df = points.df.select(points.id, *points.coords).withColumn("leaf", F.lit(1).cast("long"))
+    df = settled(points.df.select(points.id, *points.coords).withColumn("leaf", F.lit(1).cast("long")))
     for level in range(depth):
         boxes = df.groupBy("leaf").agg(*(a for c in points.coords for a in ((F.max(c) - F.min(c)).alias(f"e_{c}"), F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}"))))
         longest = F.greatest(*(F.col(f"e_{c}") for c in points.coords))
@@ -174,4 +200,5 @@ def median_leaves(points: PointFrame, capacity: int, total: int) -> DataFrame:
             at = F.when(F.col("axis") == c, F.col(c)).otherwise(at)
         joined = df.join(F.broadcast(cuts) if level < 16 else cuts, "leaf")
         df = joined.withColumn("leaf", F.col("leaf") * 2 + F.when(at > F.col("cut"), 1).otherwise(0)).drop("axis", "cut")
+        df = settled(df) if level + 1 < depth else df
     return df.select(points.id, "leaf")

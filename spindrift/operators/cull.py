@@ -19,16 +19,42 @@ def cull(points: PointFrame, shape: Shape, where: Column | None = None) -> DataF
     return found if where is None else found.where(where)
 
 
-def cull_layered(points: PointFrame, shape: Shape, levels: int, shift: int = 2) -> DataFrame:
-    """The same answer through a coarse tier: points of coarse cells that the shape can reach."""
+def cull_layered(points: PointFrame, shape: Shape, levels: int, shift: int = 2, most_cells: int = 100_000) -> DataFrame:
+    """The same answer through a coarse tier.
+
+    The coarse cells that the shape's box meets are classified once each; points
+    join their cell, those of cells inside pass and only those of cut cells are
+    tested.  The box reaches the scan.  The cells are broadcast: a coarser tier is
+    taken while there would be more than `most_cells`.
+    """
+    def span(level: int) -> list[tuple[int, int]]:
+        index = lambda v, w, size: max(0, min((1 << level) - 1, math.floor((v - w[0]) / size)))
+        return [(index(lo, w, size), index(hi, w, size)) for (lo, hi), w, size in zip(shape.bounds(), points.world, points.cell_sizes(level))]
+
     coarse = max(1, levels - shift)
-    lo, hi = [], []
-    for i, (w, size) in zip(points.cell_indices(coarse), zip(points.world, points.cell_sizes(coarse))):
+    while coarse > 1 and math.prod(z - a + 1 for a, z in span(coarse)) > most_cells:
+        coarse -= 1
+    many, below = span(coarse), F.col("id")
+    indices, lo, hi = [], [], []
+    for (a, z), w, size in zip(many, points.world, points.cell_sizes(coarse)):
+        i = below % (z - a + 1) + a
+        below = F.floor(below / (z - a + 1))
+        indices.append(i)
         lo.append(i * size + w[0])
         hi.append((i + 1) * size + w[0])
-    state = shape.classify(lo, hi)
-    exact = shape.contains(*points.coords[: shape.dims])
-    return points.df.withColumn("__state", state).where((F.col("__state") == IN) | ((F.col("__state") == MAYBE) & exact)).drop("__state")
+    names = [f"__i{k}" for k in range(len(many))]
+    grid = points.df.sparkSession.range(math.prod(z - a + 1 for a, z in many)).select(*(i.cast("long").alias(n) for i, n in zip(indices, names)), shape.classify(lo, hi).alias("__state"))
+    near = points.df.where(shape.in_bounds(*points.coords[: shape.dims])).withColumns(dict(zip(names, points.cell_indices(coarse))))
+    sure = F.col("__state") == IN
+    for c, (a, z) in zip(points.coords, points.world):
+        sure = sure & (F.col(c) >= a) & (F.col(c) < z)
+    found = near.join(F.broadcast(grid.where(F.col("__state").isin(IN, MAYBE))), names)
+    return found.where(sure | shape.contains(*points.coords[: shape.dims])).select(*points.df.columns)
+
+
+def cull_canonical(points: PointFrame, shape: Shape) -> DataFrame:
+    """``cull`` in the one order that no layout changes: by id."""
+    return cull(points, shape).orderBy(points.id)
 
 
 def cull_walk(points: PointFrame, shape: Shape, seed: tuple[float, ...]) -> DataFrame:

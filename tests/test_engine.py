@@ -1,5 +1,7 @@
 """Strategies agree, boundaries hold, keys and rasters round-trip."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import keys, shapes
 from spindrift.operators import cells, cull, knn, maintain, rasters, ray
 from spindrift.plans import planner
+from spindrift.sources import points
 from spindrift.sources.points import PointFrame, levels_for_cell_size, levels_for_density, load, save
 
 WORLD = ((0.0, 64.0), (0.0, 64.0), (0.0, 64.0))
@@ -315,3 +318,68 @@ def test_crossings_by_window(spark, tmp_path):
     q.stop()
     got = {(r.window.start.hour, r.cell): r.n for r in spark.table("visits").collect()}
     assert sum(got.values()) == 48 and len(got) == 24 and set(got.values()) == {2}
+
+
+def test_cursor_runs_and_hilbert_ranges():
+    import random
+
+    rng = random.Random(5)
+    for dims, bits in ((2, 4), (3, 3)):
+        size = 1 << bits
+        cells = list(itertools.product(range(size), repeat=dims))
+        curve = sorted(cells, key=lambda p: keys.hilbert_encode(p, bits))
+        assert sorted(keys.hilbert_encode(p, bits) for p in cells) == list(range(size**dims))
+        assert all(sum(abs(a - b) for a, b in zip(p, q)) == 1 for p, q in zip(curve, curve[1:]))
+        for _ in range(20):
+            lo = tuple(rng.randrange(size) for _ in range(dims))
+            hi = tuple(rng.randrange(a, size) for a in lo)
+            inside = sorted(keys.hilbert_encode(p, bits) for p in cells if all(a <= v <= z for v, a, z in zip(p, lo, hi)))
+            ranges = keys.hilbert_ranges(lo, hi, bits)
+            assert [k for a, z in ranges for k in range(a, z + 1)] == inside
+            assert keys.hilbert_extremes(lo, hi, bits) == (inside[0], inside[-1])
+            stored = sorted(rng.randrange(size**dims) for _ in range(60))
+            box = {keys.encode(p) for p in cells if all(a <= v <= z for v, a, z in zip(p, lo, hi))}
+            found = keys.runs(stored, lo, hi, bits)
+            assert [i for a, z in found for i in range(a, z + 1)] == [i for i, k in enumerate(stored) if k in box]
+            assert all(z + 1 < a for (_, z), (a, _) in zip(found, found[1:]))
+
+
+def test_hilbert_column_equals_the_driver(spark):
+    cells = [(x, y, z) for x in range(8) for y in range(0, 8, 3) for z in range(0, 8, 2)]
+    df = spark.createDataFrame(cells, "x long, y long, z long").select("*", keys.hilbert3("x", "y", "z", 3).alias("h"))
+    assert all(r.h == keys.hilbert_encode((r.x, r.y, r.z), 3) for r in df.collect())
+
+
+def test_many_solids_meet_by_cells(spark):
+    from spindrift.catalog.base import segments, solids
+
+    segs, walls = segments(spark), solids(spark)
+    tilted = spark.sql("select 900L as sid, array(named_struct('nx', 1D, 'ny', 1D, 'nz', 0D, 'd', 300D), named_struct('nx', -1D, 'ny', -1D, 'nz', 0D, 'd', -250D)) as planes")
+    walls = walls.unionByName(tilted.select(*walls.columns))
+    want = sorted(map(tuple, ray.blocked_rays(segs, walls).select("seg_id", "sid", "t").collect()))
+    got = sorted(map(tuple, ray.blocked_rays(segs, walls, few=20).select("seg_id", "sid", "t").collect()))
+    assert got == want and any(s == 900 for _, s, _ in want)
+
+
+def test_corridor_in_three_dimensions(spark):
+    df = spark.range(4000).selectExpr("id", "cast(id * 37 % 64 as double) + 0.25 as x", "cast(id * 11 % 61 as double) + 0.5 as y", "cast(id * 7 % 59 as double) as z")
+    p = points.PointFrame.of(df, ("x", "y", "z"), ((0.0, 64.0),) * 3)
+    rays = spark.range(12).selectExpr("id as ray_id", "cast(id * 5 % 60 as double) as ox", "cast(id * 9 % 60 as double) as oy", "3D as oz", "cast(id % 3 - 1 as double) as dx", "cast(id % 2 as double) as dy", "1D as dz", "40D as reach", "2D as r")
+    names = {"origin": ("ox", "oy", "oz"), "direction": ("dx", "dy", "dz")}
+    got = sorted((r.ray_id, r.id) for r in ray.corridor(p, rays, 3, **names).collect())
+    hits = ray.raycast(p, rays, **names)
+    size = 8.0
+    lo = [F.floor(F.col(c) / size) * size for c in "xyz"]
+    a = [F.col(o) for o in names["origin"]]
+    b = [F.col(o) + u * F.col("reach") for o, u in zip(names["origin"], ray._unit(names["direction"]))]
+    assert got == sorted((r.ray_id, r.id) for r in hits.where(ray.slab(a, b, lo, [v + size for v in lo])).collect()) and len(got) > 20
+
+
+def test_plans_do_not_grow(spark, sf_dir):
+    """A level of the k-d partition is one aggregate and one join; the layered tier leaves the box to the scan."""
+    from spindrift import registry
+
+    plan = registry.QUERIES["median_leaves"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert plan.count("Scan ExistingRDD") <= 12 and plan.count("FileScan") <= 4
+    layered = registry.QUERIES["cull_layered"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in layered and "FileScan" in layered
