@@ -108,7 +108,7 @@ select ray_id, id from w where greatest(0.0, a0, b0) <= least(1.0, a1, b1)"""
 
 @query(f"with {RAYS}{_SLAB}", "events")
 def raycast_corridor(spark, sf_dir):
-    return ray.corridor(points.events(spark, sf_dir), rays(spark), 6, strategy="cells", cell=40.0).select("ray_id", "id")
+    return ray.corridor(points.events(spark, sf_dir), rays(spark), 6).select("ray_id", "id")
 
 
 @query(f"{SEGMENT_HITS} select seg_id, sid, round(t, 9) as t from h")
@@ -227,3 +227,43 @@ def cull_many_capsule(spark, sf_dir):
 def cull_many_box(spark, sf_dir):
     q = circles(spark).select("qid", F.col("qx").alias("x0"), F.col("qy").alias("y0"), (F.col("qx") + F.col("r")).alias("x1"), (F.col("qy") + 2 * F.col("r")).alias("y1"))
     return cull.cull_many(points.events(spark, sf_dir), cull.boxes(q), cell=16.0, strategy="cells").select("qid", "id")
+
+
+@query("select id, round(abs(80.0::double * (y - 20) - 580.0::double * (x - 10)) / sqrt(80.0::double * 80 + 580.0::double * 580), 6) as d from p", "events")
+def line_distance(spark, sf_dir):
+    """Distance of every point from the line through (10, 20) and (90, 600)."""
+    d = shapes.line_distance(("x", "y"), (F.lit(10.0), F.lit(20.0)), (F.lit(90.0), F.lit(600.0)))
+    return points.events(spark, sf_dir).df.select("id", F.round(d, 6).alias("d"))
+
+
+def _walls(spark):
+    i = F.col("id")
+    return spark.range(40).select(i.alias("wall_id"), *(((i * a) % m).cast("double").alias(c) for c, a, m in (("cx", 13, 430), ("cy", 61, 690), ("dx", 97, 430), ("dy", 17, 690))))
+
+
+_WALLS = """w as (select i as wall_id, cast((i * 13) % 430 as double) as cx, cast((i * 61) % 690 as double) as cy, cast((i * 97) % 430 as double) as dx, cast((i * 17) % 690 as double) as dy from range(40) t(i)),
+g as (select i as seg_id, cast((i * 7) % 430 as double) as ax, cast((i * 19) % 690 as double) as ay, cast((i * 31) % 430 as double) as bx, cast((i * 43) % 690 as double) as by_ from range(200) t(i))"""
+
+
+@query(f"""with {_WALLS}, k as (select *, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) as s1, (bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax) as s2,
+  (dx - cx) * (ay - cy) - (dy - cy) * (ax - cx) as s3, (dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx) as s4 from g, w)
+select seg_id, wall_id, round(ax + s3 / (s3 - s4) * (bx - ax), 6) as x, round(ay + s3 / (s3 - s4) * (by_ - ay), 6) as y from k where s1 * s2 < 0 and s3 * s4 < 0""")
+def segment_meeting(spark, sf_dir):
+    """Where segments cross walls."""
+    a, b, c, d = (tuple(map(F.col, v)) for v in (("ax", "ay"), ("bx", "by"), ("cx", "cy"), ("dx", "dy")))
+    x, y = shapes.segments_meet(a, b, c, d)
+    pairs = segments(spark).join(F.broadcast(_walls(spark)), shapes.segments_cross(a, b, c, d))  # forty walls
+    return pairs.select("seg_id", "wall_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query(f"""with {_WALLS}, q as (select seg_id, ax - 200 as fx, ay - 300 as fy, bx - ax as ux, by_ - ay as uy from g),
+c as (select *, ux * ux + uy * uy as qa, 2 * (fx * ux + fy * uy) as qb, fx * fx + fy * fy - 22500.0::double as qc from q),
+r as (select *, unnest([-1, 1]) as side from c where qa > 0 and qb * qb - 4 * qa * qc >= 0),
+t as (select *, (-qb + side * sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) as t from r),
+o as (select seg_id, side, t, atan2(fy + t * uy, fx + t * ux) as turn from t)
+select seg_id, side, round(t, 6) as t from o where (case when turn < 0 then turn + 2 * pi() else turn end) between 0.5 and 2.75""")
+def line_arc_hits(spark, sf_dir):
+    """Where the lines of segments meet an arc of radius 150 about (200, 300)."""
+    near, far = shapes.line_arc((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), (F.lit(200.0), F.lit(300.0)), F.lit(150.0), F.lit(0.5), F.lit(2.25))
+    both = segments(spark).select("seg_id", F.explode(F.array(F.struct(F.lit(-1).alias("side"), near.alias("t")), F.struct(F.lit(1).alias("side"), far.alias("t")))).alias("h"))
+    return both.where("h.t is not null").select("seg_id", "h.side", F.round("h.t", 6).alias("t"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +33,39 @@ def _rank(pairs: DataFrame, k: int, qid: str, id: str) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _sure_radius(points: PointFrame, queries: DataFrame, k: int, qid: str, centre) -> DataFrame:
+    """queries with ``__r2``: a squared distance within which k points surely lie.
+
+    One pass counts the points of coarse cells (at most 4096) and their tight
+    boxes; by query, cells are taken in order of their farthest corner until they
+    hold k points.
+    """
+    p = list(points.coords)
+    many = max(1, planner.counted(queries, planner.BROADCAST_QUERIES))
+    level = max(1, min(12 // len(p), int(math.log2(max(2.0, planner.NESTED_PAIRS / many)) / len(p))))
+    cells = points.df.select(points.cell_key(level).alias("__cell"), *p).groupBy("__cell").agg(F.count("*").alias("__n"), *(a for c in p for a in (F.min(c).alias(f"__a_{c}"), F.max(c).alias(f"__z_{c}"))))
+    far = None
+    for c, q in zip(p, centre):
+        one = square(F.greatest(F.abs(F.col(q) - F.col(f"__a_{c}")), F.abs(F.col(q) - F.col(f"__z_{c}"))))
+        far = one if far is None else far + one
+    met = queries.select(qid, *centre).join(F.broadcast(cells), F.lit(True)).select(qid, far.alias("__far"), "__n")
+    upto = met.withColumn("__upto", F.sum("__n").over(Window.partitionBy(qid).orderBy("__far")))
+    sure = upto.where(F.col("__upto") >= k).groupBy(qid).agg((F.min("__far") * (1 + 1e-9) + 1e-300).alias("__r2"))
+    return queries.join(sure, qid, "left").withColumn("__r2", F.coalesce("__r2", F.lit(float("inf"))))
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """df over all cores, where its source has fewer splits than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def knn_many(points: PointFrame, queries: DataFrame, k: int, qid: str = "qid", centre=("qx", "qy"), extra: Column | None = None, strategy: str = "auto", rounds: int = 12) -> DataFrame:
     """k nearest points of every query row: columns of both, ``d2`` and ``rank``.
 
-    nested: broadcast queries and a ranking whose group limit runs before the
-    shuffle.  cells: a radius is estimated from the density; queries whose k-th
+    nested: broadcast queries, each with a radius that surely holds k points by
+    coarse cell counts, and a ranking of the few pairs within it, whose group
+    limit runs before the shuffle.  cells: a radius is estimated from the density; queries whose k-th
     neighbour lies within the searched radius are done, the others search on
     with twice the radius; the last ones go to the nested arm.
     ``extra`` restricts the pairs before the k are taken.
@@ -48,8 +78,12 @@ def knn_many(points: PointFrame, queries: DataFrame, k: int, qid: str = "qid", c
         few = planner.counted(queries, planner.BROADCAST_QUERIES)
         strategy = planner.join_strategy(points.df.count(), few)
     if strategy == "nested":
-        near = queries if planner.counted(queries, planner.BROADCAST_QUERIES) > planner.BROADCAST_QUERIES else F.broadcast(queries)
-        pairs = points.df.join(near, extra if extra is not None else F.lit(True))
+        few = planner.counted(queries, planner.BROADCAST_QUERIES) <= planner.BROADCAST_QUERIES
+        if extra is not None or not few:
+            pairs = points.df.join(F.broadcast(queries) if few else queries, extra if extra is not None else F.lit(True))
+            return _rank(pairs.withColumn("d2", d2), k, qid, points.id)
+        bounded = F.broadcast(_sure_radius(points, queries, k, qid, centre))
+        pairs = _dealt(points.df).join(bounded, d2 <= F.col("__r2")).drop("__r2")
         return _rank(pairs.withColumn("d2", d2), k, qid, points.id)
     extent = points.df.agg(F.count("*"), *(F.max(c) - F.min(c) for c in p)).first()
     n, volume = extent[0], 1.0

@@ -60,23 +60,81 @@ def slab(a: list[Column], b: list[Column], lo: list[Column], hi: list[Column]) -
     return ~miss & (t0 <= t1)
 
 
-def corridor(points: PointFrame, rays: DataFrame, levels: int, origin=("ox", "oy"), direction=("dx", "dy"), reach: str = "reach", radius: str = "r", **how) -> DataFrame:
-    """Ray hits among the points of grid cells that the centre line crosses; a subset of ``raycast``."""
-    hits = raycast(points, rays, origin, direction, reach, radius, **how)
-    lo, hi = [], []
-    for i, (w, size) in zip(points.cell_indices(levels), zip(points.world, points.cell_sizes(levels))):
-        lo.append(i * size + w[0])
-        hi.append((i + 1) * size + w[0])
-    a = [F.col(o) for o in origin]
-    b = [F.col(o) + u * F.col(reach) for o, u in zip(origin, _unit(direction))]
-    return hits.where(slab(a, b, lo, hi))
-
+def corridor(points: PointFrame, rays: DataFrame, levels: int, origin=("ox", "oy"), direction=("dx", "dy"), reach: str = "reach", radius: str = "r") -> DataFrame:
+    """Ray hits among the points of grid cells that the centre line crosses; a subset of ``raycast``.
 
-def blocked_rays(segments: DataFrame, solids: DataFrame, a=("ax", "ay", "az"), b=("bx", "by", "bz")) -> DataFrame:
+    Each ray lists the cells of its box that it crosses, points join their cell,
+    and only they are measured.  In two or three dimensions.
+    """
+    ends = [f"__e{i}" for i in range(len(origin))]
+    cast = rays.withColumns({e: F.col(o) + u * F.col(reach) for e, o, u in zip(ends, origin, _unit(direction))}).where(F.col(ends[0]).isNotNull())
+    names = [f"__i{k}" for k in range(len(points.coords))]
+    lo, hi = [], []
+    for n, o, e, (w, _), size in zip(names, origin, ends, points.world, points.cell_sizes(levels)):
+        # One cell to spare on either side: a segment along a cell's face touches both cells.
+        first = F.greatest(F.floor((F.least(o, e) - w) / size) - 1, F.lit(0).cast("long"))
+        last = F.least(F.floor((F.greatest(o, e) - w) / size) + 1, F.lit((1 << levels) - 1).cast("long"))
+        cast = cast.where(first <= last).withColumn(n, F.explode(F.sequence(first, last)))
+        lo.append(F.col(n) * size + w)
+        hi.append((F.col(n) + 1) * size + w)
+    crossed = cast.where(slab([F.col(o) for o in origin], [F.col(e) for e in ends], lo, hi))
+    placed = points.df.withColumns(dict(zip(names, points.cell_indices(levels))))
+    p = [F.col(c) for c in points.coords]
+    hit = placed.join(crossed, names).where(capsule_distance2(p, list(origin), ends) <= F.col(radius) * F.col(radius))
+    return hit.withColumn("t", along(p, origin, direction, F.col(reach))).drop(*ends, *names)
+
+
+def _box_of(planes: str) -> list[tuple[Column, Column]]:
+    """Bounds of a solid by axis, from its planes that are parallel to the axes; null where it has none."""
+    out = []
+    for k, n in enumerate(("nx", "ny", "nz")):
+        def facing(sign: float, k: int = k, n: str = n) -> Column:
+            flat = lambda p: F.forall(F.array(*(p[m] for i, m in enumerate(("nx", "ny", "nz")) if i != k)), lambda v: v == 0) & (p[n] * sign > 0)
+            return F.array_min(F.transform(F.filter(planes, flat), lambda p: p.d / F.abs(p[n])))
+
+        out.append((-facing(-1.0), facing(1.0)))
+    return out
+
+
+def _near_pairs(segments: DataFrame, solids: DataFrame, a: tuple, b: tuple) -> DataFrame:
+    """Segments and boxed solids whose boxes meet, by grid cells of the first two axes."""
+    boxed = solids.withColumns({f"__{e}{k}": v for k, (lo, hi) in enumerate(_box_of("planes")) for e, v in (("l", lo), ("h", hi))})
+    free = boxed.where(F.col("__l0").isNull() | F.col("__h0").isNull() | F.col("__l1").isNull() | F.col("__h1").isNull())
+    if free.limit(FEW_SOLIDS + 1).count() > FEW_SOLIDS:
+        raise ValueError("too many solids without a box; give them planes that bound x and y")
+    wide = segments.withColumns({f"__{e}{k}s": f(a[k], b[k]) for k in range(3) for e, f in (("l", F.least), ("h", F.greatest))})
+    boxed = boxed.join(free.select("sid"), "sid", "left_anti")
+    side = max((v or 0.0) for v in boxed.agg(*(F.avg(F.col(f"__h{k}") - F.col(f"__l{k}")) for k in range(2))).first())
+    reach = max((v or 0.0) for v in wide.agg(*(F.avg(F.col(f"__h{k}s") - F.col(f"__l{k}s")) for k in range(2))).first())
+    cell = max(side, reach / 8, 1e-9)
+    first = {f"__c{k}{e}": F.floor(F.col(f"__l{k}{e}") / cell) for k in range(2) for e in ("", "s")}
+
+    def over(df: DataFrame, e: str) -> DataFrame:
+        df = df.withColumns({n: v for n, v in first.items() if n.endswith("s") == bool(e)})
+        for k in range(2):
+            df = df.withColumn(f"__g{k}", F.explode(F.sequence(F.col(f"__c{k}{e}"), F.floor(F.col(f"__h{k}{e}") / cell))))
+        return df
+
+    pairs = over(wide, "s").join(over(boxed, ""), ["__g0", "__g1"])
+    # A pair meets in many cells; it counts in the least that both have.
+    for k in range(2):
+        pairs = pairs.where(F.col(f"__g{k}") == F.greatest(f"__c{k}", f"__c{k}s"))
+    for k in range(3):
+        pairs = pairs.where((F.col(f"__l{k}s") <= F.coalesce(f"__h{k}", F.lit(float("inf")))) & (F.col(f"__h{k}s") >= F.coalesce(f"__l{k}", F.lit(float("-inf")))))
+    columns = [*segments.columns, *solids.columns]
+    return pairs.select(*columns).unionByName(segments.join(F.broadcast(free.select(*solids.columns)), F.lit(True)).select(*columns))
+
+
+#: So many solids are broadcast and tested against every segment; more are joined by cell.
+FEW_SOLIDS = 10_000
+
+
+def blocked_rays(segments: DataFrame, solids: DataFrame, a=("ax", "ay", "az"), b=("bx", "by", "bz"), few: int = FEW_SOLIDS) -> DataFrame:
     """(seg_id, sid, t): where segments enter convex solids.
 
     solids: sid and ``planes``, an array of (nx, ny, nz, d) with n.p <= d inside.
-    The solids of a scene are few; they are joined by nested loop.
+    The solids of a scene are few and are broadcast; more than `few` meet the
+    segments by grid cell first.
     """
     def clip(acc: Column, p: Column) -> Column:
         slope = (F.col(b[0]) - F.col(a[0])) * p.nx + (F.col(b[1]) - F.col(a[1])) * p.ny + (F.col(b[2]) - F.col(a[2])) * p.nz
@@ -88,7 +146,7 @@ def blocked_rays(segments: DataFrame, solids: DataFrame, a=("ax", "ay", "az"), b
             F.when(flat & (gap < 0), F.lit(-1.0)).when(~flat & (slope > 0), F.least(acc.t1, t)).otherwise(acc.t1).alias("t1"),
         )
 
-    pairs = segments.join(F.broadcast(solids) if solids.limit(10_001).count() <= 10_000 else solids, F.lit(True))
+    pairs = segments.join(F.broadcast(solids), F.lit(True)) if solids.limit(few + 1).count() <= few else _near_pairs(segments, solids, a, b)
     span = F.aggregate("planes", F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1")), clip)
     return pairs.withColumn("__s", span).where(F.col("__s.t0") <= F.col("__s.t1")).withColumn("t", F.col("__s.t0")).drop("__s", "planes")
 
