@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
 1. Every whole text is read word by word.  A window as long as some item is a
-   candidate if so many of its shingles occur in the benchmark, in whichever
-   items, that the similarity can be reached; of all others it is proven that
-   it cannot.
+   candidate if so many of its shingles occur in items of that length, in
+   whichever of them, that the similarity can be reached; of all others it is
+   proven that it cannot.
 2. Equal candidate windows are one; each gets a 64-bit SimHash of its words.
 3. Items are indexed by the values of BLOCKS blocks of their fingerprint, with
    up to ITEM_FLIPS bits of a block flipped; windows probe with up to
@@ -66,9 +66,17 @@ def _keys(sim: Column, most: int) -> Column:
     return F.flatten(F.array(*(F.transform(masks, lambda m, x=x: x.bitwiseXOR(m)) for x in blocks)))
 
 
-def _weighted(grams: Column) -> Column:
-    """The multiset as a set: (shingle, how many of it came before)."""
-    return F.transform(grams, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(grams, 1, i), lambda y: y == x)).alias("n")))
+def _shingles(w: str, most: int) -> Column:
+    """Sorted hashes of the k-word shingles of a words column; a shorter text is one shingle."""
+    out = F.lit(None)
+    for g in range(1, most + 1):
+        out = F.when(F.col("k") == g, F.when(F.size(w) >= g, _grams(F.col(w), g)).otherwise(F.array(F.xxhash64(F.col(w))))).otherwise(out)
+    return F.sort_array(out)
+
+
+def _weighted(grams: str) -> Column:
+    """The sorted multiset of a column as a set: (shingle, how many of it came before)."""
+    return F.transform(F.col(grams), lambda x, i: F.struct(x.alias("x"), (i + 1 - F.array_position(F.col(grams), x)).alias("n")))
 
 
 #: Buckets of row hashes by which texts are told apart where they are read, before any is shuffled.
@@ -83,21 +91,19 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, items: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(did, row, n, start): windows that the benchmark's shingles allow, for items of k-word shingles.
+    """(did, row, n, start): windows that the shingles of all items of their size allow, for items of k-word shingles.
 
     A window of n words has m = n - k + 1 shingles (a shorter text has fewer);
-    with `need` of them in the benchmark, one is among its first m - need + 1,
+    with `need` of them in items of n words, one is among its first m - need + 1,
     and the need-th of them from there lies in the window too.
     """
-    keys = items.select(F.explode(_grams(F.col("iw"), k)).alias("gram")).distinct()
+    keys = items.select("n", F.explode(_grams(F.col("iw"), k)).alias("gram")).distinct()
     if items.agg(F.sum("n")).first()[0] <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     worded = rows.select("did", "row", words_column(F.col("text")).alias("w")).where(F.size("w") >= k)
     grams = worded.select("did", "row", F.size("w").alias("size"), F.posexplode(_grams(F.col("w"), k)).alias("pos", "gram"))
     # Positions of one document, ascending: bounded by its words.
-    hits = grams.join(keys, "gram").groupBy("did", "row", "size").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # distinct lengths of items, whatever their number
-    sized = hits.withColumn("n", F.explode(F.lit(lengths)))
+    sized = grams.join(keys, "gram").groupBy("did", "row", "size", "n").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     # An item longer than the text is compared with all of it.
     sized = sized.withColumn("m", F.least("n", "size") - (k - 1))
     need = F.ceil((F.col("m") + F.col("n") - (k - 1)) * similarity / (1 + similarity) - 1e-9).cast("int")
@@ -130,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the index guarantees radii up to {RADIUS}")
     items = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.lit(NO_ID)).alias("item_id"), words_column(F.col(item_text_col)).alias("iw")).where(F.size("iw") > 0).distinct()
-    items = cut(items.withColumn("n", F.size("iw")).withColumn("k", F.least(F.lit(k), F.col("n"))).withColumn("isim", simhash(F.col("iw"))))
+    items = cut(items.withColumn("n", F.size("iw")).withColumn("k", F.least(F.lit(k), F.col("n"))).withColumn("isim", simhash(F.col("iw"))).withColumn("ig", _shingles("iw", k)))
     rows = _rows(docs, id_col, text_col)
     spots = None
     for g in sorted(r.k for r in items.select("k").distinct().collect()):  # at most k values
@@ -147,18 +153,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     placed = spots.join(some, ["did", "row"]).withColumn("v", F.slice("w", F.col("start") + 1, F.col("n")))
     placed = placed.select("did", "row", "start", "k", F.size("v").alias("m"), F.md5(F.concat_ws(" ", "v")).alias("key"), "v")
     windows = placed.groupBy("key", "k").agg(F.first("v").alias("v"))  # one of each text
-    windows = cut(windows.withColumn("sim", simhash(F.col("v"))))
+    windows = cut(windows.select("key", "k", simhash(F.col("v")).alias("sim"), _shingles("v", k).alias("g")))
     index = items.select("item_id", "k", "isim", F.explode(_keys(F.col("isim"), ITEM_FLIPS)).alias("b"))
     if items.count() * BLOCKS * len(flips(ITEM_FLIPS)) <= BROADCAST_ROWS:
         index = F.broadcast(index)
     probes = windows.select("key", "k", "sim", F.explode(_keys(F.col("sim"), WINDOW_FLIPS)).alias("b"))
     near = probes.join(index, ["k", "b"]).where(F.bit_count(F.col("sim").bitwiseXOR(F.col("isim"))) <= radius)
     # A pair meets in several blocks; it is verified once.
-    near = near.select("key", "k", "item_id", "isim").distinct().join(windows.select("key", "k", "v"), ["key", "k"]).join(items.select("item_id", "k", "isim", "iw"), ["item_id", "k", "isim"])
-    a, b = F.lit(None), F.lit(None)
-    for g in range(1, k + 1):
-        a, b = (F.when(F.col("k") == g, F.when(F.size(c) >= g, _grams(F.col(c), g)).otherwise(F.array(F.xxhash64(F.col(c))))).otherwise(x) for c, x in (("v", a), ("iw", b)))
-    near = near.select("key", "k", "item_id", _weighted(a).alias("a"), _weighted(b).alias("b"))
+    near = near.select("key", "k", "item_id", "isim").distinct().join(windows.select("key", "k", "g"), ["key", "k"]).join(items.select("item_id", "k", "isim", "ig"), ["item_id", "k", "isim"])
+    near = near.select("key", "k", "item_id", _weighted("g").alias("a"), _weighted("ig").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     scored = near.withColumn("similarity", both / (F.size("a") + F.size("b") - both)).where(F.col("similarity") >= similarity)
     scored = cut(scored.groupBy("key", "k", "item_id").agg(F.max("similarity").alias("similarity")))
