@@ -22,6 +22,8 @@ def query(oracle: str | None = None, view: str | None = None):
             head = f"with p as ({points.SQL[view]}) " if view else ""
             # Further common tables follow the view in one list.
             body = oracle.strip()
+            if head and body.startswith("with recursive "):
+                head, body = head.replace("with p", "with recursive p", 1), "with " + body[15:]
             ORACLES[f.__name__] = head[:-1] + ", " + body[5:] if head and body.startswith("with ") else head + body
         return f
 

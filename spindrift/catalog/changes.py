@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import shapes
-from ..operators import maintain, rasters
+from ..operators import exchange, maintain, rasters
 from ..plans import planner
 from ..sources import points
 from .base import query
@@ -151,9 +151,8 @@ def template_resolve(spark, sf_dir):
 
 @query()
 def template_fingerprint(spark, sf_dir):
-    """Every raster of a small bank as text, for comparison between builds."""
-    tasks = rasters.subtasks(spark, sorted(rasters.FIGURES), [32.0], rasters.FINGERPRINT_CELLS, rasters.FINGERPRINT_ANGLES)
-    return rasters.bank(tasks).select("figure", "angle", "cell", "dx", "dy", "op", F.hex("code").alias("code"))
+    """Every raster of the fingerprint's figures, angles, cells and offsets, for comparison between builds."""
+    return exchange.fingerprint(spark)
 
 
 @query("""with s as (select f, s, c, a from (values ('box'), ('circle')) f(f), (values (1.0), (2.0)) s(s), (values (1), (2)) c(c), (select i * 30.0 as a from range(12) t(i)))

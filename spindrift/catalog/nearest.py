@@ -97,6 +97,10 @@ def raycast_first_body(spark, sf_dir):
     return ray.first_hit(_hits(spark, sf_dir), keep=("cls",)).select("ray_id", "id", (F.col("cls") == "purchase").alias("foe"))
 
 
+def _bits(v: str, n: int, dims: int, lane: int) -> str:
+    return " | ".join(f"((({v} >> {b}) & 1) << {b * dims + lane})" for b in range(n))
+
+
 _SLAB = """, g as (select *, floor(x / 8) * 8 as lx, floor(y / 16) * 16 as ly from h),
 w as (select ray_id, id,
   case when abs(ex - ox) < 1e-12 then (case when ox < lx or ox > lx + 8 then 2.0 else 0.0 end) else least((lx - ox) / (ex - ox), (lx + 8 - ox) / (ex - ox)) end as a0,
@@ -111,6 +115,33 @@ def raycast_corridor(spark, sf_dir):
     return ray.corridor(points.events(spark, sf_dir), rays(spark), 6).select("ray_id", "id")
 
 
+_LEAF_HITS = f"""with {RAYS}, m as materialized (select id, (({_bits('floor(x / 8)::bigint', 6, 2, 0)}) | ({_bits('floor(y / 16)::bigint', 6, 2, 1)})) as cell, floor(x / 8)::bigint as i, floor(y / 16)::bigint as j from p),
+f as materialized (select cell, count(*) as n from m group by 1), n as materialized (select 6 - v as lev, cell >> (v * 2)::bigint as key, sum(n)::bigint as n from f, range(7) t(v) group by 1, 2),
+e as (select a.lev, a.key from n a left join n b on b.lev = a.lev - 1 and b.key = a.key >> 2 where (a.n <= 100 or a.lev = 6) and (a.lev = 0 or b.n > 100)),
+b as (select m.id, power(2, 6 - lev) as size, (i >> (6 - lev)) * power(2, 6 - lev) as i0, (j >> (6 - lev)) * power(2, 6 - lev) as j0 from m join e on m.cell >> ((6 - lev) * 2)::bigint = e.key),
+g as (select h.*, i0 * 8 as lx, (i0 + size) * 8 as hx, j0 * 16 as ly, (j0 + size) * 16 as hy from h join b using (id)),
+w as (select ray_id, id, t,
+  case when abs(ex - ox) < 1e-12 then (case when ox < lx or ox > hx then 2.0 else 0.0 end) else least((lx - ox) / (ex - ox), (hx - ox) / (ex - ox)) end as a0,
+  case when abs(ex - ox) < 1e-12 then 1.0 else greatest((lx - ox) / (ex - ox), (hx - ox) / (ex - ox)) end as a1,
+  case when abs(ey - oy) < 1e-12 then (case when oy < ly or oy > hy then 2.0 else 0.0 end) else least((ly - oy) / (ey - oy), (hy - oy) / (ey - oy)) end as b0,
+  case when abs(ey - oy) < 1e-12 then 1.0 else greatest((ly - oy) / (ey - oy), (hy - oy) / (ey - oy)) end as b1 from g),
+k as (select ray_id, id, t from w where greatest(0.0, a0, b0) <= least(1.0, a1, b1))"""
+
+
+def _leaf_hits(spark, sf_dir):
+    return ray.leaf_corridor(points.events(spark, sf_dir), rays(spark), 100, 6)
+
+
+@query(f"{_LEAF_HITS} select ray_id, id from k", "events")
+def raycast_leaf_corridor(spark, sf_dir):
+    return _leaf_hits(spark, sf_dir).select("ray_id", "id")
+
+
+@query(f"{_LEAF_HITS} select ray_id, id from (select *, row_number() over (partition by ray_id order by t, id) as r from k) where r = 1", "events")
+def raycast_leaf_first(spark, sf_dir):
+    return ray.first_hit(_leaf_hits(spark, sf_dir)).select("ray_id", "id")
+
+
 @query(f"{SEGMENT_HITS} select seg_id, sid, round(t, 9) as t from h")
 def segment_hit(spark, sf_dir):
     return ray.blocked_rays(segments(spark), solids(spark)).select("seg_id", "sid", F.round("t", 9).alias("t"))

@@ -214,7 +214,27 @@ def demorton3(spark, sf_dir):
     return cells.with_cell(points.events(spark, sf_dir, 3), 6).select("id", i.alias("i"), j.alias("j"), k.alias("k"))
 
 
-@query()
+def _hilbert(bits: int) -> str:
+    """Hilbert index of (i, j, k) as SQL: one common table a bit and axis."""
+    tables = [f"h0 as (select id, floor(x / 8)::bigint as a, floor(y / 16)::bigint as b, floor(z / 4)::bigint as c from p)"]
+    for q in (1 << n for n in range(bits - 1, 0, -1)):
+        for v in "abc":
+            other = {w: w for w in "abc"}
+            swap = f"(xor(a, {v}) & {q - 1})"
+            if v != "a":
+                other[v] = f"case when {v} & {q} <> 0 then {v} else xor({v}, {swap}) end"
+            other["a"] = f"case when {v} & {q} <> 0 then xor(a, {q - 1}) else xor(a, {swap}) end"
+            tables.append(f"h{len(tables)} as materialized (select id, {', '.join(f'{e} as {w}' for w, e in other.items())} from h{len(tables) - 1})")
+    turn = "0::bigint"
+    for q in (1 << n for n in range(bits - 1, 0, -1)):
+        turn = f"xor({turn}, case when c & {q} <> 0 then {q - 1} else 0 end)"
+    last = len(tables) - 1
+    tables.append(f"g as materialized (select id, a, xor(a, b) as b, xor(xor(a, b), c) as c from h{last})")
+    tables.append(f"u as materialized (select id, {turn} as t, a, b, c from g), w as materialized (select id, xor(a, t) as a, xor(b, t) as b, xor(c, t) as c from u)")
+    return f"with {', '.join(tables)} select id, ({_bits('c', bits, 3, 0)} | {_bits('b', bits, 3, 1)} | {_bits('a', bits, 3, 2)}) as h from w"
+
+
+@query(_hilbert(6), "events")
 def hilbert3(spark, sf_dir):
     p = points.events(spark, sf_dir, 3)
     return p.df.select("id", keys.hilbert3(*p.cell_indices(6), 6).alias("h"))
@@ -253,6 +273,15 @@ def quality_q1_q5(spark, sf_dir):
     return cells.quality(points.events(spark, sf_dir), 6)
 
 
+@query(f"""{_CELL}, t as (select i, j, min(x) - 2 as lx, max(x) + 2 as hx, min(y) - 2 as ly, max(y) + 2 as hy from p join c using (id) group by i, j),
+s as (select least(a.hx, b.hx) - greatest(a.lx, b.lx) as w, least(a.hy, b.hy) - greatest(a.ly, b.ly) as h from t a join t b on (a.i, a.j) < (b.i, b.j))
+select count(*) as pairs, round(coalesce(sum(w * h), 0.0), 6) as shared from s where w > 0 and h > 0""", "events")
+def quality_overlap(spark, sf_dir):
+    """Overlap of the cells' tight boxes, grown by two on every side."""
+    boxes = cells.tight_leaves(points.events(spark, sf_dir), 6)
+    return cells.overlap(boxes.select("cell", *((F.col(f"{e}_{c}") + d).alias(f"{e}_{c}") for c in "xy" for e, d in (("lo", -2.0), ("hi", 2.0)))))
+
+
 @query(f"""{_CELL}, n as (select ({_bits('i', 6, 2, 0)} | {_bits('j', 6, 2, 1)}) as cell, count(*) as n from c group by 1),
 r as (select cell, n, sum(n) over (order by cell) - n as before, sum(n) over () as total from n)
 select cell, n, least(7, floor(before * 8 / total)::int)::int as shard from r""", "events")
@@ -294,7 +323,10 @@ def tight_leaf_table(spark, sf_dir):
     return cells.tight_leaves(points.events(spark, sf_dir), 6)
 
 
-@query()
+@query(f"""{_CELL}, m as (select {_key(5)} as cell, count(*) as n from c group by 1), o as materialized (select cell, n, row_number() over (order by n desc, cell) as k from m)""".replace("with ", "with recursive ", 1) + """,
+s as (select 0::bigint as k, 0::bigint as cell, 0 as shard, list_transform(range(8), lambda v: 0::bigint) as loads
+ union all select o.k, o.cell, list_position(s.loads, list_min(s.loads))::int - 1, list_transform(range(8), lambda v: s.loads[v + 1] + case when v + 1 = list_position(s.loads, list_min(s.loads)) then o.n else 0 end) from s join o on o.k = s.k + 1)
+select cell, shard::int as shard from s where k > 0""", "events")
 def packed_shards(spark, sf_dir):
     """Cells dealt to shards largest first."""
     p = points.events(spark, sf_dir)

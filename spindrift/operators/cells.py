@@ -86,12 +86,20 @@ def adaptive_leaves(points: PointFrame, capacity: int, max_depth: int) -> DataFr
     return leaves.select(one.bitwiseOR(F.col("key")).alias("code"), F.col("level").cast("int").alias("level"), "n")
 
 
+def ancestors(key: Column, max_depth: int, dims: int) -> Column:
+    """Location codes of a finest cell and of all cells above it, coarsest first."""
+    one = lambda d: F.call_function("shiftleft", F.lit(1).cast("long"), (d * dims).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(max_depth)), lambda d: one(d).bitwiseOR(F.call_function("shiftright", key, ((F.lit(max_depth) - d) * dims).cast("int"))))
+
+
 def locate(points: PointFrame, leaves: DataFrame, max_depth: int) -> DataFrame:
-    """(id, code): the leaf that holds each point; all its ancestors are looked up at once."""
-    dims = len(points.coords)
+    """(id, code): the leaf that holds each point; all ancestors of a cell are looked up at once, once a cell.
+
+    The points themselves are joined by their finest cell and not multiplied.
+    """
     cell = points.df.select(points.id, points.cell_key(max_depth).alias("cell"))
-    up = cell.select(points.id, F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_depth)), lambda d: F.call_function("shiftleft", F.lit(1).cast("long"), (d * dims).cast("int")).bitwiseOR(F.call_function("shiftright", F.col("cell"), ((F.lit(max_depth) - d) * dims).cast("int"))))).alias("code"))
-    return up.join(leaves.select("code"), "code").select(points.id, "code")
+    up = cell.select("cell").distinct().withColumn("code", F.explode(ancestors(F.col("cell"), max_depth, len(points.coords))))
+    return cell.join(up.join(leaves.select("code"), "code"), "cell").select(points.id, "code")
 
 
 def neighbours(leaves: DataFrame, coords=("x", "y")) -> DataFrame:
@@ -112,6 +120,27 @@ def neighbours(leaves: DataFrame, coords=("x", "y")) -> DataFrame:
     return out
 
 
+def overlap(boxes: DataFrame, coords=("x", "y"), cell: float = 64.0) -> DataFrame:
+    """One row: pairs of boxes that overlap openly and the volume that they share (nothing for a partition of space).
+
+    Boxes (cell, lo_*, hi_*) meet by grid cells of side `cell` over the first two axes; a pair counts in the
+    least cell that both have.
+    """
+    grid = [(c, f"__g{k}") for k, c in enumerate(coords[:2])]
+    a = boxes.select("cell", *(F.col(f"{e}_{c}") for c in coords for e in ("lo", "hi")))
+    for c, g in grid:
+        a = a.withColumn(g, F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / cell), F.floor(F.col(f"hi_{c}") / cell))))
+    b = a.select(*(F.col(n).alias(n if n.startswith("__g") else f"b_{n}") for n in a.columns))
+    pairs = a.join(b, [g for _, g in grid]).where("cell < b_cell")
+    shared = F.lit(1.0)
+    for c in coords:
+        side = F.least(f"hi_{c}", f"b_hi_{c}") - F.greatest(f"lo_{c}", f"b_lo_{c}")
+        pairs, shared = pairs.where(side > 0), shared * side
+    for c, g in grid:
+        pairs = pairs.where(F.col(g) == F.floor(F.greatest(f"lo_{c}", f"b_lo_{c}") / cell))
+    return pairs.agg(F.count("*").alias("pairs"), F.round(F.coalesce(F.sum(shared), F.lit(0.0)), 6).alias("shared"))
+
+
 def quality(points: PointFrame, levels: int, capacity: int = 8) -> DataFrame:
     """One row of index quality: dead volume, margin, fill, balance (max over mean)."""
     cell = points.cell_key(levels).alias("cell")

@@ -84,6 +84,55 @@ def inside(ring: list[Vertex], x: np.ndarray, y: np.ndarray, eps: float = 1e-9)
     return odd | on
 
 
+def _sweep(ax: float, ay: float, bx: float, by: float, xc: float, yc: float, d: int) -> tuple[float, float, float]:
+    """Radius, first angle and signed sweep of an arc."""
+    a, b = math.atan2(ay - yc, ax - xc), math.atan2(by - yc, bx - xc)
+    return math.hypot(ax - xc, ay - yc), a, (b - a) % (2 * math.pi) if d > 0 else -((a - b) % (2 * math.pi))
+
+
+def bounds(ring: list[Vertex]) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest corner of a ring; arcs count with the extremes that they pass."""
+    p = [(x, y) for x, y, *_ in ring]
+    for (ax, ay, xc, yc, d), (bx, by, *_) in zip(ring, ring[1:] + ring[:1]):
+        if d:
+            r, a, sweep = _sweep(ax, ay, bx, by, xc, yc, d)
+            for quarter, (ux, uy) in enumerate(((1, 0), (0, 1), (-1, 0), (0, -1))):
+                if (quarter * math.pi / 2 - a) * d % (2 * math.pi) <= abs(sweep):
+                    p.append((xc + r * ux, yc + r * uy))
+    return np.min(p, axis=0), np.max(p, axis=0)
+
+
+def traced(ring: list[Vertex], x0: float, y0: float, cw: float, ch: float) -> np.ndarray:
+    """(n, 2) cells that the outline passes through: every edge is cut at all grid lines, and each piece lies in one cell.
+
+    A straight edge along a grid line passes through no cell.
+    """
+    out = [np.empty((0, 2), int)]
+    for (ax, ay, xc, yc, d), (bx, by, *_) in zip(ring, ring[1:] + ring[:1]):
+        t = [np.array([0.0, 1.0])]
+        r, a, sweep = _sweep(ax, ay, bx, by, xc, yc, d) if d else (0.0, 0.0, 0.0)
+        along = False
+        for axis, (p, q, c, o, size) in enumerate(((ax, bx, xc, x0, cw), (ay, by, yc, y0, ch))):
+            lo, hi = ((c - r, c + r) if d else (min(p, q), max(p, q)))
+            lines = np.arange(math.ceil((lo - o) / size), math.floor((hi - o) / size) + 1) * size + o
+            if d:
+                turn = np.arccos(np.clip((lines - c) / r, -1, 1)) if axis == 0 else np.arcsin(np.clip((lines - c) / r, -1, 1))
+                for angle in (turn, -turn if axis == 0 else math.pi - turn):
+                    t.append((angle - a) * d % (2 * math.pi) / abs(sweep))
+            elif p != q:
+                t.append((lines - p) / (q - p))
+            else:
+                along |= len(lines) > 0
+        if along:
+            continue
+        t = np.unique(np.concatenate(t))
+        t = t[(t >= 0) & (t <= 1)]
+        mid = (t[:-1] + t[1:])[np.diff(t) > 1e-12] / 2
+        x, y = (xc + r * np.cos(a + sweep * mid), yc + r * np.sin(a + sweep * mid)) if d else (ax + (bx - ax) * mid, ay + (by - ay) * mid)
+        out.append(np.floor(np.stack([(x - x0) / cw, (y - y0) / ch], axis=1)).astype(int))
+    return np.concatenate(out)
+
+
 def classify(ring: list[Vertex], x0: float, y0: float, cols: int, rows: int, cw: float, ch: float) -> np.ndarray:
     """(rows, cols) of cell states: cut where the outline passes or a corner differs."""
     gx, gy = np.meshgrid(x0 + cw * np.arange(cols + 1), y0 + ch * np.arange(rows + 1))
@@ -91,20 +140,13 @@ def classify(ring: list[Vertex], x0: float, y0: float, cols: int, rows: int, cw:
     every = corner[:-1, :-1] & corner[:-1, 1:] & corner[1:, :-1] & corner[1:, 1:]
     some = corner[:-1, :-1] | corner[:-1, 1:] | corner[1:, :-1] | corner[1:, 1:]
     state = np.where(every, IN, np.where(some, MAYBE, OUT)).astype(np.uint8)
-    # Samples along all chords of the outline, eight and more to a cell.
-    a = flattened(ring)
-    b = np.roll(a, -1, axis=0)
-    n = np.maximum(2, (8 * np.abs((b - a) / (cw, ch)).max(axis=1)).astype(int) + 2)
-    first = np.cumsum(n) - n
-    i = np.repeat(np.arange(len(a)), n)
-    t = ((np.arange(n.sum()) - first[i]) / (n[i] - 1))[:, None]
-    p = np.floor((a[i] + (b[i] - a[i]) * t - (x0, y0)) / (cw, ch)).astype(int)
+    p = traced(ring, x0, y0, cw, ch)
     p = p[((p >= 0) & (p < (cols, rows))).all(axis=1)]
     state[p[:, 1], p[:, 0]] = MAYBE
     return state
 
 
-#: Names of the eight symmetries, in the order of ``symmetries``.
+#: Names of the eight symmetries, in the order of ``symmetries``.
 SYMMETRIES = ("eq", "rCC", "rC", "r180", "fLR", "fTB", "fTLBR", "fTRBL")
 
 
@@ -142,10 +184,9 @@ def canonical(m: np.ndarray) -> tuple[bytes, str]:
     return code(symmetries(m)[best]), back
 
 
-# The figures, angles and cells of the fingerprint, at scale 32.
+# The figures and angles of the fingerprint.
 FIGURES = {"drop": drop(0.2, 0.8), "circle": circle(1.0), "box": box(1.0), "square": square(0.0, 0.0, 0.5, 0.7)}
 FINGERPRINT_ANGLES = [0.0, 15.0, 30.0, 45.0, 90.0, 135.0, 180.0, 270.0]
-FINGERPRINT_CELLS = [1, 8, 16]
 
 
 def angles(step: float) -> list[float]:
@@ -186,9 +227,9 @@ def bank(tasks: DataFrame, figures: dict[str, list[Vertex]] = FIGURES) -> DataFr
 def raster(ring: list[Vertex], scale: float, degrees: float, cell: int, dx: int = 0, dy: int = 0) -> np.ndarray:
     """A figure over the lattice of `cell`, its origin at (dx, dy) of a cell."""
     figure = placed(ring, scale, degrees, dx, dy)
-    p = flattened(figure)
-    c0, r0 = (int(math.floor(v)) for v in p.min(axis=0) / cell)
-    c1, r1 = (int(math.floor(v)) + 1 for v in p.max(axis=0) / cell)
+    lo, hi = bounds(figure)
+    c0, r0 = (int(math.floor(v)) for v in lo / cell)
+    c1, r1 = (int(math.floor(v)) + 1 for v in hi / cell)
     return classify(figure, c0 * cell, r0 * cell, c1 - c0, r1 - r0, cell, cell)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import keys
 from ..functions.shapes import PARALLEL, capsule_distance2
 from ..sources.points import PointFrame
+from . import cells
 from .cull import capsules, cull_many
 
 
@@ -60,12 +62,8 @@ def slab(a: list[Column], b: list[Column], lo: list[Column], hi: list[Column]) -
     return ~miss & (t0 <= t1)
 
 
-def corridor(points: PointFrame, rays: DataFrame, levels: int, origin=("ox", "oy"), direction=("dx", "dy"), reach: str = "reach", radius: str = "r") -> DataFrame:
-    """Ray hits among the points of grid cells that the centre line crosses; a subset of ``raycast``.
-
-    Each ray lists the cells of its box that it crosses, points join their cell,
-    and only they are measured.  In two or three dimensions.
-    """
+def _crossed(points: PointFrame, rays: DataFrame, levels: int, origin, direction, reach: str) -> tuple[DataFrame, list[str], list[str]]:
+    """(rays with one row a grid cell that the centre line crosses, names of the end columns, of the cell columns)."""
     ends = [f"__e{i}" for i in range(len(origin))]
     cast = rays.withColumns({e: F.col(o) + u * F.col(reach) for e, o, u in zip(ends, origin, _unit(direction))}).where(F.col(ends[0]).isNotNull())
     names = [f"__i{k}" for k in range(len(points.coords))]
@@ -77,13 +75,39 @@ def corridor(points: PointFrame, rays: DataFrame, levels: int, origin=("ox", "oy
         cast = cast.where(first <= last).withColumn(n, F.explode(F.sequence(first, last)))
         lo.append(F.col(n) * size + w)
         hi.append((F.col(n) + 1) * size + w)
-    crossed = cast.where(slab([F.col(o) for o in origin], [F.col(e) for e in ends], lo, hi))
+    return cast.where(slab([F.col(o) for o in origin], [F.col(e) for e in ends], lo, hi)), ends, names
+
+
+def corridor(points: PointFrame, rays: DataFrame, levels: int, origin=("ox", "oy"), direction=("dx", "dy"), reach: str = "reach", radius: str = "r") -> DataFrame:
+    """Ray hits among the points of grid cells that the centre line crosses; a subset of ``raycast``.
+
+    Each ray lists the cells of its box that it crosses, points join their cell,
+    and only they are measured.  In two or three dimensions.
+    """
+    crossed, ends, names = _crossed(points, rays, levels, origin, direction, reach)
     placed = points.df.withColumns(dict(zip(names, points.cell_indices(levels))))
     p = [F.col(c) for c in points.coords]
     hit = placed.join(crossed, names).where(capsule_distance2(p, list(origin), ends) <= F.col(radius) * F.col(radius))
     return hit.withColumn("t", along(p, origin, direction, F.col(reach))).drop(*ends, *names)
 
 
+def leaf_corridor(points: PointFrame, rays: DataFrame, capacity: int, max_depth: int, origin=("ox", "oy"), direction=("dx", "dy"), reach: str = "reach", radius: str = "r", ray: str = "ray_id") -> DataFrame:
+    """Ray hits among the points of adaptive leaves that the centre line crosses, with ``t``.
+
+    A leaf is crossed when one of its finest cells is.  Rays carry their crossed
+    cells up to the leaves that hold them, once a leaf, and points join by leaf.
+    """
+    leaves = cells.adaptive_leaves(points, capacity, max_depth).select("code")
+    crossed, ends, names = _crossed(points, rays, max_depth, origin, direction, reach)
+    key = keys.morton([F.col(n) for n in names])
+    up = crossed.select(ray, F.explode(cells.ancestors(key, max_depth, len(names))).alias("code")).distinct()
+    met = up.join(leaves, "code").join(crossed.drop(*names).dropDuplicates([ray]), ray)
+    placed = points.df.join(cells.locate(points, leaves, max_depth), points.id)
+    p = [F.col(c) for c in points.coords]
+    hit = placed.join(met, "code").where(capsule_distance2(p, list(origin), ends) <= F.col(radius) * F.col(radius))
+    return hit.withColumn("t", along(p, origin, direction, F.col(reach))).drop(*ends, "code")
+
+
 def _box_of(planes: str) -> list[tuple[Column, Column]]:
     """Bounds of a solid by axis, from its planes that are parallel to the axes; null where it has none."""
     out = []

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import keys, shapes
-from spindrift.operators import cells, cull, knn, maintain, rasters, ray
+from spindrift.operators import cells, cull, exchange, knn, maintain, rasters, ray
 from spindrift.plans import planner
 from spindrift.sources import points
 from spindrift.sources.points import PointFrame, levels_for_cell_size, levels_for_density, load, save
@@ -383,3 +383,67 @@ def test_plans_do_not_grow(spark, sf_dir):
     assert plan.count("Scan ExistingRDD") <= 12 and plan.count("FileScan") <= 4
     layered = registry.QUERIES["cull_layered"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in layered and "FileScan" in layered
+
+
+def test_exchange_format():
+    rng = np.random.default_rng(5)
+    for rows, cols in ((1, 1), (2, 2), (3, 5), (7, 4), (1, 3)):
+        m = rng.integers(0, 3, (rows, cols)).astype(np.uint8)
+        b = exchange.bin_code(m)
+        whole = rows * cols // 4 * 4
+        assert b[:2] == bytes((cols, rows)) and len(b) == 2 + whole // 4
+        back = exchange.decode_binary(b)
+        assert (back.ravel()[:whole] == m.ravel()[:whole]).all() and not back.ravel()[whole:].any()
+    assert exchange.bin_code(np.array([[1, 2], [0, 2]], np.uint8)) == bytes((2, 2, 0b01100010))
+    for bad in (b"", b"\x05", b"\x05\x05\x01"):
+        with pytest.raises(ValueError):
+            exchange.decode_binary(bad)
+
+
+def test_thin_tips_cut_their_cells():
+    ring = [(0.5, 0.5, 0, 0, 0), (7.4999, 3.51, 0, 0, 0), (0.5, 0.500001, 0, 0, 0)]
+    state = rasters.classify(ring, 0, 0, 8, 4, 1.0, 1.0)
+    t = np.linspace(0, 1, 4001)
+    assert all(state[int(y), int(x)] == shapes.MAYBE for x, y in zip(0.5 + 6.9999 * t, 0.5 + 3.01 * t))
+    lo, hi = rasters.bounds(rasters.placed(rasters.circle(3.0), 1.0, 33.0, 5.0, 6.0))
+    assert np.allclose(lo, (2, 3)) and np.allclose(hi, (8, 9))
+
+
+def test_fingerprint_is_whole_and_stable(spark):
+    one = exchange.fingerprint(spark, [0.0, 30.0], ((1, 1), (2, 4)))
+    rows = {tuple(r) for r in one.collect()}
+    assert len(rows) == one.count() == 4 * 2 * (1 + 8) and rows == {tuple(r) for r in one.collect()}
+    box = next(r for r in one.where("figure = 'box' and angle = 0 and cell_w = 1").collect())
+    m = exchange.decode_binary(bytes.fromhex(box.code))
+    assert m.shape == (32, 32) and (m == shapes.IN).all()
+
+
+def test_coarser_cells_come_from_the_largest_divisor(spark):
+    assert exchange.largest_divisor(12, [1, 4, 5]) == 4 and exchange.largest_divisor(7, [2, 4]) is None
+    entries = spark.createDataFrame([("box", 8.0, 2, 0.0, x, y, x * 2 + y) for x in range(2) for y in range(2)], "figure string, scale double, cell int, angle double, dx int, dy int, tid long")
+    rings = [(t, rasters.placed(rasters.FIGURES["box"], 8.0, 0.0, t // 2, t % 2)) for t in range(4)]
+    raster = [(t, c - 4, r - 4, int(v)) for t, ring in rings for r, line in enumerate(rasters.classify(ring, -8, -8, 8, 8, 2, 2)) for c, v in enumerate(line)]
+    cut = spark.createDataFrame(raster, "tid long, col int, row int, state int")
+    at = spark.createDataFrame([(1, "box", 8.0, 0.0, -7, 10)], "pid long, figure string, scale double, angle double, px int, py int")
+    got = {(r.col, r.row): r.state for r in exchange.resolve_or_aggregated(at, entries, cut, [2], 4).collect()}
+    truth = rasters.classify(rasters.placed(rasters.FIGURES["box"], 8.0, 0.0, -7, 10), -20, 0, 8, 8, 4, 4)
+    for (c, r), state in got.items():
+        want = truth[r, c + 5]
+        assert state == want or state == shapes.MAYBE and want != shapes.OUT or want == shapes.MAYBE and state != shapes.IN
+    assert exchange.resolve_or_aggregated(at, entries, cut, [2], 3).count() == 0
+    moved = exchange.translated(cut.where("tid = 0"), 3, -1).agg(F.min("col"), F.min("row")).first()
+    assert tuple(moved) == (-1, -5)
+    assert exchange.boxes(cut.where("col = 1 and row = 2 and tid = 0"), 2.0, 3.0, 1.0).select("lo_x", "lo_y", "hi_x", "hi_y").first()[:] == (3.0, 6.0, 5.0, 9.0)
+
+
+def test_corridors_in_three_dimensions(spark, sf_dir):
+    p = points.events(spark, sf_dir, 3)
+    i = F.col("id")
+    rays = spark.range(6).select(i.alias("ray_id"), (i * 31.0).alias("ox"), (i * 90.0).alias("oy"), (i * 15.0).alias("oz"), (3 - i).cast("double").alias("dx"), F.lit(1.0).alias("dy"), (i % 2).cast("double").alias("dz"), F.lit(400.0).alias("reach"), F.lit(12.0).alias("r"))
+    ends = {"origin": ("ox", "oy", "oz"), "direction": ("dx", "dy", "dz")}
+    whole = {(r.ray_id, r.id) for r in ray.raycast(p, rays, **ends).collect()}
+    grid = {(r.ray_id, r.id) for r in ray.corridor(p, rays, 4, **ends).collect()}
+    # With one point a leaf at depth 4 every occupied leaf that splits fully is a grid cell; one leaf is the world.
+    fine = {(r.ray_id, r.id) for r in ray.leaf_corridor(p, rays, 0, 4, **ends).collect()}
+    world = {(r.ray_id, r.id) for r in ray.leaf_corridor(p, rays, 10**9, 4, **ends).collect()}
+    assert whole and fine == grid <= world == whole
