@@ -75,19 +75,22 @@ def _ticks(spark, sf_dir):
     return e.select(F.col("user_id").alias("item"), tick.alias("tick"), (i % 900 + 100).alias("items"), (i % 4).alias("moves"), (i % 3).alias("relocations"), (i % 11).alias("queries"))
 
 
-@query(f"""with recursive {_TICKS},
-s as (select item, tick, case when moves > 0 then relocations / moves::double else 0.0::double end as r, case when moves > 0 then queries / moves::double else queries::double end as q, case when moves = 0 then 1 else 0 end as z from t),
-f as (select item, tick, r as rate, q as per_move, z::bigint as still from s where tick = 1
-  union all select s.item, s.tick, f.rate + 0.1::double * (s.r - f.rate), f.per_move + 0.1::double * (s.q - f.per_move), case when s.z = 1 then f.still + 1 else 0 end from f join s on s.item = f.item and s.tick = f.tick + 1)
-select item, tick, rate, per_move, still from f""")
+_PROFILE = f"""with recursive {_TICKS},
+s as (select item, tick, items, case when moves > 0 then relocations / moves::double else 0.0::double end as r, case when moves > 0 then queries / moves::double else queries::double end as q, case when moves = 0 then 1 else 0 end as z from t),
+f as (select item, tick, items, r as rate, q as per_move, z::bigint as still from s where tick = 1
+  union all select s.item, s.tick, s.items, f.rate + 0.1::double * (s.r - f.rate), f.per_move + 0.1::double * (s.q - f.per_move), case when s.z = 1 then f.still + 1 else 0 end from f join s on s.item = f.item and s.tick = f.tick + 1)"""
+
+
+@query(_PROFILE + " select item, tick, rate, per_move, still from f")
 def profile_ema(spark, sf_dir):
     return planner.profile(_ticks(spark, sf_dir)).select("item", "tick", "rate", "per_move", "still")
 
 
-@query(f"""with {_TICKS} select item, tick, case when items < 512 then 'Brute' when items % 60 >= 30 then 'Static' when relocations / 4.0::double > 0.30 then 'CoarserOrRebuild' else 'KeepIndex' end as advice from t""")
+@query(_PROFILE + " select item, tick, case when items < 512 then 'Brute' when still >= 30 then 'Static' when rate > 0.30 then 'CoarserOrRebuild' else 'KeepIndex' end as advice from f")
 def advisor_recommend(spark, sf_dir):
-    t = _ticks(spark, sf_dir)
-    return t.select("item", "tick", planner.recommendation(F.col("items"), F.col("items") % 60, F.col("relocations") / 4.0).alias("advice"))
+    """What the observed profile of every tick advises."""
+    t = planner.profile(_ticks(spark, sf_dir))
+    return t.select("item", "tick", planner.recommendation(F.col("items"), F.col("still"), F.col("rate")).alias("advice"))
 
 
 @query("""with a as (select i - 7 as v from range(14) t(i)), c as (select x.v as dx, y.v as dy, z.v as dz from a x, a y, a z),
