@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,28 @@ def free_name(name: str, taken) -> str:
     return name
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What this process keeps for an operator from task to task.
+
+    Python workers serve the tasks of all operators of a session.  The operator
+    that asks takes the place of the others: what they keep goes, and its memory
+    returns to the system, so a worker holds the tables of one operator at most.
+    """
+    others = [k for k in _kept if k != owner]
+    for k in others:
+        del _kept[k]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim is not None:
+            trim(0)
+    return _kept.setdefault(owner, {})
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder of the cluster.
 

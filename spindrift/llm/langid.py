@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, prepare
+from .common import free_name, kept, prepare
 
 CLASSES = 64  # space, a-z, and 37 classes that other letters fall into by code point
 
@@ -42,6 +42,7 @@ class Bundler:
     """Trigram vectors on demand: a table row is filled when its trigram first occurs."""
 
     def __init__(self, dim: int):
+        kept("language")  # nothing but room
         self.dim, self.base = dim, _letters(dim)
         self.once, self.twice = np.roll(self.base, 1, axis=1), np.roll(self.base, 2, axis=1)
         self.slot = np.full(CLASSES**3, -1, dtype=np.int32)

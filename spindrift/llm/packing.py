@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import kept, prepare
 from .textops import buffers, byte_hashes, slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -167,7 +167,8 @@ class Pieces:
 
 def _pieces(path: str) -> Pieces:
     """The process's table of a tokenizer file: Python workers serve many tasks."""
-    if path not in _tables:
+    tables = kept("packing")
+    if path not in tables:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -175,11 +176,8 @@ def _pieces(path: str) -> Pieces:
             spec = json.load(f)
         splits = [p["pattern"].get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert")]
         lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-        _tables[path] = Pieces(Tokenizer.from_file(path), splits == [_PATTERN] and lowers)
-    return _tables[path]
-
-
-_tables: dict[str, Pieces] = {}
+        tables[path] = Pieces(Tokenizer.from_file(path), splits == [_PATTERN] and lowers)
+    return tables[path]
 
 
 def choose_cuts(bounds: list[int], penalties: list[float], width: int) -> list[int]:

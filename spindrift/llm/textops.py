@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import kept
+
 U = np.uint64
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -136,6 +138,7 @@ class Words:
 
 
 def words_of(col: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
+    kept("words")
     data, offsets = buffers(col)
     with np.errstate(over="ignore"):
         for i, j in slices(offsets):

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontam, linededup, ngramjoin, packing, secrets, sharding, substrings, textops, trigrams
+from spindrift.llm import common, decontam, linededup, ngramjoin, packing, secrets, sharding, substrings, textops, trigrams
 from spindrift.llm.components import connected_components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -497,3 +497,17 @@ def test_components(spark):
     assert {n: got[n] for n in (1, 2, 3, 10, 11, 20, 21)} == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 20: 20, 21: 20}
     assert all(got[100 + i] == 100 for i in range(61)) and all(got[200 + i] == 200 for i in range(300)) and 5 not in got
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    from spindrift.llm.queries import tokenizer_path
+
+    col = pa.array(["One two three.", None, "", "Four five"])
+    table = packing._pieces(tokenizer_path())
+    ids = [x.tolist() for x in table.ids(col)]
+    assert packing._pieces(tokenizer_path()) is table
+    sets = [s.tolist() for _, _, w in textops.words_of(col, lower=True) for s in w.shingles(2)]
+    assert "packing" not in common._kept
+    again = packing._pieces(tokenizer_path())
+    assert again is not table and [x.tolist() for x in again.ids(col)] == ids
+    assert [s.tolist() for _, _, w in textops.words_of(col, lower=True) for s in w.shingles(2)] == sets
