@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontam, langid, linededup, ngramjoin, packing
-from spindrift.llm.common import cut, table
+from spindrift.llm.common import cut, release, table
 from spindrift.llm.queries import tokenizer_path
 
 #: One shingle of the two stages after line dedup: shorter runs of one or two lines are trivial and stay.
@@ -43,13 +43,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents that were similar before line dedup count too: what it leaves of
     a near copy no longer resembles the text that it was copied from.
     """
+    release(spark)
     whole = table(spark, sf_dir, "documents").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     copies = ngramjoin.shingle_components(whole).where("component_id <> doc_id").select("doc_id").distinct()
-    return ngramjoin.keep_one_of_each(cut(docs.join(copies, "doc_id", "left_anti").select(*docs.columns)))
+    left = cut(docs.join(copies, "doc_id", "left_anti").select(*docs.columns))
+    del whole, copies
+    release(spark)  # what the first join wrote
+    return ngramjoin.keep_one_of_each(left)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    release(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -75,4 +80,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -65,6 +65,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Give back the shuffle files and checkpoints that no table refers to any more.
+
+    Spark removes them when the driver's JVM collects what named them, which a
+    job of many short steps may not see for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def groups_for(df: DataFrame, text: str, mb: float = 14.0, least: int = 8, most: int = 1 << 20) -> int:
     """How many memory-sized groups the words of a text column need: it grows with the input."""
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0

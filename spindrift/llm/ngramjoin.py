@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, prepare, split_groups
+from .common import cut, free_name, prepare, release, split_groups
 from .components import connected_components
 from .textops import mix, packed, words_of
 
@@ -412,6 +412,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
     live = cut(live.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     tokens_left = shared.join(live, "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0
     ranked = cut(_ranked_sets(texts, live, k, int(max(4, round(tokens_left / 2_500_000))), num, den))
+    release(docs.sparkSession)  # the tokens dealt
     sets = ranked.select("d", "h", "m")
     slim = ranked.select("d", "n", "m", F.col("d").alias("component"))
     linked = None
@@ -419,6 +420,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
         new = cut(_round(slim, sets, i, num, den, block))
         linked = new if linked is None else linked.unionByName(new)
         slim = _with_component(slim, linked)
+    release(docs.sparkSession)
     # What the rounds left open: tokens of a prefix at which components meet.
     tokens = _prefixes(ranked).join(slim.select("d", "component"), "d")
     still = tokens.groupBy("t").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("t")
