@@ -113,7 +113,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = {*kept_columns, "n_lines", "n_removed"}
     doc, gone_name, lines_name = free_name("doc", taken), free_name("gone", taken), free_name("lines", taken)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = later_lines(slim, run, words).withColumnsRenamed({"doc_id": doc, "gone": gone_name})
+    # Line numbers alone outlive the search: the result does not hold on to its shuffles.
+    gone = cut(later_lines(slim, run, words)).withColumnsRenamed({"doc_id": doc, "gone": gone_name})
     joined = docs.select(*(F.col(f"`{c}`") for c in kept_columns)).join(gone, F.col(id_col).cast("long") == F.col(doc), "left")
     lines = F.split(F.col(text_col), "\n")
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_name))
