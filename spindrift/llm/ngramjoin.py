@@ -14,6 +14,10 @@
    tokens (the prefix), so documents that meet others of another component at
    such a token are grouped, and blocks of each group are searched against each
    other by the same traversal.
+
+Steps 2 and 3 deal documents into blocks by a few numbers each.  A counted table
+of few documents is dealt by one task and told to the sets by broadcast, in place
+of a dozen shuffles a round; the trees run in as many tasks as before.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, prepare, release, split_groups
-from .components import connected_components
+from .components import ONE_TASK, connected_components, settled
 from .textops import mix, packed, words_of
 
 FAN = 4
@@ -322,22 +326,74 @@ def _solve(t: pa.Table, one: list[int], two: list[int] | None, num: int, den: in
     return pa.table({"u": pa.array([ids[i] for i, _ in found], pa.int64()), "v": pa.array([ids[j] for _, j in found], pa.int64())})
 
 
-def _round(slim: DataFrame, sets: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
+def _columns(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
+    """The first n columns of all batches."""
+    got = [[c.to_numpy(zero_copy_only=False) for c in b.columns[:n]] for b in batches]
+    return [np.concatenate([np.zeros(0, np.int64), *(g[i] for g in got)]) for i in range(n)]
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first position, length) of the runs of equal keys."""
+    n = len(keys[0])
+    new = np.ones(n, dtype=bool)
+    if n:
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, n))
+
+
+def _parts(d: np.ndarray, sizes: np.ndarray, block: int) -> np.ndarray:
+    """The part of its group that each document falls in, by a hash: about `block` a part; sizes by document."""
+    with np.errstate(over="ignore"):
+        return (mix(d.astype(np.int64).view(np.uint64)) % (-(-sizes // block)).astype(np.uint64)).astype(np.int64)
+
+
+def _deal_few(block: int):
+    """What ``_round`` deals, by one task: d, component, token to d, component, token, s."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, component, token = _columns(batches, 3)
+        order = np.lexsort((d, component, token))
+        d, component, token = d[order], component[order], token[order]
+        first, many = _runs(token, component)
+        rank = np.arange(len(d)) - np.repeat(first, many)
+        first, many = _runs(token)
+        met = np.repeat(component[first] != component[first + many - 1], many) & (rank < FEW)
+        d, component, token = d[met], component[met], token[met]
+        many = _runs(token)[1]
+        s = _parts(d, np.repeat(many, many), block)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, component, token, s)], ["d", "component", "token", "s"])
+
+    return deal
+
+
+def _round(slim: DataFrame, sets: DataFrame, k: int, num: int, den: int, block: int, few: bool) -> DataFrame:
     """Links among documents with the same least token under mixing k; slim: d, component, m.
 
     Of every component a few documents meet the others at a token (what this
     leaves out, ``_tree_links`` finds), and tokens of one component are left out.
     """
+    def solve(t: pa.Table) -> pa.Table:
+        return _solve(t, list(range(len(t))), None, num, den)
+
     at = slim.select("d", "component", F.get("m", F.lit(k)).alias("token"))
+    if few:
+        dealt = at.coalesce(1).mapInArrow(_deal_few(block), "d long, component long, token long, s long")
+        return sets.join(F.broadcast(dealt), "d").groupBy("token", "s").applyInArrow(solve, "u long, v long")
     open_tokens = at.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
     rank = F.row_number().over(Window.partitionBy("token", "component").orderBy("d"))
     met = at.join(open_tokens, "token", "left_semi").withColumn("r", rank).where(F.col("r") <= FEW).drop("r")
     dealt = split_groups(met, ["token"], "d", block, "s")
+    return dealt.join(sets, "d").groupBy("token", "s").applyInArrow(solve, "u long, v long")
 
-    def solve(t: pa.Table) -> pa.Table:
-        return _solve(t, list(range(len(t))), None, num, den)
 
-    return dealt.join(sets, "d").groupBy("token", "s").applyInArrow(solve, "u long, v long")
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) from the first document of a token to its others; batches: t, d."""
+    t, d = _columns(batches, 2)
+    order = np.argsort(t, kind="stable")
+    d = d[order]
+    first, many = _runs(t[order])
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d[first], many), pa.int64()), pa.array(d, pa.int64())], ["u", "v"])
 
 
 def _star_groups(tokens: DataFrame) -> DataFrame:
@@ -353,12 +409,76 @@ def _star_groups(tokens: DataFrame) -> DataFrame:
     return connected_components(edges).select(F.col("node").alias("d"), F.col("component").alias("group"))
 
 
-def _with_component(slim: DataFrame, linked: DataFrame) -> DataFrame:
+def _with_component(slim: DataFrame, linked: DataFrame, few: bool) -> DataFrame:
     """slim with the component that links give each document; its own id without one."""
-    found = connected_components(linked).select(F.col("node").alias("d"), F.col("component").alias("found"))
+    # A tree's links are fewer than its documents: so are a round's where documents are few.
+    found = (settled(linked) if few else connected_components(linked)).select(F.col("node").alias("d"), F.col("component").alias("found"))
+    if few:
+        found, slim = F.broadcast(found), slim.coalesce(1)
     return cut(slim.drop("component").join(found, "d", "left").withColumn("component", F.coalesce("found", "d")).drop("found"))
 
 
+def _place_few(width: float, block: int):
+    """The blocks of ``_tree_links``, by one task: group, d, component, n to d, component, b, group, c, numbers b from 0."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, d, component, n = _columns(batches, 4)
+        c = np.floor(np.log(np.maximum(n, 1)) / width).astype(np.int64)
+        order = np.lexsort((component, c, group))
+        group, d, component, c = group[order], d[order], component[order], c[order]
+        many = _runs(group, c, component)[1]
+        large = np.repeat(many, many) > block
+        order = np.lexsort((np.where(large, component, 0), large, c, group))
+        group, d, component, c, large = group[order], d[order], component[order], c[order], large[order]
+        own = np.where(large, component, 0)
+        many = _runs(group, c, large, own)[1]
+        s = _parts(d, np.repeat(many, many), block)
+        order = np.lexsort((s, own, large, c, group))
+        group, d, component, c, large, own, s = (x[order] for x in (group, d, component, c, large, own, s))
+        many = _runs(group, c, large, own, s)[1]
+        b = np.repeat(np.arange(len(many)), many)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, component, b, group, c)], ["d", "component", "b", "group", "c"])
+
+    return place
+
+
+def _near_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(b, one, two): the pairs of blocks that can hold a link, a row by block; batches: component, b, group, c."""
+    component, b, group, c = _columns(batches, 4)
+    order = np.lexsort((component, b))
+    component, b, group, c = component[order], b[order], group[order], c[order]
+    first, many = _runs(b)
+    low, high, group, c = component[first], component[first + many - 1], group[first], c[first]
+    for i in range(len(first)):
+        # Blocks of the class and of the next one follow each other.
+        j = np.arange(i, np.searchsorted(group, group[i], side="right"))
+        j = j[c[j] <= c[i] + 1]
+        j = j[np.minimum(low[j], low[i]) != np.maximum(high[j], high[i])]
+        both = np.concatenate([j, np.full(int((j != i).sum()), i)])
+        two = np.concatenate([j, j[j != i]])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (both, np.full(len(two), i), two)], ["b", "one", "two"])
+
+
+def _tree_links_few(open_docs: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """``_tree_links`` of few documents: one task makes the blocks and pairs them."""
+
+    def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        b = t["b"].to_numpy()
+        one, two = (np.flatnonzero(b == k.as_py()).tolist() for k in key)
+        return _solve(t, one, None if key[0] == key[1] else two, num, den)
+
+    placed = open_docs.select("group", "d", "component", "n").coalesce(1).mapInArrow(_place_few(_class_width(num, den), block), "d long, component long, b long, group long, c long")
+    placed = cut(placed)
+    near = placed.select("component", "b", "group", "c").mapInArrow(_near_few, "b long, one long, two long")
+    rows = sets.join(F.broadcast(placed.select("d", "component", "b")), "d").join(F.broadcast(near), "b")
+    return rows.groupBy("one", "two").applyInArrow(solve, "u long, v long")
+
+
+def _class_width(num: int, den: int) -> float:
+    """Logarithm of the ratio of sizes that a link allows."""
+    return float(np.log(den / num)) if num < den else 1e-9
+
+
 def _tree_links(open_docs: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """Links (u, v) between unconnected documents of each group; open_docs: group, d, component, n.
 
@@ -367,7 +487,7 @@ def _tree_links(open_docs: DataFrame, sets: DataFrame, num: int, den: int, block
     neighbouring classes can hold a link, and none lies between blocks of one
     component.
     """
-    width = float(np.log(den / num)) if num < den else 1e-9
+    width = _class_width(num, den)
     classed = open_docs.withColumn("c", F.floor(F.log("n") / width).cast("int"))
     crowded = split_groups(classed, ["group", "c", "component"], "d", block, "s")
     owned = crowded.withColumn("own", F.when(F.col("s_parts") > 1, F.col("component")).otherwise(F.lit(-1))).drop("s", "s_parts")
@@ -389,7 +509,7 @@ def _tree_links(open_docs: DataFrame, sets: DataFrame, num: int, den: int, block
     return placed.join(near, ["group", "c", "own", "s"]).join(sets, "d").groupBy("group", "pair").applyInArrow(solve, "u long, v long")
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, block: int, group_mb: float) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, block: int, group_mb: float, one_task: int) -> DataFrame:
     """(doc_id, own, n_shingles, component_id) of every row; own: the text's hash."""
     prepare(docs.sparkSession)
     text = F.col(text_col).cast("string")
@@ -410,23 +530,33 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
     shared = cut(_shared_tokens(texts, k, groups))
     live = shared.where((F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * num)).select("doc_id")
     live = cut(live.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
-    tokens_left = shared.join(live, "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0
+    tokens_left, many = shared.join(live, "doc_id", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    few = many <= one_task
     ranked = cut(_ranked_sets(texts, live, k, int(max(4, round(tokens_left / 2_500_000))), num, den))
     release(docs.sparkSession)  # the tokens dealt
     sets = ranked.select("d", "h", "m")
     slim = ranked.select("d", "n", "m", F.col("d").alias("component"))
+    if few:
+        slim = cut(slim)  # without the sets
     linked = None
     for i in range(len(MIXINGS)):
-        new = cut(_round(slim, sets, i, num, den, block))
+        new = cut(_round(slim, sets, i, num, den, block, few))
         linked = new if linked is None else linked.unionByName(new)
-        slim = _with_component(slim, linked)
+        slim = _with_component(slim, linked, few)
     release(docs.sparkSession)
     # What the rounds left open: tokens of a prefix at which components meet.
-    tokens = _prefixes(ranked).join(slim.select("d", "component"), "d")
+    told = slim.select("d", "component")
+    tokens = _prefixes(ranked).join(F.broadcast(told) if few else told, "d")
     still = tokens.groupBy("t").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("t")
-    at = _star_groups(tokens.join(still, "t", "left_semi").select("t", "d"))
-    open_docs = slim.drop("m").join(at, "d")
-    found = connected_components(linked.unionByName(_tree_links(open_docs, sets, num, den, block)))
+    met = tokens.join(still, "t", "left_semi").select("t", "d")
+    if few:
+        met = cut(met)
+        at = settled(met.coalesce(1).mapInArrow(_tied, "u long, v long")).select(F.col("node").alias("d"), F.col("component").alias("group")) if met.count() <= one_task else _star_groups(met)
+        links_left = cut(_tree_links_few(slim.drop("m").join(F.broadcast(at), "d"), sets, num, den, block))
+    else:
+        links_left = _tree_links(slim.drop("m").join(_star_groups(met), "d"), sets, num, den, block)
+    linked = linked.unionByName(links_left)
+    found = settled(linked) if few and links_left.count() <= one_task else connected_components(linked)
     rep_of = rows.join(classes, "key", "left").select("doc_id", "own", "d", "rep")
     out = rep_of.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep", "d"))
     out = out.join(shared.groupBy(F.col("doc_id").alias("d")).agg(F.max("n").alias("n_shingles")), "d", "left")
@@ -439,7 +569,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
     return out.select("doc_id", "own", "n_shingles", F.col("component").alias("component_id"))
 
 
-def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, block: int = 512, group_mb: float = 14.0) -> DataFrame:
+def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, block: int = 512, group_mb: float = 14.0, one_task: int = ONE_TASK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     Two documents link when den * intersection >= num * union of their sets of
@@ -449,18 +579,18 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with different texts are judged each by its own text; a null id links with
     nothing and its component is null; texts of any length are read whole; a
     similarity of exactly num / den links; an empty table gives no row; other
-    columns are not read.
+    columns are not read.  So many documents as `one_task` are dealt by one task.
     """
-    return _components(docs, id_col, text_col, k, num, den, block, group_mb).drop("own")
+    return _components(docs, id_col, text_col, k, num, den, block, group_mb, one_task).drop("own")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, block: int = 512, group_mb: float = 14.0) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, block: int = 512, group_mb: float = 14.0, one_task: int = ONE_TASK) -> DataFrame:
     """One row of each component: that of its least id; of repeated rows of an id and text, any one.
 
     Rows with a null id stay.  Cases as in ``shingle_components``.
     """
     own, gone = free_name("own", docs.columns), free_name("gone", docs.columns)
-    found = cut(_components(docs, id_col, text_col, k, num, den, block, group_mb).where("doc_id is not null"))
+    found = cut(_components(docs, id_col, text_col, k, num, den, block, group_mb, one_task).where("doc_id is not null"))
     told = found.groupBy(F.col("doc_id"), F.col("own")).agg(F.count("*").alias("many"), F.min("component_id").alias("component_id"))
     told = told.where("component_id <> doc_id or many > 1").select(F.col("doc_id").alias(gone), F.col("own").alias(own), (F.col("component_id") == F.col("doc_id")).alias("stays"))
     away, repeated = told.where("not stays").drop("stays"), told.where("stays").drop("stays")

@@ -85,6 +85,60 @@ def test_ngram_join_edges(spark):
     assert sorted((r.doc_id, str(r.text)) for r in ngramjoin.keep_one_of_each(df).collect()) == [(1, "a b c d e f"), (3, "p q r s t"), (5, "None")]
 
 
+def test_few_documents_take_few_tasks(spark):
+    """Same result as by shuffles, whatever is dealt by one task, in far fewer tasks."""
+    rng = random.Random(33)
+    bases = [[f"w{g}x{i}" for i in range(rng.choice([6, 9, 40, 60]))] for g in range(40)]
+    texts = []
+    for g, b in enumerate(bases):
+        for _ in range(60 if g == 0 else rng.randint(1, 6)):
+            w = list(b)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+            texts.append(" ".join(w) + " common words that all texts end with" * (g % 3 == 0))
+    rng.shuffle(texts)
+    sizes, comp = brute_components(texts)
+    want = {i: (n, c) for i, (n, c) in enumerate(zip(sizes, comp))}
+    sc, conf, tasks = spark.sparkContext, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, {}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for one_task in (0, 200_000):
+            sc.setJobGroup(f"join {one_task}", "")
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.shingle_components(frame(spark, texts), block=8, one_task=one_task).collect()}
+            assert got == want
+            told = sc.statusTracker()
+            stages = {s for j in told.getJobIdsForGroup(f"join {one_task}") for s in told.getJobInfo(j).stageIds}
+            tasks[one_task] = sum(told.getStageInfo(s).numCompletedTasks for s in stages if told.getStageInfo(s))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks[200_000] < 0.5 * tasks[0], tasks
+
+
+def test_few_blocks_cover_all_pairs():
+    """Any two documents of a group that can link and are not connected meet in a pair of blocks."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    n = 400
+    group, d, component, size = rng.integers(0, 4, n), np.arange(n), rng.integers(0, 90, n), rng.integers(1, 60, n)
+    component[100:160], group[100:160], size[100:160] = 7, 2, 30
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (group, d, component, size)], list("gdcn"))
+    placed = next(ngramjoin._place_few(ngramjoin._class_width(75, 100), 8)(iter([rows.slice(0, 150), rows.slice(150)])))
+    block = dict(zip(placed["d"].to_pylist(), placed["b"].to_pylist()))
+    assert sorted(block) == list(range(n)) and max(Counter(block.values()).values()) < 30
+    told = {}
+    for b in ngramjoin._near_few(iter([placed.select(["component", "b", "group", "c"])])):
+        for x, one, two in zip(*(c.to_pylist() for c in b.columns)):
+            told.setdefault((one, two), []).append(x)
+    assert all(sorted(x) == sorted({*pair}) for pair, x in told.items())
+    for i in range(n):
+        for j in range(i):
+            if group[i] == group[j] and component[i] != component[j] and 4 * min(size[i], size[j]) >= 3 * max(size[i], size[j]):
+                assert tuple(sorted((block[i], block[j]))) in told
+
+
 def test_crowded_groups_split(spark):
     from spindrift.llm.common import split_groups
 
