@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontam, langid, linededup, ngramjoin, packing
-from spindrift.llm.common import cut, release, table
+from spindrift.llm.common import cut, release, rest_of, table
 from spindrift.llm.queries import tokenizer_path
 
 #: One shingle of the two stages after line dedup: shorter runs of one or two lines are trivial and stay.
@@ -44,12 +44,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a near copy no longer resembles the text that it was copied from.
     """
     release(spark)
-    whole = table(spark, sf_dir, "documents").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    copies = ngramjoin.shingle_components(whole).where("component_id <> doc_id").select("doc_id").distinct()
-    left = cut(docs.join(copies, "doc_id", "left_anti").select(*docs.columns))
-    del whole, copies
+    whole, ids = table(spark, sf_dir, "documents"), docs.select("doc_id").distinct()
+    gone = cut(whole.select("doc_id").distinct().join(ids, "doc_id", "left_anti"))
+    whole = rest_of(whole, gone, "doc_id")
+    copies = cut(ngramjoin.shingle_components(whole).where("component_id <> doc_id").select("doc_id").distinct())
+    del whole, ids, gone
     release(spark)  # what the first join wrote
-    return ngramjoin.keep_one_of_each(left)
+    return ngramjoin.keep_one_of_each(rest_of(docs, copies, "doc_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

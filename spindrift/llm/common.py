@@ -100,6 +100,25 @@ def may_hold(df: DataFrame, keys: DataFrame, column: str, name: str) -> DataFram
     return joined.withColumn(name, mark).select(*(F.col(f"`{c}`") for c in df.columns), name)
 
 
+def apart(df: DataFrame, keys: DataFrame, *on: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose values of the columns `on` are surely none of the keys', and the others (few more than match)."""
+    maybe = free_name("maybe", df.columns)
+    marked = may_hold(df, keys, F.xxhash64(*on), maybe)
+    return marked.where(~F.col(maybe)).drop(maybe), marked.where(maybe).drop(maybe)
+
+
+def rest_of(df: DataFrame, away: DataFrame, *on: str) -> DataFrame:
+    """The rows of df whose values of the columns `on` are none of `away`'s; nulls are equal here.
+
+    Only rows that ``apart`` cannot tell from those of `away` are shuffled: texts stay where they are read.
+    """
+    sure, maybe = apart(df, away, *on)
+    names = {c: free_name(f"{c}_away", df.columns) for c in on}
+    other = away.select(*(F.col(c).alias(n) for c, n in names.items()))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return sure.unionByName(maybe.join(other, same, "left_anti"))
+
+
 #: Groups that hold more than this share of the crowded rows are broadcast: fewer than so many can.
 HOT_GROUPS = 10_000
 

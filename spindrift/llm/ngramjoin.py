@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, prepare, release, split_groups
+from .common import apart, cut, free_name, prepare, release, rest_of, split_groups
 from .components import ONE_TASK, connected_components, settled
 from .textops import mix, packed, words_of
 
@@ -594,10 +594,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     told = found.groupBy(F.col("doc_id"), F.col("own")).agg(F.count("*").alias("many"), F.min("component_id").alias("component_id"))
     told = told.where("component_id <> doc_id or many > 1").select(F.col("doc_id").alias(gone), F.col("own").alias(own), (F.col("component_id") == F.col("doc_id")).alias("stays"))
     away, repeated = told.where("not stays").drop("stays"), told.where("stays").drop("stays")
-    key = [F.col(id_col).cast("long") == F.col(gone), F.xxhash64(F.col(text_col).cast("string")) == F.col(own)]
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    left = docs.join(away, key, "left_anti")
+    left = rest_of(docs.withColumns({gone: F.col(id_col).cast("long"), own: F.xxhash64(F.col(text_col).cast("string"))}), away, gone, own)
     if repeated.isEmpty():
         return left.select(*columns)
-    once = left.join(repeated, key).dropDuplicates([gone, own]).select(*columns)
-    return left.join(repeated, key, "left_anti").select(*columns).unionByName(once)
+    sure, maybe = apart(left, repeated, gone, own)
+    once = maybe.join(repeated, [gone, own], "left_semi").dropDuplicates([gone, own])
+    return sure.unionByName(maybe.join(repeated, [gone, own], "left_anti")).unionByName(once).select(*columns)

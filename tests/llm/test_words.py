@@ -312,6 +312,38 @@ def test_line_dedup_does_not_hide_near_copies(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in left) == [(0, "\n".join(lines)), (2, "and seven more words of its own")]
 
 
+def shuffled(spark):
+    """(stage, bytes) that each stage so far wrote to shuffles."""
+    jvm = spark.sparkContext._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return [(stages.apply(i).stageId(), stages.apply(i).shuffleWriteBytes()) for i in range(stages.size())]
+
+
+def test_near_copies_leave_texts_where_they_are(spark, tmp_path):
+    """The stage's joins by id shuffle no texts: a long word is one token of a set, and 6 MB of texts are not written."""
+    import corpus_pipeline
+
+    rng = random.Random(35)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000)) for _ in range(300)]
+    docs = frame(spark, [*texts, *texts[:4], None]).withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
+    docs = docs.unionByName(docs.where("doc_id = 9"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = max((k for k, _ in shuffled(spark)), default=-1)
+    left = corpus_pipeline.near_copies(spark, docs.where("doc_id is null or doc_id <> 11"), str(tmp_path))
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted((str(None if i == 7 else i), t) for i, t in enumerate([*texts, *[None] * 5]) if i != 11 and not 300 <= i < 304)
+    assert sum(n for k, n in shuffled(spark) if k > before) < 1_000_000
+
+
+def test_rest_of_is_an_anti_join(spark):
+    df = spark.createDataFrame([(i % 50 if i % 7 else None, i % 3, i) for i in range(300)], "a long, b int, maybe int")
+    for away in ([], [(3, 1), (None, 2), (49, None)], [(i, i % 3) for i in range(40)]):
+        got = common.rest_of(df, spark.createDataFrame(away, "a long, b int"), "a", "b")
+        assert got.columns == df.columns
+        assert sorted(r.maybe for r in got.collect()) == [r.maybe for r in df.orderBy("maybe").collect() if (r.a, r.b) not in set(away)]
+
+
 def weighted(a, b, k=5):
     grams = lambda w: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else Counter([tuple(w)])
     a, b = grams(a), grams(b)
