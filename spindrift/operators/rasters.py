@@ -69,14 +69,18 @@ def inside(ring: list[Vertex], x: np.ndarray, y: np.ndarray, eps: float = 1e-9)
     on = np.zeros(len(x), dtype=bool)
     for (ax, ay, xc, yc, d), (bx, by, *_) in zip(ring, ring[1:] + ring[:1]):
         spans = (y >= min(ay, by)) & (y < max(ay, by))
-        if ay != by:
-            odd ^= spans & ((y - ay) * ((bx - ax) / (by - ay)) + ax > x)
         cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        if ay != by:
+            # An arc's chord and segment are judged by one sign, so that rounding moves a point across both or none.
+            odd ^= spans & ((cross > 0 if by > ay else cross < 0) if d else (y - ay) * ((bx - ax) / (by - ay)) + ax > x)
         if d:
             r2 = (ax - xc) ** 2 + (ay - yc) ** 2
             d2 = (x - xc) ** 2 + (y - yc) ** 2
             # Between chord and arc: right of the chord for a counter-clockwise arc, left for the other turn.
             outer = cross < 0 if d > 0 else cross > 0
+            # On the chord itself: as a point a little to the right and above, which is how crossings are counted.
+            if d * ((by - ay) or (ax - bx)) > 0:
+                outer = outer | (cross == 0)
             odd ^= outer & (d2 < r2)
             on |= (outer | (cross == 0)) & (np.abs(d2 - r2) <= eps * max(r2, 1.0))
         else:

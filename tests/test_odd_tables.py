@@ -4,9 +4,11 @@ import datetime as dt
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from spindrift import registry
+from spindrift.operators import rasters
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -21,10 +23,24 @@ def both(spark, tmp_path, name, table, rows, schema):
     return sorted((tuple(r) for r in ours.select(*sorted(ours.columns)).collect()), key=repr), sorted(theirs, key=repr)
 
 
-@pytest.mark.parametrize("name", ["demorton3", "hilbert3", "morton3"])
+@pytest.mark.parametrize("name", ["morton3", "demorton3", "hilbert3"])
 def test_keys_of_rows_outside_the_world(spark, tmp_path, name):
     at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
     rows = [(i, at(h), u, "view", x, None) for i, (h, u, x) in enumerate([(5.5, 3, 7.0), (5.5, 256, 7.0), (700.25, 1499, 511.99), (1024, 90_000, 100.5), (30_000.5, 9_000_000, 0.0), (3, -1, 9.0), (-20.5, 10, 8.0), (1, None, 8.0), (1, 2, None), (1, 2, 512.0), (1, 2, -0.5)])]
     rows.append((99, None, 5, "view", 3.0, None))
     ours, theirs = both(spark, tmp_path, name, "events", rows, EVENTS)
     assert ours == theirs and len(ours) == 9
+
+
+def test_figure_holds_the_chord_of_its_arcs(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), 1, "view", x, None) for i, (x, h) in enumerate([(60.0, 333.5), (60.0, 300.0), (60.0, 341.0), (60.0, 259.0), (100.0, 570.0), (129.0, 570.0), (131.0, 570.0), (71.0, 570.0), (59.0, 300.0), (61.0, 300.0)])]
+    ours, theirs = both(spark, tmp_path, "figure_attack", "events", rows, EVENTS)
+    assert ours == theirs
+    # Either turn, and chords of any direction.
+    for turn in (1, -1):
+        for degrees in (0, 30, 45, 90, 135, 180, 211, 270, 300):
+            ring = rasters.placed([(0, -4, 0, 0, turn), (0, 4, 0, 0, turn)], 1.0, degrees, 3.0, -2.0)
+            t = np.linspace(-5, 5, 101)
+            a = np.radians(degrees)
+            x, y = 3 - np.sin(a) * t, -2 + np.cos(a) * t
+            assert (rasters.inside(ring, x, y) == (np.abs(t) < 4 + 1e-9)).all()
