@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shapes import square
 from ..plans import planner
+from ..plans.lineage import cut as settled
 from ..sources.points import PointFrame
 from .cull import balls, cull_many
 
@@ -114,6 +115,29 @@ def knn_self(points: PointFrame, k: int, strategy: str = "auto", extra: Column |
     return out.select("qid", points.id, "d2", "rank")
 
 
+def kth_distance2(points: PointFrame, k: int) -> DataFrame:
+    """(qid, d2): squared distance of every point to its k-th nearest other one, or to the farthest if there are fewer; none for a lone point.
+
+    Points at one place have one answer: places with their numbers of points are
+    searched, and only those of at most k points.  Ids that repeat name one point
+    in several places; such a table is searched point by point.
+    """
+    df = points.df.where(F.col(points.id).isNotNull())
+    if not df.groupBy(points.id).count().where("count > 1").isEmpty():
+        return knn_self(points.using(df), k, strategy="cells").groupBy("qid").agg(F.max("d2").alias("d2"))
+    p = list(points.coords)
+    places = settled(df.groupBy(*p).agg(F.min(points.id).alias(points.id), F.count("*").alias("__many")))
+    searched = places.where(F.col("__many") <= k).select(F.col(points.id).alias("qid"), F.col("__many").alias("__own"), *(F.col(c).alias(f"q{c}") for c in p))
+    near = knn_many(points.using(places), searched, k, "qid", tuple(f"q{c}" for c in p), F.col(points.id) != F.col("qid"), "cells")
+    # A place has at least one point, so k places hold enough.
+    upto = F.col("__own") - 1 + F.sum("__many").over(Window.partitionBy("qid").orderBy("rank"))
+    kth = near.withColumn("__upto", upto).groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("__upto") >= k, F.col("d2"))), F.max("d2")).alias("d2"))
+    kth = places.join(kth.withColumnRenamed("qid", points.id), points.id, "left")
+    # Enough points at the place itself, or none elsewhere.
+    kth = kth.select(*p, F.when((F.col("__many") > k) | F.col("d2").isNull() & (F.col("__many") > 1), F.lit(0.0)).otherwise(F.col("d2")).alias("d2")).where("d2 is not null")
+    return df.select(F.col(points.id).alias("qid"), *p).join(kth, p).select("qid", "d2")
+
+
 def nearest_within(points: PointFrame, queries: DataFrame, reach: float, qid: str = "qid", centre=("qx", "qy"), extra: Column | None = None, **how) -> DataFrame:
     """The nearest point within `reach` of each query that has one: (qid, id, d2)."""
     near = cull_many(points, balls(queries.withColumn("__r", F.lit(float(reach))), centre, "__r"), **how)

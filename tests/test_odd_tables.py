@@ -11,6 +11,7 @@ from spindrift import registry
 from spindrift.operators import kernel, rasters
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+PARTS = "p_partkey long, p_size int, p_retailprice double"
 
 
 def both(spark, tmp_path, name, table, rows, schema):
@@ -46,6 +47,21 @@ def test_figure_holds_the_chord_of_its_arcs(spark, tmp_path):
             assert (rasters.inside(ring, x, y) == (np.abs(t) < 4 + 1e-9)).all()
 
 
+@pytest.mark.parametrize("copies", [1, 3, 9])
+def test_sixth_neighbour_where_points_share_places(spark, tmp_path, copies):
+    rng = random.Random(copies)
+    rows = [(i, rng.randint(1, 9), 900 + rng.randint(0, 9) / 10) for i in range(40)]
+    rows = [(i + 100 * c, s, p) for c in range(copies) for i, s, p in rows]
+    ours, theirs = both(spark, tmp_path, "knn_self_density", "part", rows, PARTS)
+    assert ours == theirs and len(ours) == 40 * copies
+
+
+@pytest.mark.parametrize("rows", [[(1, 4, 900.0)], [(1, 4, 900.0), (2, 4, 900.0)], [(1, 4, 900.0), (2, 4, 901.0), (3, 5, 901.0)], [(1, 4, 900.0), (1, 5, 900.5), (2, 7, 950.0), (3, 4, 900.0)]])
+def test_sixth_neighbour_of_few_points(spark, tmp_path, rows):
+    ours, theirs = both(spark, tmp_path, "knn_self_density", "part", rows, PARTS)
+    assert ours == theirs
+
+
 def test_density_in_blocks(spark, tmp_path, monkeypatch):
     """Places shared, dense cells over several blocks, neighbours at exactly the reach."""
     monkeypatch.setattr(kernel, "PAIRS", 64)
